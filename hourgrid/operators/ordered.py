@@ -30,6 +30,8 @@ DEFAULT_BLOCK_ROWS = 1_000_000
 IDX = "_i"
 BLK = "_blk"
 HOME = "_home"
+KEY = "_key"
+CB = "_cb"
 
 
 def _ns_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -52,16 +54,20 @@ def row_index(
     ``coarse`` must be non-decreasing along ``order`` within a series (for hourly
     data: the month of the period); it bounds the rows any single task sorts.
     ``order`` should be unique within a series for a deterministic numbering.
+
+    The input is shuffled once on (series, bucket): the per-bucket counts, the
+    join with the bucket offsets and the in-bucket ``row_number`` all reuse that
+    exchange, so the upstream plan runs once.  The series key is kept as one
+    struct column (``_key``; NULL key parts match each other) for later windows.
     """
     keys = list(keys)
-    cb = "_cb"
-    d = df.withColumn(cb, coarse)
-    counts = d.groupBy(*keys, cb).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(cb).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, cb, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    d = _ns_join(d, offsets, [*keys, cb])
-    inside = Window.partitionBy(*keys, cb).orderBy(*order)
-    return d.withColumn(name, F.col("_off") + F.row_number().over(inside) - F.lit(1)).drop(cb, "_off")
+    d = df.withColumn(KEY, F.struct(*[F.col(k) for k in keys])).withColumn(CB, coarse).repartition(KEY, CB)
+    counts = d.groupBy(KEY, CB).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(KEY).orderBy(CB).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(KEY, CB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    d = d.join(offsets, on=[KEY, CB], how="inner")
+    inside = Window.partitionBy(KEY, CB).orderBy(*order)
+    return d.withColumn(name, F.col("_off") + F.row_number().over(inside) - F.lit(1)).drop(CB, "_off")
 
 
 def halo_blocks(
@@ -80,13 +86,15 @@ def halo_blocks(
     return df.withColumn(BLK, F.explode(F.sequence(own, last))).withColumn(HOME, F.col(BLK) == own)
 
 
-def over_blocks(keys: Sequence[str], index: str = IDX):
-    """Window over one block of one series, in series order."""
-    return Window.partitionBy(*keys, BLK).orderBy(index)
+def over_blocks(keys: Sequence[str] = (), index: str = IDX):
+    """Window over one block of one series (rows numbered by :func:`row_index`), in
+    series order."""
+    return Window.partitionBy(KEY, BLK).orderBy(index)
 
 
 def keep_home(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(HOME)).drop(BLK, HOME)
+    """Drop the halo copies and the helper columns of the blocked window."""
+    return df.filter(F.col(HOME)).drop(BLK, HOME, KEY)
 
 
 def month_bucket(col: str = "period") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.operators.ordered import (
     DEFAULT_BLOCK_ROWS,
     IDX,
+    KEY,
     _ns_join,
     halo_blocks,
     keep_home,
@@ -41,7 +42,7 @@ def expanding_folds(
     keys = list(keys)
     d = row_index(df, keys, [F.col(ts)], month_bucket(ts))
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = _ns_join(d, n, keys)
+    d = _ns_join(d.drop(KEY), n, keys)
     t = F.floor(F.col("_n") / F.lit(n_splits + 1))
     start = F.col("_n") - F.lit(n_splits) * t
     label = F.when(t <= 0, F.lit(None)).when(F.col(IDX) < start, F.lit(0)).otherwise(
