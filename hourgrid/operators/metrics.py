@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourgrid.functions.numeric import exact_avg
+
 
 def error_metrics(df: DataFrame, keys: Sequence[str] = ("region", "is_test"), y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """RMSE, MAE, MAPE (in %, over rows with a non-zero actual) and R2 per key.
@@ -38,9 +40,10 @@ def best_params(
     score: str = "mae",
 ) -> DataFrame:
     """Mean fold error per parameter set, then the set with the lowest mean per
-    key; equal means go to the set listed first (lowest ``order``)."""
+    key; equal means go to the set listed first (lowest ``order``).  Means come
+    from exact sums, so equal means are found equal whatever the row order."""
     keys = list(keys)
-    mean = scores.groupBy(*keys, order, params).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n_folds"))
+    mean = scores.groupBy(*keys, order, params).agg(exact_avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n_folds"))
     pick = F.struct(F.col("mean_score"), F.col(order))
     return mean.groupBy(*keys).agg(
         F.min_by(F.col(params), pick).alias("best_params"),

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.functions.numeric import exact_avg
 from hourgrid.operators import metrics, reports, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.plans import pipelines
@@ -143,12 +144,11 @@ def _fold_scores(spark, d) -> DataFrame:
         F.concat(F.lit("factor="), F.col("p.factor").cast("string")).alias("params"),
         F.abs(F.col("demand") - F.col("da_forecast") * F.col("p.factor")).alias("err"),
     )
-    return d2.groupBy("region", "params", "param_order", "fold").agg(F.avg("err").alias("mae"))
+    return d2.groupBy("region", "params", "param_order", "fold").agg(exact_avg("err").alias("mae"))
 
 
 def q_best_params(spark, d):
-    best = metrics.best_params(_fold_scores(spark, d).withColumn("mae", r4("mae")))
-    return best.withColumn("best_score", r4("best_score"))
+    return metrics.best_params(_fold_scores(spark, d))
 
 
 def q_region_results(spark, d):

@@ -189,9 +189,9 @@ GRID_VALUES = ", ".join(f"({i}, {f!r}, 'factor={f!r}')" for i, f in enumerate(FA
 BEST = f"""
 pgrid AS (SELECT * FROM (VALUES {GRID_VALUES}) g(param_order, factor, params)),
 fscores AS (SELECT region, params, param_order, fold,
-                   {R4('avg(abs(demand - da_forecast * CAST(factor AS DOUBLE)))')} AS mae
+                   CAST(sum(CAST(abs(demand - da_forecast * CAST(factor AS DOUBLE)) AS DECIMAL(20,10))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mae
             FROM pfold, pgrid WHERE fold >= 1 GROUP BY region, params, param_order, fold),
-pmean AS (SELECT region, param_order, params, avg(mae) AS mean_score FROM fscores GROUP BY 1, 2, 3),
+pmean AS (SELECT region, param_order, params, CAST(sum(CAST(mae AS DECIMAL(20,10))) AS DOUBLE) / CAST(count(mae) AS DOUBLE) AS mean_score FROM fscores GROUP BY 1, 2, 3),
 best AS (SELECT region, params AS best_params, param_order AS best_param_order, mean_score AS best_score0
          FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY mean_score, param_order) AS rk FROM pmean) q
          WHERE rk = 1)"""
@@ -270,7 +270,7 @@ cleaned AS (
 coords AS (
   SELECT upper(lower(s_name)) AS iata_code,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal / 111.0 END AS latitude_deg,
-         CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey * -3.3333333 END AS longitude_deg
+         CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey * CAST(-3.3333333 AS DOUBLE) END AS longitude_deg
   FROM supplier),
 withc AS (
   SELECT c.table_no, c.row_no, c.state, c.city, c.airport, c.iata, c.enplanements,
@@ -343,12 +343,12 @@ def oracle_sql() -> dict[str, str]:
     pfold = FOLDS_SQL.format(src="panel", name="pfold")
     q["best_params"] = (
         f"WITH {GEO},{PANEL},{pfold},{BEST}\n"
-        f"SELECT region, best_params, best_param_order, {R4('best_score0')} AS best_score FROM best"
+        "SELECT region, best_params, best_param_order, best_score0 AS best_score FROM best"
     )
     q["region_results"] = (
         f"WITH {FEATURE_CTES},{SPLIT},{NAIVE},{pfold.replace('fidx', 'pidx')},{BEST},\n"
         f"m AS ({_metrics('(SELECT * FROM naive WHERE NOT is_test)', 'region')})\n"
-        f"SELECT m.*, b.best_params, b.best_param_order, {R4('b.best_score0')} AS best_score "
+        "SELECT m.*, b.best_params, b.best_param_order, b.best_score0 AS best_score "
         "FROM m LEFT JOIN best b ON m.region = b.region"
     )
     q["importance_rank"] = (

@@ -24,17 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _day(c: str):
-    return F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
+    """Midnight of a TIMESTAMP_NTZ (date cast: pure arithmetic, no time-zone step)."""
+    return F.col(c).cast("date").cast("timestamp_ntz")
 
 
-def _exact(c: str):
-    """Money and quantities have two decimals: sum them exactly, so the value does
-    not depend on the order rows are added in (any engine, any partitioning)."""
-    return F.col(c).cast("decimal(18,2)")
+def _cents(c: str):
+    """Money and quantities have two decimals: as whole cents (LONG) they add up
+    exactly, in any order, on any partitioning, with plain codegen'd long adds.
+    ``rint`` of x*100 is exact for such values (x*100 lies within 1e-9 of an integer)."""
+    return F.rint(F.col(c) * F.lit(100.0)).cast("long")
+
+
+def _exact_value(sum_units, scale: float):
+    """Exact integer sum -> double (one correctly rounded division; sums < 2**53)."""
+    return sum_units.cast("double") / F.lit(scale)
 
 
 def _exact_mean(c: str):
-    return F.sum(_exact(c)).cast("double") / F.count(F.col(c)).cast("double")
+    return _exact_value(F.sum(_cents(c)), 100.0) / F.count(F.col(c)).cast("double")
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +60,19 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     geo = F.broadcast(_region_of_nation(spark, sf_dir))
     d = li.join(sup, li.l_suppkey == sup.s_suppkey).join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
-    q = _exact("l_quantity")
+    q = _cents("l_quantity")
     out = d.groupBy(
         F.col("r_name").alias("region"),
         F.col("n_regionkey").cast("string").alias("respondent"),
         _day("l_shipdate").alias("period"),
     ).agg(
-        F.sum(q).cast("double").alias("demand"),
-        F.sum(q * (F.lit(1) + _exact("l_tax"))).cast("double").alias("da_forecast"),
-        (F.sum(_exact("l_extendedprice") * (F.lit(1) - _exact("l_discount"))).cast("double") / F.lit(1000.0)).alias(
+        _exact_value(F.sum(q), 100.0).alias("demand"),
+        _exact_value(F.sum(q * (F.lit(100) + _cents("l_tax"))), 10000.0).alias("da_forecast"),
+        (_exact_value(F.sum(_cents("l_extendedprice") * (F.lit(100) - _cents("l_discount"))), 10000.0) / F.lit(1000.0)).alias(
             "net_generation"
         ),
-        F.sum(F.when(F.col("l_returnflag") == "R", q)).cast("double").alias("solar"),
-        F.sum(F.when(F.col("l_returnflag") == "A", q)).cast("double").alias("wind"),
+        _exact_value(F.sum(F.when(F.col("l_returnflag") == "R", q)), 100.0).alias("solar"),
+        _exact_value(F.sum(F.when(F.col("l_returnflag") == "A", q)), 100.0).alias("wind"),
     )
     return out.select(
         "period",
