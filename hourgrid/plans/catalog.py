@@ -20,6 +20,7 @@ from hourgrid.operators import metrics, reports, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.plans import pipelines
 from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, TARGET
+from hourgrid.operators.sinks import write_if_absent
 from hourgrid.session import scratch_path
 from hourgrid.sources import bindings as b
 from hourgrid.sources.pages import land_pages, read_pages
@@ -234,6 +235,42 @@ def q_region_site(spark, d):
     return pipelines.build_region_sites(b.airport_rows(spark, d), b.coords(spark, d), b.region_map(spark, d))
 
 
+# ---------------------------------------------------------------- model
+# Small grid for the registered check (the reference grid is schemas.PARAM_GRID).
+TEST_GRID = {"n_estimators": [5, 10], "max_depth": [3], "learning_rate": [0.1]}
+_REPORTS: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _model_report(spark, d) -> dict[str, DataFrame]:
+    key = (id(spark), d)
+    if key not in _REPORTS:
+        _REPORTS[key] = pipelines.model_report(
+            spark, _stage(spark, d, "final"), TEST_SPLIT, TEST_GRID, model_dir=scratch_path(spark, "models")
+        )
+    return _REPORTS[key]
+
+
+def q_gbt_cv(spark, d):
+    return _model_report(spark, d)["fold_scores"]
+
+
+def q_gbt_predict(spark, d):
+    return _model_report(spark, d)["predictions"]
+
+
+def q_split_counts(spark, d):
+    return _model_report(spark, d)["split_counts"]
+
+
+def q_sink_ignore(spark, d):
+    """Write the model table once per region, write again (a no-op), read back."""
+    path = scratch_path(spark, "final")
+    final = _stage(spark, d, "final")
+    write_if_absent(final, path)
+    write_if_absent(final, path)
+    return spark.read.parquet(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "energy_weather": q_energy_weather,
     "calendar_features": q_calendar_features,
@@ -264,5 +301,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "region_map": q_region_map,
     "region_filter": q_region_filter,
     "region_site": q_region_site,
+    "gbt_cv": q_gbt_cv,
+    "gbt_predict": q_gbt_predict,
+    "split_counts": q_split_counts,
+    "sink_ignore": q_sink_ignore,
 }
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.operators import features as fe
-from hourgrid.operators import reshape, sites, splits
+from hourgrid.operators import metrics, model, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.operators.reports import corr_matrix
 from hourgrid.schemas import CORR_COLS, ENERGY_TYPES, FUEL_TYPES, MODEL_FEATURES, SEQ_LEN, STATE_REGION, TARGET
+from hourgrid.session import cut_lineage
 from hourgrid.sources.weather import read_weather_text
 
 
@@ -108,3 +110,70 @@ def sequence_dataset(
 def with_prediction_lag(df: DataFrame, keys: Sequence[str] = ("region",), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A naive forecast (previous row's target) as ``y_hat``, target as ``y``."""
     return df.withColumns({"y": F.col(TARGET), "y_hat": F.col("lag_interchange_1h")})
+
+
+def model_report(
+    spark: SparkSession,
+    final: DataFrame,
+    split: str,
+    grid: Mapping[str, Sequence[float]],
+    features: Sequence[str] = tuple(MODEL_FEATURES),
+    target: str = TARGET,
+    regions: Sequence[str] | None = None,
+    threads: int = 4,
+    model_dir: str | None = None,
+) -> dict[str, DataFrame]:
+    """Per region: expanding-fold grid search on the training rows, refit with the
+    best set, predictions for train and test rows, error metrics per split,
+    gain and split-count importances; plus the cross-region importance ranking.
+
+    The region list is the only thing collected (one row per region); every
+    fit is a distributed Spark ML job, regions run from a small thread pool.
+    The split table and the fold labels are checkpointed to the shared
+    checkpoint folder once, so the many fits do not replay the feature plan."""
+    d = cut_lineage(splits.time_split(final, split))
+    train = d.filter(~F.col("is_test"))
+    folded = cut_lineage(splits.expanding_folds(train, ("region",)))
+    if regions is None:
+        regions = [r[0] for r in train.select("region").distinct().orderBy("region").collect()]
+
+    def one(region: str):
+        fr = folded.filter(F.col("region") == region)
+        scores = model.grid_search(spark, fr, features, target, grid, region, threads=2)
+        best = metrics.best_params(scores).collect()[0]
+        params = model.parse_params(best["best_params"])
+        m = model.fit_best(train.filter(F.col("region") == region), features, target, params)
+        preds = model.predict(m, d.filter(F.col("region") == region), features, target)
+        imp = model.gain_importance(spark, m, features, region)
+        sc = None
+        if model_dir is not None:
+            sc = model.split_counts(spark, m, f"{model_dir}/{region}", features, region)
+        return scores, preds, imp, sc
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        parts = list(pool.map(one, regions))
+
+    def union(items):
+        items = [x for x in items if x is not None]
+        out = items[0]
+        for x in items[1:]:
+            out = out.unionByName(x)
+        return out
+
+    scores = union([p[0] for p in parts])
+    preds = union([p[1].select("region", "period", "is_test", "y", "y_hat") for p in parts])
+    imps = union([p[2] for p in parts])
+    out = {
+        "fold_scores": scores,
+        "best": metrics.best_params(scores),
+        "predictions": preds,
+        "metrics": metrics.error_metrics(preds, ("region", "is_test")),
+        "importances": imps,
+        "importance_rank": metrics.importance_rank(imps),
+    }
+    if model_dir is not None:
+        out["split_counts"] = union([p[3] for p in parts])
+    out["results"] = metrics.region_results(
+        metrics.error_metrics(preds.filter(~F.col("is_test")), ("region",)), out["best"]
+    )
+    return out
