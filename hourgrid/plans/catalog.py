@@ -25,6 +25,7 @@ from hourgrid.session import scratch_path
 from hourgrid.sources import bindings as b
 from hourgrid.sources.pages import land_pages, read_pages
 from hourgrid.sources.weather import land_weather, read_weather_text
+from hourgrid.streaming.ingest import ingest_pages
 
 # Fixed values of the bound test data.
 TEST_SPLIT = "2000-07-01"
@@ -189,6 +190,16 @@ def q_pages_explode(spark, d):
     return read_pages(spark, path)
 
 
+def q_pages_stream(spark, d):
+    """Land pages, ingest them incrementally twice (the second run finds nothing new),
+    read the table back."""
+    landing = land_pages(b.readings_text(spark, d), scratch_path(spark, "landing"))
+    out, ckpt = scratch_path(spark, "readings"), scratch_path(spark, "readings-ckpt")
+    ingest_pages(spark, landing, out, ckpt)
+    ingest_pages(spark, landing, out, ckpt)
+    return spark.read.parquet(out)
+
+
 def q_hour_month_mean(spark, d):
     wide = reshape.pivot_first(b.readings(spark, d), {**BASE, **FUEL})
     wide = wide.withColumns({"hr": F.hour("period"), "mo": F.month("period")})
@@ -293,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reading_pivot": q_reading_pivot,
     "energy_outer": q_energy_outer,
     "pages_explode": q_pages_explode,
+    "pages_stream": q_pages_stream,
     "hour_month_mean": q_hour_month_mean,
     "weather_read": q_weather_read,
     "state_ffill": q_state_ffill,

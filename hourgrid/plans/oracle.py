@@ -370,6 +370,9 @@ def oracle_sql() -> dict[str, str]:
     q["pages_explode"] = (
         f"WITH {PAGE_TEXT}\nSELECT count(*) OVER (PARTITION BY respondent) AS page_total, * FROM rtext"
     )
+    q["pages_stream"] = (
+        f"WITH {PAGE_TEXT},{PARSED}\nSELECT count(*) OVER (PARTITION BY respondent) AS page_total, * FROM parsed"
+    )
     hm = ", ".join(
         f"CAST(sum({EX(v)}) AS DOUBLE) / CAST(count({v}) AS DOUBLE) AS avg_{v}" for v in ["signup", "click", "view"]
     )
