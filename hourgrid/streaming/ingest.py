@@ -60,9 +60,11 @@ def stream_hours(
     """Watermarked streaming pivot: one wide row per hour, emitted when final."""
     keys = list(keys)
     ok = F.col("value").isNotNull() & F.col("type_name").isin(list(types))
-    d = readings.filter(ok).withWatermark("period", lateness)
+    # watermarks need TIMESTAMP: an LTZ copy of the hour (same instant under the UTC session)
+    d = readings.filter(ok).withColumn("_event_time", F.col("period").cast("timestamp"))
+    d = d.withWatermark("_event_time", lateness)
     aggs = [
         F.min_by(F.col("value"), F.when(F.col("type_name") == F.lit(t), F.col("ordinal"))).alias(c)
         for t, c in types.items()
     ]
-    return d.groupBy(*keys).agg(*aggs)
+    return d.groupBy("_event_time", *keys).agg(*aggs).drop("_event_time")
