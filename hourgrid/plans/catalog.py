@@ -206,6 +206,12 @@ def q_hour_month_mean(spark, d):
     return reports.hour_month_mean(wide, ["signup", "click", "view"], keys=("respondent",))
 
 
+def q_hour_month_grid(spark, d):
+    wide = reshape.pivot_first(b.readings(spark, d), {**BASE, **FUEL})
+    wide = wide.withColumns({"hr": F.hour("period"), "mo": F.month("period")})
+    return reports.hour_month_grid(wide, "signup", keys=("respondent",))
+
+
 def q_weather_read(spark, d):
     path = land_weather(b.weather(spark, d), scratch_path(spark, "weather"))
     return read_weather_text(spark, path)
@@ -306,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_explode": q_pages_explode,
     "pages_stream": q_pages_stream,
     "hour_month_mean": q_hour_month_mean,
+    "hour_month_grid": q_hour_month_grid,
     "weather_read": q_weather_read,
     "state_ffill": q_state_ffill,
     "text_clean": q_text_clean,

@@ -381,6 +381,15 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT respondent, CAST(hour(period) AS INTEGER) AS hr, CAST(month(period) AS INTEGER) AS mo, {hm} "
         "FROM pv GROUP BY 1, 2, 3"
     )
+    grid = ", ".join(
+        f"CAST(sum(CAST(CASE WHEN month(period) = {m} THEN signup END AS DECIMAL(20,10))) AS DOUBLE) / "
+        f"nullif(CAST(count(CASE WHEN month(period) = {m} THEN signup END) AS DOUBLE), 0.0) AS m{m:02d}"
+        for m in range(1, 13)
+    )
+    q["hour_month_grid"] = (
+        f"WITH {READINGS},{_pivot('rd', ['signup', 'purchase', 'error', 'click', 'view'], 'pv')}\n"
+        f"SELECT respondent, CAST(hour(period) AS INTEGER) AS hr, {grid} FROM pv GROUP BY 1, 2"
+    )
     q["weather_read"] = f"WITH {GEO},{WEATHER}\nSELECT * FROM wx"
     site_ctes = f"WITH {GEO},{SITE_ROWS}"
     q["state_ffill"] = f"{site_ctes}\nSELECT * FROM filled2"
