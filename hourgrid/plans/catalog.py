@@ -21,7 +21,7 @@ from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.plans import pipelines
 from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, TARGET
 from hourgrid.operators.sinks import write_if_absent
-from hourgrid.session import scratch_path
+from hourgrid.session import cut_lineage, scratch_path
 from hourgrid.sources import bindings as b
 from hourgrid.sources.pages import land_pages, read_pages
 from hourgrid.sources.weather import land_weather, read_weather_text
@@ -111,7 +111,8 @@ def q_expanding_folds(spark, d):
 
 
 def q_standardise(spark, d):
-    scaled, _ = splits.standardise(_split_final(spark, d), MODEL_FEATURES, ("region",))
+    # statistics and scaling both read the split table: checkpoint it once
+    scaled, _ = splits.standardise(cut_lineage(_split_final(spark, d)), MODEL_FEATURES, ("region",))
     return scaled.select("region", "period", "is_test", *[r4(c).alias(c) for c in MODEL_FEATURES])
 
 

@@ -98,11 +98,16 @@ def sequence_dataset(
     features: Sequence[str] = tuple(MODEL_FEATURES),
     target: str = TARGET,
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    materialize: bool = True,
 ) -> DataFrame:
     """Split by date, scale features with training statistics, and cut
-    ``window``-row sequences inside each split."""
+    ``window``-row sequences inside each split.  The split table is read twice
+    (statistics, then scaling), so by default it is checkpointed once to the
+    shared checkpoint folder instead of replaying its plan."""
     keys = list(keys)
     d = splits.time_split(final, split)
+    if materialize:
+        d = cut_lineage(d)
     d, _ = splits.standardise(d, list(features), keys)
     return splits.sequences(d, list(features), target, window, [*keys, "is_test"], block_rows=block_rows)
 
