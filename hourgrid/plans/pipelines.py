@@ -59,10 +59,17 @@ def build_features(
     keys: Sequence[str] = ("region",),
     block_rows: int = DEFAULT_BLOCK_ROWS,
     stage: str = "final",
+    materialize: bool = True,
 ) -> DataFrame:
     """Energy x weather -> model table.  ``stage`` returns an intermediate table:
     ``joined``, ``calendar``, ``shares``, ``lags`` (before the null drop),
-    ``complete`` (after it; the correlation input), ``rolled``, ``final``."""
+    ``complete`` (after it; the correlation input), ``rolled``, ``final``.
+
+    Each positional pass (lags, rolling means) reads its input twice: for the
+    per-bucket counts and for the rows themselves.  With ``materialize`` (the
+    default) the joined hourly table is written once to the shared checkpoint
+    folder before the first pass, so the aggregation of the raw readings and
+    the join are never replayed; later passes replay only windows over it."""
     d = fe.join_energy_weather(energy, weather, keys)
     if stage == "joined":
         return d
@@ -72,6 +79,8 @@ def build_features(
     d = fe.share_features(d)
     if stage == "shares":
         return d
+    if materialize:
+        d = cut_lineage(d)
     d = fe.lag_features(d, keys, block_rows=block_rows)
     if stage == "lags":
         return d

@@ -68,10 +68,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/hourgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder; survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a written table: ``df`` is computed once, written as Parquet
+    below the shared checkpoint folder and read back (columnar, prunable, and it
+    survives executor loss).  ``Dataset.checkpoint`` would compute ``df`` twice
+    unless it were also persisted."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def local_path(path: str) -> str:
