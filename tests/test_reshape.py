@@ -1,6 +1,5 @@
 """Long -> wide readings (T1: null cells dropped before widening; first by arrival)."""
 
-from pyspark.sql import functions as F
 
 from hourgrid.operators.reshape import energy_hours, parse_readings, pivot_first
 from hourgrid.schemas import READING_TEXT
@@ -83,4 +82,3 @@ def test_pivot_pushes_type_filter_to_scan(spark, tmp_path):
     plan = pivot_first(spark.read.parquet(p), TYPES)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "type_name" in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
-    _ = F

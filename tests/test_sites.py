@@ -1,8 +1,7 @@
 """Site selection: header rows, footnotes, numbers in text, first non-null per column."""
 
-from pyspark.sql import functions as F
 
-from hourgrid.operators.sites import busiest_site, clean_sites, exclude_code, fill_states, map_region
+from hourgrid.operators.sites import clean_sites, exclude_code, fill_states, map_region
 from hourgrid.plans.pipelines import build_region_sites
 from hourgrid.schemas import AIRPORT_ROWS, COORDS
 
@@ -60,4 +59,3 @@ def test_unmapped_state_gets_null_region(spark):
     m = spark.createDataFrame([("Texas", "TEX")], "state string, region string")
     got = {r.State: r.Region for r in map_region(df, m).collect()}
     assert got == {"Guam": None, "Texas": "TEX"}
-    _ = (busiest_site, F)

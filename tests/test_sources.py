@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from hourgrid.operators.sinks import write_if_absent
 from hourgrid.sources.pages import page_completeness, read_pages
@@ -43,7 +42,6 @@ def test_write_if_absent_never_rewrites(spark, tmp_path):
     write_if_absent(b, path)
     got = sorted((r.region, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("A", 1.0), ("B", 2.0), ("C", 3.0)]
-    _ = F
 
 
 def test_stream_hours_matches_batch_pivot(spark, tmp_path):

@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from hourgrid.operators.metrics import best_params, error_metrics, importance_rank
 from hourgrid.operators.reports import corr_matrix, hour_month_mean
@@ -90,4 +89,3 @@ def test_hour_month_mean(spark):
     df = spark.createDataFrame([("A", 1, 1, 2.0), ("A", 1, 1, None), ("A", 1, 1, 4.0), ("A", 2, 1, 1.0)], "region string, hr int, mo int, v double")
     got = {(r.hr, r.mo): r.avg_v for r in hour_month_mean(df, ["v"]).collect()}
     assert got == {(1, 1): 3.0, (2, 1): 1.0}
-    _ = F
