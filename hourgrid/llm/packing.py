@@ -24,6 +24,7 @@ Columns other than the key and the text play no part.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -57,7 +58,7 @@ class ChunkTokenizer:
         out = []
         for s in range(0, len(texts), 20_000):
             coded = self.tok.encode_batch_fast(texts[s : s + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in coded]
+            out += [array("I", e.ids).tobytes() for e in coded]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
