@@ -152,8 +152,8 @@ class RankBpe:
 
     def encode_chunks(self, chunks: list[str], alone: list[str]) -> list[bytes]:
         """Ids of ``chunks`` and then of ``alone``, as little-endian uint32 bytes.  A chunk
-        starts with a space and ends with another character, so all can be split in one pass."""
-        pieces = self.pattern.findall("".join(chunks))
+        follows a space and ends with another character, so all can be split in one pass."""
+        pieces = self.pattern.findall("".join([" " + c for c in chunks]))
         for a in alone:
             pieces += self.pattern.findall(a)
         if not pieces:
@@ -165,7 +165,7 @@ class RankBpe:
         ends = np.cumsum(n)
         blob = ids[np.repeat(start[which] - (ends - n), n) + np.arange(ends[-1])].astype("<u4").tobytes()
         chars = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        upto = np.cumsum(np.fromiter(map(len, chunks + alone), np.int64, len(chunks) + len(alone)))
+        upto = np.cumsum([*(1 + len(c) for c in chunks), *map(len, alone)])
         cut = np.concatenate([[0], np.where(upto > 0, 4 * ends[np.searchsorted(chars, upto)], 0)]).tolist()
         return [blob[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
@@ -189,16 +189,25 @@ class RankBpe:
 
 #: Between a non-space character and a space.
 CUT = re.compile(r"(?<=\S)(?= )")
+#: A space that follows white space.
+RUN = re.compile(r"\s ")
+# The ASCII white space of that pattern, each before a space.
+ASCII_RUNS = tuple(c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
 def chunks_of(text: str | None) -> tuple[str, list[str], str]:
     """Cut before each space that follows a non-space character: what stands before the
-    first cut, the chunks, each with its leading space, and what follows the last cut.
+    first cut, the chunks, each without its leading space, and what follows the last cut.
     Runs of white space stay whole."""
     if not text:
         return "", [], ""
-    head, *rest = CUT.split(text)
-    return (head, rest[:-1], rest[-1]) if rest else (head, [], "")
+    if any(r in text for r in ASCII_RUNS) if text.isascii() else RUN.search(text):
+        head, *rest = CUT.split(text)
+        return (head, [c[1:] for c in rest[:-1]], rest[-1]) if rest else (head, [], "")
+    head, *rest = text.split(" ")
+    if not head:  # the text starts with a space: no cut there
+        head, *rest = [" " + rest[0], *rest[1:]] if rest else [""]
+    return (head, rest[:-1], " " + rest[-1]) if rest else (head, [], "")
 
 
 @lru_cache(maxsize=2)

@@ -44,7 +44,7 @@ CACHE_CHUNKS = 500_000
 
 
 class ChunkTokenizer:
-    """A byte-level BPE tokenizer file behind a cache of space-led chunks."""
+    """A byte-level BPE tokenizer file behind a cache of chunks that follow a space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,7 +68,7 @@ class ChunkTokenizer:
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
         new = list({c for _, cs, _ in cut for c in cs if c not in cache})
-        cache.update(zip(new, self._coded(new), strict=True))
+        cache.update(zip(new, self._coded([" " + c for c in new]), strict=True))
         edge = iter(self._coded([e for head, _, tail in cut for e in (head, tail)]))
         return [b"".join([next(edge), *[cache[c] for c in cs], next(edge)]) for _, cs, _ in cut]
 
