@@ -38,6 +38,8 @@ UNDETERMINED = "und"
 PIECE_BYTES = 12
 #: Words whose probabilities a Python worker keeps; beyond that it starts anew.
 CACHE_WORDS = 500_000
+#: Words that a task holds before it adds them up.
+HELD_WORDS = 20_000
 #: Cells of a lattice: words x their bytes x piece lengths.
 STEP_CELLS = 1 << 21
 #: Words of up to this many bytes stay within the range of a float64; longer ones are scaled.
@@ -174,7 +176,7 @@ def expected(words: list[bytes], weight: np.ndarray, known: Pieces, prob: np.nda
             scale[i] += np.where(live, np.log(np.where(s > 0, s, 1.0)), 0.0)
             back[i] = np.where(live, np.where(s > 0, 1.0, 0.0), back[i])
     share = weight / alpha[-1]
-    out = np.zeros((len(known) + 1, langs))
+    at, uses = [], []
     for i in range(width):
         for l in range(min(longest, i + 1)):
             p = ids[l, i]
@@ -182,9 +184,10 @@ def expected(words: list[bytes], weight: np.ndarray, known: Pieces, prob: np.nda
             use = alpha[i - l, has] * prob[p[has]] * back[i + 1, has] * share[has]
             if width > PLAIN_BYTES:
                 use *= np.exp(log[i - l, has] + scale[i + 1, has] - log[-1, has])
-            for k in range(langs):
-                out[:, k] += np.bincount(p[has], use[:, k], len(out))
-    return out[:-1]
+            at.append(p[has])
+            uses.append(use)
+    which, use = np.concatenate(at), np.concatenate(uses)
+    return np.stack([np.bincount(which, use[:, k], len(known)) for k in range(langs)], axis=1)
 
 
 class Model:
@@ -253,11 +256,23 @@ def fit(docs: DataFrame, rank_path: str, key: str = "doc_id", text: str = "text"
         def uses(batches: Iterator[pa.RecordBatch], was: np.ndarray = was) -> Iterator[pa.RecordBatch]:
             known = pieces(rank_path)
             total = np.zeros((len(known), was.shape[1]))
-            for b in batches:
-                raw = [(" " + w).encode() for w in b.column(0).to_pylist()]
-                weight = np.array([b.column(1 + k).to_pylist() for k in range(was.shape[1])], dtype=float).T
+            raw: list[bytes] = []
+            weights: list[np.ndarray] = []
+
+            def add() -> None:
+                weight = np.concatenate(weights)
                 for part in steps(raw):
-                    total += expected([raw[n] for n in part], weight[part], known, was)
+                    total[:] += expected([raw[n] for n in part], weight[part], known, was)
+                raw.clear()
+                weights.clear()
+
+            for b in batches:
+                raw += [(" " + w).encode() for w in b.column(0).to_pylist()]
+                weights.append(np.array([b.column(1 + k).to_pylist() for k in range(was.shape[1])], dtype=float).T)
+                if len(raw) >= HELD_WORDS:
+                    add()
+            if raw:
+                add()
             used = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(total[used, k]) for k in range(was.shape[1])]], names=["piece", *[f"u{k}" for k in range(was.shape[1])]])
 
