@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import byte_bpe, exact_topk, langid, packing, quality, simhash, toxicity
+from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, packing, quality, simhash, toxicity
 from hourgrid.llm.common import table
 from hourgrid.llm.words import fold
 
@@ -40,6 +40,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
