@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, packing, quality, simhash, toxicity
+from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, packing, quality, secret_scan, simhash, toxicity
 from hourgrid.llm.common import table
 from hourgrid.llm.words import fold
 
@@ -40,6 +40,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    sha = F.sha2(secret_scan.told(F.col("base")), 256)
+    return found.select(F.col("key").alias("doc_id"), *counts, sha.alias("base_sha256"), secret_scan.told(F.col("spans")).alias("spans"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
