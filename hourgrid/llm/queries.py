@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, packing, quality, secret_scan, simhash, toxicity
+from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity
 from hourgrid.llm.common import table
 from hourgrid.llm.words import fold
 
@@ -29,6 +29,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
