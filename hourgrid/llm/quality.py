@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trees from the statistics of at most ``sample_rows`` labelled documents."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     picked = known.orderBy(F.xxhash64(key), key).limit(sample_rows).select(F.col(key).alias("key"), "label")
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").dropDuplicates(["key"])
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
     extra = [*[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(c, T.DoubleType()) for c in FEATURES]]
     got = _with_stats(d.select("label", "text"), "text", extra, lambda c, x: [*c.T, *x.T]).drop("text")
     rows = np.array([list(r) for r in got.collect()], dtype=float).reshape(-1, 1 + len(extra))

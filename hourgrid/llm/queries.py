@@ -84,7 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x

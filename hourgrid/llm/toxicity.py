@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64(key), key).limit(sample_rows).select(F.col(key).alias("key"), "y")
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = staged(d.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("y", "text"), "toxicity-sample")
+    rows = staged(d.join(F.broadcast(picked), "key").groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text"), "toxicity-sample")
     n, positive = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or positive in (0, n):
         share = (positive or 0) / max(n, 1)
