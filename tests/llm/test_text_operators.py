@@ -129,6 +129,16 @@ def test_slots_are_gapless(hist):
     assert len(filled) <= len(room)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab c'sS\n\t é\u2019\u20ac中😀1²\x1c\x85\xa0-.!<|endoftext|>", max_size=60))
+def test_file_tokenizer_gives_the_ids_of_the_file(text):
+    tok = packing.file_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.fast is not None
+    want = tok.tok.encode(text, add_special_tokens=False).ids
+    assert tok.encode([text]) == [np.array(want, "<u4").tobytes()]
+    assert tok.fast.encode_ordinary(text) == want
+
+
 def test_pack_documents(spark, edge, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
