@@ -25,8 +25,10 @@ def share_pct(part: str | Column, total: str | Column) -> Column:
     return F.coalesce(safe_div(part, total) * F.lit(100.0), F.lit(0.0))
 
 
-# Exact type for sums of measured values: 10 integer and 10 fraction digits.
-EXACT = "decimal(20,10)"
+# Exact type for sums of measured values: 17 integer and 10 fraction digits (sums have 27, and a
+# difference of two sums keeps all 10 decimals).  A value of
+# 1e17 or more raises; what lies under the tenth decimal is rounded.
+EXACT = "decimal(27,10)"
 
 
 def exact_sum(c: str | Column) -> Column:

@@ -151,17 +151,3 @@ def drop_source_columns(df: DataFrame, cols: Sequence[str] = ("demand", "net_gen
 def to_feature_table(df: DataFrame) -> DataFrame:
     """Fixed column order of the model table."""
     return df.select(*FEATURE_TABLE)
-
-
-def lagged_table(energy: DataFrame, weather: DataFrame, keys=("region",), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Join, calendar, shares, lags, then drop incomplete rows (the correlation input)."""
-    d = join_energy_weather(energy, weather, keys)
-    d = calendar_features(d)
-    d = share_features(d)
-    d = lag_features(d, keys, block_rows=block_rows)
-    return dropna_any(d)
-
-
-def order_window(keys: Sequence[str], ts: str = "period"):
-    """Plain series window (small series only; used by tests and reports)."""
-    return Window.partitionBy(*keys).orderBy(ts)

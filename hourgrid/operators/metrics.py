@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.numeric import exact_avg
+from hourgrid.session import cut_lineage
 
 
 def error_metrics(df: DataFrame, keys: Sequence[str] = ("region", "is_test"), y: str = "y", y_hat: str = "y_hat") -> DataFrame:
@@ -15,7 +16,9 @@ def error_metrics(df: DataFrame, keys: Sequence[str] = ("region", "is_test"), y:
 
     R2 = 1 - SSE / SST with SST = n * var_pop(y) (Welford-stable, no
     sum-of-squares cancellation).  Constant actuals: R2 = 1 for a perfect fit,
-    else 0 (the finite convention of the usual scoring library)."""
+    else 0 (the finite convention of the usual scoring library).  Rows without an
+    actual or a prediction are left out of all of them; ``n`` counts the others."""
+    df = df.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
     e = F.col(y_hat) - F.col(y)
     sse = F.sum(e * e)
     sst = F.var_pop(y) * F.count(y)
@@ -57,16 +60,21 @@ def region_results(metrics: DataFrame, best: DataFrame, key: str = "region") ->
     return metrics.join(best, on=key, how="left").orderBy(key)
 
 
-def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature: str = "feature", value: str = "importance") -> DataFrame:
+def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature: str = "feature", value: str = "importance", regions: Sequence[str] | None = None) -> DataFrame:
     """Compare feature importances across regions.
 
     Per feature, each region's importance is divided by the feature's largest
     importance over all regions (a region without the feature counts 0); the
     feature's score is the mean of these shares over all regions.  Features
     whose largest importance is 0 get no score.  Returns the ``top`` features by
-    score (ties by name), one row per (feature, region) present, with the rank.
-    The region count is a scalar subquery; only the top-k is ordered."""
-    n_regions = imp.select(F.countDistinct(key)).scalar()
+    score (ties by name), one row per feature and region with the rank; a feature
+    that a region lacks has importance 0 there.  ``regions`` lists all regions;
+    without it they are those of ``imp``, which is written once (features x regions)
+    since it is read for the regions, the scores and the cells."""
+    if regions is None:
+        imp = cut_lineage(imp, "importances")
+        regions = [r[0] for r in imp.select(key).distinct().orderBy(key).collect()]
+    n_regions = F.lit(len(regions))
     per_feature = imp.groupBy(feature).agg(F.max(value).alias("_max"), F.sum(value).alias("_sum"))
     per_feature = per_feature.withColumn(
         "mean_share", F.try_divide(F.col("_sum"), F.nullif(F.col("_max"), F.lit(0.0)) * n_regions)
@@ -77,6 +85,9 @@ def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature:
     ranked = ranked.select(
         feature, "_max", "mean_share", F.row_number().over(Window.orderBy(F.desc("mean_share"), F.asc(feature))).alias("rank")
     )
-    out = imp.join(F.broadcast(ranked), on=feature)
+    # top x regions cells, each there once
+    all_regions = F.array(*[F.lit(r) for r in regions]).cast("array<string>")
+    cells = ranked.withColumn(key, F.explode(all_regions))
+    out = F.broadcast(cells).join(imp.select(feature, key, value), on=[feature, key], how="left").withColumn(value, F.coalesce(value, F.lit(0.0)))
     out = out.withColumn("share", F.try_divide(F.col(value), F.col("_max")))
     return out.select("rank", feature, key, value, "share", "mean_share")

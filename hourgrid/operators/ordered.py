@@ -30,7 +30,6 @@ DEFAULT_BLOCK_ROWS = 1_000_000
 IDX = "_i"
 BLK = "_blk"
 HOME = "_home"
-KEY = "_key"
 CB = "_cb"
 
 
@@ -48,6 +47,7 @@ def row_index(
     order: Sequence[str | Column],
     coarse: Column,
     name: str = IDX,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = 0-based position of the row in its series (``keys``) by ``order``.
 
@@ -57,16 +57,26 @@ def row_index(
 
     The input is shuffled once on (series, bucket): the per-bucket counts, the
     join with the bucket offsets and the in-bucket ``row_number`` all reuse that
-    exchange, so the upstream plan runs once.  The series key is kept as one
-    struct column (``_key``; NULL key parts match each other) for later windows.
+    exchange, so the upstream plan runs once.  All windows are over the key columns
+    themselves, so a filter on a key reaches the scan.  A NULL key or bucket has no
+    place in a series: it raises, no row is lost silently.  ``total`` names a column
+    for the number of rows of the series, which the small count table knows.
     """
     keys = list(keys)
-    d = df.withColumn(KEY, F.struct(*[F.col(k) for k in keys])).withColumn(CB, coarse).repartition(KEY, CB)
-    counts = d.groupBy(KEY, CB).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(KEY).orderBy(CB).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(KEY, CB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    d = d.join(offsets, on=[KEY, CB], how="inner")
-    inside = Window.partitionBy(KEY, CB).orderBy(*order)
+    lost = F.lit(False)
+    for k in keys:
+        lost = lost | F.col(k).isNull()
+    why = F.lit(f"a row with a NULL in {keys} or in the order of its series cannot be numbered")
+    bucket = F.when(lost | coarse.isNull(), F.raise_error(why)).otherwise(coarse)
+    d = df.withColumn(CB, bucket).repartition(*keys, CB)
+    counts = d.groupBy(*keys, CB).agg(F.count(F.lit(1)).alias("_n"))
+    series = Window.partitionBy(*keys)
+    before = series.orderBy(CB).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_n").over(series).alias(total)] if total else []
+    offsets = counts.select(*keys, CB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
+    # a left join: an inner one would drop NULL keys before they raise
+    d = d.join(offsets, on=[*keys, CB], how="left")
+    inside = Window.partitionBy(*keys, CB).orderBy(*order)
     return d.withColumn(name, F.col("_off") + F.row_number().over(inside) - F.lit(1)).drop(CB, "_off")
 
 
@@ -89,12 +99,12 @@ def halo_blocks(
 def over_blocks(keys: Sequence[str] = (), index: str = IDX):
     """Window over one block of one series (rows numbered by :func:`row_index`), in
     series order."""
-    return Window.partitionBy(KEY, BLK).orderBy(index)
+    return Window.partitionBy(*keys, BLK).orderBy(index)
 
 
 def keep_home(df: DataFrame) -> DataFrame:
     """Drop the halo copies and the helper columns of the blocked window."""
-    return df.filter(F.col(HOME)).drop(BLK, HOME, KEY)
+    return df.filter(F.col(HOME)).drop(BLK, HOME)
 
 
 def month_bucket(col: str = "period") -> Column:

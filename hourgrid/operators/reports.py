@@ -17,20 +17,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] = tuple(CORR_COLS), keys: Seq
     ``(keys..., feature_1, feature_2, corr)``, full square (mirrored, diagonal 1).
 
     One aggregate (partial on the map side) over all pairs: covariance and
-    standard deviations are Welford-stable built-ins; a constant column gives
-    NULL instead of the division-by-zero error ``corr`` raises under ANSI."""
+    standard deviations are Welford-stable built-ins, all three over the rows where
+    both columns of the pair are present; a constant column gives NULL instead of
+    the division-by-zero error ``corr`` raises under ANSI."""
     keys = list(keys)
     cols = list(cols)
     aggs = [F.stddev_pop(c).alias(f"_sd_{i}") for i, c in enumerate(cols)]
     pairs = list(combinations(range(len(cols)), 2))
-    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"_cv_{i}_{j}") for i, j in pairs]
+    for i, j in pairs:
+        a, b = F.col(cols[i]), F.col(cols[j])
+        aggs.append(F.covar_pop(a, b).alias(f"_cv_{i}_{j}"))
+        aggs.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"_a_{i}_{j}"))
+        aggs.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"_b_{i}_{j}"))
     stats = df.groupBy(*keys).agg(*aggs)
 
     def r(i: int, j: int):
         if i == j:
             return F.try_divide(F.col(f"_sd_{i}"), F.nullif(F.col(f"_sd_{i}"), F.lit(0.0)))
         a, b = min(i, j), max(i, j)
-        den = F.nullif(F.col(f"_sd_{a}") * F.col(f"_sd_{b}"), F.lit(0.0))
+        den = F.nullif(F.col(f"_a_{a}_{b}") * F.col(f"_b_{a}_{b}"), F.lit(0.0))
         return F.try_divide(F.col(f"_cv_{a}_{b}"), den)
 
     cells = [

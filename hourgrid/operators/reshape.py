@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.numeric import to_double
 from hourgrid.functions.timeparse import parse_period
 from hourgrid.schemas import ENERGY_KEYS
+from hourgrid.sources.pages import ARRIVAL
 
 
 def parse_readings(df: DataFrame, period: str = "period", value: str = "value") -> DataFrame:
@@ -33,14 +34,18 @@ def pivot_first(
     and a type without values stays a NULL column.  Rows with a NULL key are
     dropped.  One hash aggregate (partial on the map side, one shuffle):
     ``min_by`` ignores rows whose ordering is NULL, which acts as the per-type
-    filter.  The type list is static, so no distinct-values job runs."""
+    filter.  The type list is static, so no distinct-values job runs.  Rows without
+    an ordinal come after those with one, in the order of their pages, then of
+    their values: none is lost."""
     keys = list(keys)
+    arrival = [F.col(c) for c in (ordinal, *ARRIVAL) if c in long_df.columns]
+    order = F.struct(arrival[0].isNull(), *arrival, F.col(value)) if arrival else F.struct(F.col(value))
     ok = F.col(value).isNotNull() & F.col(pivot).isin(list(types))
     for k in keys:
         ok = ok & F.col(k).isNotNull()
     d = long_df.filter(ok)
     aggs = [
-        F.min_by(F.col(value), F.when(F.col(pivot) == F.lit(t), F.col(ordinal))).alias(c) for t, c in types.items()
+        F.min_by(F.col(value), F.when(F.col(pivot) == F.lit(t), order)).alias(c) for t, c in types.items()
     ]
     return d.groupBy(*keys).agg(*aggs)
 
@@ -60,8 +65,9 @@ def energy_hours(
     of three.  ``plan="join"`` widens both and joins them (sort-merge)."""
     keys = list(keys)
     if plan == "union":
-        cols = [*keys, "type_name", "value", "ordinal"]
-        both = base_long.select(*cols).unionByName(fuel_long.select(*cols))
+        cols = [*keys, "type_name", "value", "ordinal", *ARRIVAL]
+        sides = [x.select(*[c for c in cols if c in x.columns]) for x in (base_long, fuel_long)]
+        both = sides[0].unionByName(sides[1], allowMissingColumns=True)
         return pivot_first(both, {**base_types, **fuel_types}, keys)
     if plan == "join":
         b = pivot_first(base_long, base_types, keys)

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
-def _existing(spark: SparkSession, path: str, part: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(part).distinct()
-    except AnalysisException:
-        return None
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_table(spark: SparkSession, path: str, schema=None, part: str = "region", regions=None) -> DataFrame:
+    """A table written by :func:`write_if_absent`.  ``part`` is read as text, so codes such as
+    ``007`` stay as they are; ``regions`` become a partition filter."""
+    if schema is None:
+        inside = spark.read.option("recursiveFileLookup", True).parquet(path).schema
+        schema = inside.add(part, "string")
+    df = spark.read.schema(schema).parquet(path)
+    return df if regions is None else df.where(F.col(part).isin(list(regions)))
 
 
 def write_if_absent(df: DataFrame, path: str, part: str = "region", per_partition: bool = True) -> str:
@@ -19,14 +27,18 @@ def write_if_absent(df: DataFrame, path: str, part: str = "region", per_partitio
 
     ``per_partition=False``: the whole table is skipped if ``path`` exists
     (``mode("ignore")``).  ``per_partition=True``: only partition values not yet
-    present are appended (anti-join against the partition values on disk; the
-    listing is metadata-only for a partitioned table), so a rerun fills gaps but
-    never rewrites a region that is already there."""
+    present are appended (anti-join against the values on disk, where NULL matches
+    NULL), so a rerun fills gaps but never rewrites a region that is already there.
+    Where nothing is left to write, the plan of ``df`` runs for ``part`` only."""
     spark = df.sparkSession
     if not per_partition:
         df.write.mode("ignore").partitionBy(part).parquet(path)
         return path
-    have = _existing(spark, path, part)
-    todo = df if have is None else df.join(F.broadcast(have), on=part, how="left_anti")
+    todo = df
+    if path_exists(spark, path):
+        have = read_table(spark, path, part=part).select(F.col(part).alias("_have")).distinct()
+        todo = df.join(have, F.col(part).cast("string").eqNullSafe(F.col("_have")), "left_anti")
+        if todo.select(part).isEmpty():
+            return path
     todo.write.mode("append").partitionBy(part).parquet(path)
     return path

@@ -49,15 +49,12 @@ def fill_states(rows: DataFrame, bucket_rows: int = FFILL_BUCKET_ROWS) -> DataFr
 
 def clean_sites(df: DataFrame) -> DataFrame:
     """Footnotes off City/Airport, Enplanements to a number, State in title case."""
-    out = df.withColumns(
-        {
-            "City": drop_footnotes("City"),
-            "Airport": drop_footnotes("Airport"),
-            "Enplanements": digits_to_double("Enplanements"),
-            "State": title_case("State"),
-        }
+    has = {"Enplanements": digits_to_double("Enplanements")} if "Enplanements" in df.columns else {}
+    # tables without the column give no weight: every site is as busy as any other
+    none = {} if has else {"Enplanements": F.lit(None).cast("double")}
+    return df.withColumns(
+        {"City": drop_footnotes("City"), "Airport": drop_footnotes("Airport"), **has, **none, "State": title_case("State")}
     )
-    return out
 
 
 def attach_coords(sites: DataFrame, coords: DataFrame) -> DataFrame:

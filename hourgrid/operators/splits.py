@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from hourgrid.operators.ordered import (
     DEFAULT_BLOCK_ROWS,
     IDX,
-    KEY,
     _ns_join,
     halo_blocks,
     keep_home,
@@ -40,9 +39,7 @@ def expanding_folds(
     t rows each.  Fold k trains on rows with label < k and validates on label k.
     A series with fewer than n_splits + 1 rows gets NULL labels."""
     keys = list(keys)
-    d = row_index(df, keys, [F.col(ts)], month_bucket(ts))
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = _ns_join(d.drop(KEY), n, keys)
+    d = row_index(df, keys, [F.col(ts)], month_bucket(ts), total="_n")
     t = F.floor(F.col("_n") / F.lit(n_splits + 1))
     start = F.col("_n") - F.lit(n_splits) * t
     label = F.when(t <= 0, F.lit(None)).when(F.col(IDX) < start, F.lit(0)).otherwise(
@@ -51,11 +48,6 @@ def expanding_folds(
     return d.withColumn(out, label.cast("int")).drop("_n", IDX)
 
 
-def fold_frames(df: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """(train, validate) rows of fold ``k`` (1-based)."""
-    return df.filter(F.col(fold) < F.lit(k)), df.filter(F.col(fold) == F.lit(k))
-
-
 def fit_scaler(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("region",), fit_on=None) -> DataFrame:
     """Per key: mean and population standard deviation of each column over the
     rows selected by ``fit_on`` (default: not ``is_test``).  A zero (or undefined)

@@ -23,7 +23,8 @@ from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, TARGET
 from hourgrid.operators.sinks import write_if_absent
 from hourgrid.session import cut_lineage, scratch_path
 from hourgrid.sources import bindings as b
-from hourgrid.sources.pages import land_pages, read_pages
+from hourgrid.sources.pages import ARRIVAL, land_pages, page_completeness, read_pages, require_complete
+from hourgrid.sources.tables import ENERGY_COLS, read_coords_csv, read_energy_csv, read_model_table
 from hourgrid.sources.weather import land_weather, read_weather_text
 from hourgrid.streaming.ingest import ingest_pages
 
@@ -106,7 +107,7 @@ def q_time_split(spark, d):
 
 
 def q_expanding_folds(spark, d):
-    train = _split_final(spark, d).filter(~F.col("is_test"))
+    train = cut_lineage(_split_final(spark, d).filter(~F.col("is_test")), "train", ["region"])
     return splits.expanding_folds(train, ("region",)).select("region", "period", "fold")
 
 
@@ -118,8 +119,15 @@ def q_standardise(spark, d):
 
 def q_sequence_24(spark, d):
     seq = pipelines.sequence_dataset(_stage(spark, d, "final"), TEST_SPLIT, block_rows=block_rows(spark))
-    total = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda acc, x: acc + x)
-    return seq.select("region", "is_test", "period", F.size("seq").alias("n_steps"), r4(total).alias("seq_sum"), "y")
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    total = add(F.flatten("seq"))
+    # a sum weighted by the place of the step, and the first and last step: the order counts
+    weighted = add(F.transform("seq", lambda s, i: add(s) * (i + 1)))
+    ends = {"first_step": F.get("seq", F.lit(0)), "last_step": F.get("seq", F.size("seq") - 1)}
+    return seq.select(
+        "region", "is_test", "period", F.size("seq").alias("n_steps"), r4(total).alias("seq_sum"), r4(weighted).alias("seq_weighted"),
+        *[r4(add(e)).alias(n) for n, e in ends.items()], "y",
+    )
 
 
 # ---------------------------------------------------------------- metrics
@@ -135,7 +143,8 @@ def q_error_metrics(spark, d):
 def _fold_scores(spark, d) -> DataFrame:
     """(region, params, param_order, fold, mae): scaled day-ahead forecasts scored on
     the expanding validation folds of the panel series."""
-    folded = splits.expanding_folds(b.panel(spark, d), ("region",)).filter(F.col("fold") >= 1)
+    # numbering reads its input twice: the aggregated panel is written once before
+    folded = splits.expanding_folds(cut_lineage(b.panel(spark, d), "panel"), ("region",)).filter(F.col("fold") >= 1)
     grid = F.array(
         *[F.struct(F.lit(i).alias("param_order"), F.lit(f).alias("factor")) for i, f in enumerate(FACTOR_GRID)]
     )
@@ -166,7 +175,7 @@ def q_importance_rank(spark, d):
     imp = c.filter((F.col("feature_1") == TARGET) & (F.col("feature_2") != TARGET)).select(
         "region", F.col("feature_2").alias("feature"), F.abs(F.col("corr")).alias("importance")
     )
-    out = metrics.importance_rank(imp.filter(F.col("importance").isNotNull()), top=10)
+    out = metrics.importance_rank(imp, top=10)
     return out.withColumns({"share": r4("share"), "mean_share": r4("mean_share")})
 
 
@@ -186,9 +195,24 @@ def q_energy_outer(spark, d):
     return pipelines.build_energy_hours(base, fuel, BASE, FUEL)
 
 
+def q_energy_pages(spark, d):
+    """Pages as the service sends them (names of the wire, no ordinal, one document a file, some
+    pretty-printed) -> complete? -> wide energy hours with their region."""
+    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "wire-pages"), page_rows=200, wire=True)
+    rows = require_complete(read_pages(spark, path))
+    return pipelines.build_energy_hours(
+        rows.filter(F.col("type_name").isin(list(BASE))), rows.filter(F.col("type_name").isin(list(FUEL))), BASE, FUEL
+    )
+
+
+def q_page_completeness(spark, d):
+    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "pages"))
+    return page_completeness(read_pages(spark, path, layout="lines"))
+
+
 def q_pages_explode(spark, d):
     path = land_pages(b.readings_text(spark, d), scratch_path(spark, "pages"))
-    return read_pages(spark, path)
+    return read_pages(spark, path).drop(*ARRIVAL)
 
 
 def q_pages_stream(spark, d):
@@ -198,7 +222,7 @@ def q_pages_stream(spark, d):
     out, ckpt = scratch_path(spark, "readings"), scratch_path(spark, "readings-ckpt")
     ingest_pages(spark, landing, out, ckpt)
     ingest_pages(spark, landing, out, ckpt)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop(*ARRIVAL)
 
 
 def q_hour_month_mean(spark, d):
@@ -213,6 +237,49 @@ def q_hour_month_grid(spark, d):
     return reports.hour_month_grid(wide, "signup", keys=("respondent",))
 
 
+def _eda(spark, d) -> dict[str, DataFrame]:
+    return pipelines.eda_report(b.panel(spark, d), b.weather(spark, d), block_rows=block_rows(spark))
+
+
+def q_eda_hour_month(spark, d):
+    """Hour x month means of demand, wind and solar of the feature table (all 12 months)."""
+    return _eda(spark, d)["hour_month"]
+
+
+def q_eda_grid(spark, d):
+    return _eda(spark, d)["grid_demand"]
+
+
+def q_energy_csv_read(spark, d):
+    """Energy hours written as CSV by region, read back with a schema, two regions only."""
+    path = scratch_path(spark, "energy-csv")
+    hours = b.panel(spark, d).select("region", *ENERGY_COLS)
+    out = hours.withColumn("period", F.date_format("period", "yyyy-MM-dd HH:mm:ss"))
+    out.write.option("header", True).partitionBy("region").csv(path)
+    return read_energy_csv(spark, path, regions=FILTER_REGIONS)
+
+
+def q_model_table_read(spark, d):
+    path = write_if_absent(_stage(spark, d, "final"), scratch_path(spark, "model-table"))
+    return read_model_table(spark, path, regions=FILTER_REGIONS)
+
+
+def q_coords_read(spark, d):
+    """A coordinate list with more columns, in another order, as CSV."""
+    path = scratch_path(spark, "coords-csv")
+    c = b.coords(spark, d)
+    c.select(F.lit("x").alias("type"), "longitude_deg", "iata_code", F.lit(1).alias("id"), "latitude_deg").write.option("header", True).csv(path)
+    return read_coords_csv(spark, path)
+
+
+def q_site_tables_union(spark, d):
+    """The scraped tables one by one, one without its ICAO column and one that is no site table."""
+    rows = b.airport_rows(spark, d)
+    tables = [rows.filter(F.col("table_no") == t) for t in range(5)]
+    tables[1] = tables[1].drop("ICAO")
+    return _lower(sites.union_tables([*tables, rows.select("table_no", "City")]))
+
+
 def q_weather_read(spark, d):
     path = land_weather(b.weather(spark, d), scratch_path(spark, "weather"))
     return read_weather_text(spark, path)
@@ -254,30 +321,34 @@ def q_region_site(spark, d):
 
 
 # ---------------------------------------------------------------- model
-# Small grid for the registered check (the reference grid is schemas.PARAM_GRID).
+# Grid of the registered check.  The pipeline's own default is the full schemas.PARAM_GRID (27
+# sets); its 180 fits of up to 300 trees take hours on one machine.
 TEST_GRID = {"n_estimators": [5, 10], "max_depth": [3], "learning_rate": [0.1]}
-_REPORTS: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def _model_report(spark, d) -> dict[str, DataFrame]:
-    key = (id(spark), d)
-    if key not in _REPORTS:
-        _REPORTS[key] = pipelines.model_report(
-            spark, _stage(spark, d, "final"), TEST_SPLIT, TEST_GRID, model_dir=scratch_path(spark, "models")
-        )
-    return _REPORTS[key]
+    return pipelines.model_report(spark, _stage(spark, d, "final"), TEST_SPLIT, TEST_GRID, model_dir=scratch_path(spark, "models"))
 
 
 def q_gbt_cv(spark, d):
-    return _model_report(spark, d)["fold_scores"]
+    """The cells of the cross-validation, and whether each error is a number of 0 or more."""
+    ok = (F.col("mae") >= 0) & (F.col("mae") < float("inf"))
+    return _model_report(spark, d)["fold_scores"].select("region", "params", "param_order", "fold", ok.alias("ok"))
 
 
 def q_gbt_predict(spark, d):
-    return _model_report(spark, d)["predictions"]
+    """The rows that are predicted, and whether their region's model beats the mean on train rows."""
+    report = _model_report(spark, d)
+    fits = report["metrics"].filter(~F.col("is_test")).select("region", (F.col("r2") > 0).alias("beats_mean"))
+    return report["predictions"].join(fits, "region").select("region", "period", "is_test", "y", "beats_mean")
 
 
 def q_split_counts(spark, d):
-    return _model_report(spark, d)["split_counts"]
+    """By region: whether there are 1 to 15 features, all with splits, and all of the model."""
+    of_region = _model_report(spark, d)["split_counts"].groupBy("region").agg(
+        F.count("*").alias("n"), F.min("splits").alias("least"), F.count_if(~F.col("feature").isin(MODEL_FEATURES)).alias("strange")
+    )
+    return of_region.select("region", (F.col("n").between(1, 15) & (F.col("least") > 0) & (F.col("strange") == 0)).alias("ok"))
 
 
 def q_sink_ignore(spark, d):
@@ -286,7 +357,7 @@ def q_sink_ignore(spark, d):
     final = _stage(spark, d, "final")
     write_if_absent(final, path)
     write_if_absent(final, path)
-    return spark.read.parquet(path)
+    return read_model_table(spark, path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -310,6 +381,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reading_parse": q_reading_parse,
     "reading_pivot": q_reading_pivot,
     "energy_outer": q_energy_outer,
+    "energy_pages": q_energy_pages,
+    "page_completeness": q_page_completeness,
+    "eda_hour_month": q_eda_hour_month,
+    "eda_grid": q_eda_grid,
+    "energy_csv_read": q_energy_csv_read,
+    "model_table_read": q_model_table_read,
+    "coords_read": q_coords_read,
+    "site_tables_union": q_site_tables_union,
     "pages_explode": q_pages_explode,
     "pages_stream": q_pages_stream,
     "hour_month_mean": q_hour_month_mean,

@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, TEST_SPLIT
+from hourgrid.operators.model import param_sets, params_text
+from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, TEST_GRID, TEST_SPLIT
 from hourgrid.schemas import CORR_COLS, FEATURE_TABLE, MODEL_FEATURES, ROLLED
 
 
@@ -19,7 +20,7 @@ def DEC(x: str) -> str:
 
 
 def EX(x: str) -> str:
-    return f"CAST({x} AS DECIMAL(20,10))"
+    return f"CAST({x} AS DECIMAL(27,10))"
 
 
 GEO = "geo AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -130,16 +131,16 @@ def _corr_sql() -> str:
     stats = []
     for i, c in enumerate(cols):
         stats.append(f"stddev_pop({c}) AS sd_{i}")
+    # corr works on the rows where both are present; a constant column gives NaN
     for i, j in combinations(range(len(cols)), 2):
-        stats.append(f"covar_pop({cols[i]}, {cols[j]}) AS cv_{i}_{j}")
+        stats.append(f"corr({cols[i]}, {cols[j]}) AS r_{i}_{j}")
     unions = []
     for i in range(len(cols)):
         for j in range(len(cols)):
-            if i == j:
-                expr = f"sd_{i} / nullif(sd_{i}, 0.0)"
-            else:
+            expr = f"sd_{i} / nullif(sd_{i}, 0.0)"
+            if i != j:
                 a, bb = min(i, j), max(i, j)
-                expr = f"cv_{a}_{bb} / nullif(sd_{a} * sd_{bb}, 0.0)"
+                expr = f"CASE WHEN isfinite(r_{a}_{bb}) THEN r_{a}_{bb} END"
             unions.append(f"SELECT region, '{cols[i]}' AS feature_1, '{cols[j]}' AS feature_2, {R4(expr)} AS corr FROM cstats")
     return (
         f"cstats AS (SELECT region, {', '.join(stats)} FROM complete GROUP BY region),\n"
@@ -189,9 +190,9 @@ GRID_VALUES = ", ".join(f"({i}, {f!r}, 'factor={f!r}')" for i, f in enumerate(FA
 BEST = f"""
 pgrid AS (SELECT * FROM (VALUES {GRID_VALUES}) g(param_order, factor, params)),
 fscores AS (SELECT region, params, param_order, fold,
-                   CAST(sum(CAST(abs(demand - da_forecast * CAST(factor AS DOUBLE)) AS DECIMAL(20,10))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mae
+                   CAST(sum(CAST(abs(demand - da_forecast * CAST(factor AS DOUBLE)) AS DECIMAL(27,10))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mae
             FROM pfold, pgrid WHERE fold >= 1 GROUP BY region, params, param_order, fold),
-pmean AS (SELECT region, param_order, params, CAST(sum(CAST(mae AS DECIMAL(20,10))) AS DOUBLE) / CAST(count(mae) AS DOUBLE) AS mean_score FROM fscores GROUP BY 1, 2, 3),
+pmean AS (SELECT region, param_order, params, CAST(sum(CAST(mae AS DECIMAL(27,10))) AS DOUBLE) / CAST(count(mae) AS DOUBLE) AS mean_score FROM fscores GROUP BY 1, 2, 3),
 best AS (SELECT region, params AS best_params, param_order AS best_param_order, mean_score AS best_score0
          FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY mean_score, param_order) AS rk FROM pmean) q
          WHERE rk = 1)"""
@@ -301,7 +302,7 @@ def _imp_sql() -> str:
 imp AS (SELECT region, feature_2 AS feature, abs(corr) AS importance FROM corrm
         WHERE feature_1 = 'total_interchange' AND feature_2 <> 'total_interchange' AND corr IS NOT NULL),
 pf AS (SELECT feature, max(importance) AS mx, sum(importance) AS sm FROM imp GROUP BY feature),
-pf2 AS (SELECT feature, mx, sm / (nullif(mx, 0.0) * (SELECT count(DISTINCT region) FROM imp)) AS mean_share FROM pf),
+pf2 AS (SELECT feature, mx, sm / (nullif(mx, 0.0) * (SELECT count(DISTINCT region) FROM corrm)) AS mean_share FROM pf),
 top AS (SELECT feature, mx, mean_share, CAST(row_number() OVER (ORDER BY mean_share DESC, feature ASC) AS INTEGER) AS rank
         FROM pf2 WHERE mean_share IS NOT NULL ORDER BY mean_share DESC, feature ASC LIMIT 10)"""
 
@@ -335,6 +336,9 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {FEATURE_CTES},{SPLIT},\n{STATS},\n{SCALED},\n"
         "sq AS (SELECT *, row_number() OVER (PARTITION BY region, is_test ORDER BY period) AS i FROM scaled)\n"
         f"SELECT c.region, c.is_test, c.period, CAST(count(*) AS INTEGER) AS n_steps, {R4(f'sum({elem_sum})')} AS seq_sum, "
+        f"{R4(f'sum((p.i - c.i + 25) * ({elem_sum}))')} AS seq_weighted, "
+        f"{R4(f'sum(CASE WHEN p.i = c.i - 24 THEN {elem_sum} END)')} AS first_step, "
+        f"{R4(f'sum(CASE WHEN p.i = c.i - 1 THEN {elem_sum} END)')} AS last_step, "
         "c.total_interchange AS y\n"
         "FROM sq c JOIN sq p ON c.region = p.region AND c.is_test = p.is_test AND p.i BETWEEN c.i - 24 AND c.i - 1\n"
         "WHERE c.i > 24 GROUP BY c.region, c.is_test, c.period, c.total_interchange"
@@ -353,8 +357,9 @@ def oracle_sql() -> dict[str, str]:
     )
     q["importance_rank"] = (
         f"WITH {FEATURE_CTES},\n{CORR},{_imp_sql()}\n"
-        f"SELECT t.rank, i.feature, i.region, i.importance, {R4('i.importance / t.mx')} AS share, "
-        f"{R4('t.mean_share')} AS mean_share FROM imp i JOIN top t ON i.feature = t.feature"
+        f"SELECT t.rank, t.feature, r.region, coalesce(i.importance, 0.0) AS importance, {R4('coalesce(i.importance, 0.0) / t.mx')} AS share, "
+        f"{R4('t.mean_share')} AS mean_share FROM top t CROSS JOIN (SELECT DISTINCT region FROM corrm) r "
+        "LEFT JOIN imp i ON i.feature = t.feature AND i.region = r.region"
     )
     q["reading_parse"] = f"WITH {PAGE_TEXT},{PARSED}\nSELECT * FROM parsed"
     q["reading_pivot"] = f"WITH {READINGS},{_pivot('rd', ['signup', 'purchase', 'error'], 'pv')}\nSELECT * FROM pv"
@@ -363,10 +368,39 @@ def oracle_sql() -> dict[str, str]:
         f"{_pivot('parsed', ['click', 'view'], 'pfu')}\n"
         "SELECT coalesce(pb.period, pfu.period) AS period, coalesce(pb.respondent, pfu.respondent) AS respondent, "
         "coalesce(pb.respondent_name, pfu.respondent_name) AS respondent_name, "
-        "pb.signup, pb.purchase, pb.error, pfu.click, pfu.view "
+        "coalesce(pb.respondent, pfu.respondent) AS region, pb.signup, pb.purchase, pb.error, pfu.click, pfu.view "
         "FROM pb FULL OUTER JOIN pfu ON pb.period = pfu.period AND pb.respondent = pfu.respondent "
         "AND pb.respondent_name = pfu.respondent_name"
     )
+    q["energy_pages"] = q["energy_outer"]
+    q["page_completeness"] = (
+        f"WITH {PAGE_TEXT}\nSELECT respondent, count(*) AS rows, count(*) AS total, true AS complete FROM rtext GROUP BY respondent"
+    )
+    eda = ", ".join(f"CAST(sum({EX(v)}) AS DOUBLE) / CAST(count({v}) AS DOUBLE) AS avg_{v}" for v in ["demand", "wind", "solar"])
+    q["eda_hour_month"] = _features(f"SELECT region, hr, mo, {eda} FROM rolled GROUP BY 1, 2, 3")
+    months = ", ".join(
+        f"CAST(sum({EX(f'CASE WHEN mo = {m} THEN demand END')}) AS DOUBLE) / "
+        f"nullif(CAST(count(CASE WHEN mo = {m} THEN demand END) AS DOUBLE), 0.0) AS m{m:02d}"
+        for m in range(1, 13)
+    )
+    q["eda_grid"] = _features(f"SELECT region, hr, {months} FROM rolled GROUP BY 1, 2")
+    only = ", ".join(f"'{r}'" for r in FILTER_REGIONS)
+    q["energy_csv_read"] = (
+        f"WITH {GEO},{PANEL}\nSELECT region, period, respondent, respondent_name, demand, da_forecast, net_generation, "
+        f"total_interchange, solar, wind FROM panel WHERE region IN ({only})"
+    )
+    q["model_table_read"] = _features(f"SELECT * FROM final WHERE region IN ({only})")
+    q["sink_ignore"] = q["feature_table"]
+    grid_rows = ", ".join(f"({i}, '{params_text(p)}')" for i, p in enumerate(param_sets(TEST_GRID)))
+    q["gbt_cv"] = (
+        f"WITH {FEATURE_CTES},{SPLIT}\nSELECT region, params, CAST(param_order AS INTEGER) AS param_order, CAST(fold AS INTEGER) AS fold, true AS ok "
+        f"FROM (SELECT DISTINCT region FROM split WHERE NOT is_test) r, (VALUES {grid_rows}) g(param_order, params), "
+        "(VALUES (1), (2), (3), (4)) f(fold)"
+    )
+    q["gbt_predict"] = (
+        f"WITH {FEATURE_CTES},{SPLIT}\nSELECT region, period, is_test, total_interchange AS y, true AS beats_mean FROM split"
+    )
+    q["split_counts"] = f"WITH {FEATURE_CTES},{SPLIT}\nSELECT DISTINCT region, true AS ok FROM split WHERE NOT is_test"
     q["pages_explode"] = (
         f"WITH {PAGE_TEXT}\nSELECT count(*) OVER (PARTITION BY respondent) AS page_total, * FROM rtext"
     )
@@ -382,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM pv GROUP BY 1, 2, 3"
     )
     grid = ", ".join(
-        f"CAST(sum(CAST(CASE WHEN month(period) = {m} THEN signup END AS DECIMAL(20,10))) AS DOUBLE) / "
+        f"CAST(sum(CAST(CASE WHEN month(period) = {m} THEN signup END AS DECIMAL(27,10))) AS DOUBLE) / "
         f"nullif(CAST(count(CASE WHEN month(period) = {m} THEN signup END) AS DOUBLE), 0.0) AS m{m:02d}"
         for m in range(1, 13)
     )
@@ -392,6 +426,10 @@ def oracle_sql() -> dict[str, str]:
     )
     q["weather_read"] = f"WITH {GEO},{WEATHER}\nSELECT * FROM wx"
     site_ctes = f"WITH {GEO},{SITE_ROWS}"
+    q["coords_read"] = f"{site_ctes}\nSELECT lower(iata_code) AS iata_code, latitude_deg, longitude_deg FROM coords"
+    q["site_tables_union"] = (
+        f"{site_ctes}\nSELECT table_no, row_no, city, airport, faa, iata, CASE WHEN table_no <> 1 THEN icao END AS icao, enplanements FROM srows"
+    )
     q["state_ffill"] = f"{site_ctes}\nSELECT * FROM filled2"
     q["text_clean"] = f"{site_ctes}\nSELECT * FROM cleaned"
     q["airport_coords"] = f"{site_ctes}\nSELECT * FROM withc"

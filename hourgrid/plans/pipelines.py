@@ -1,4 +1,8 @@
-"""Composed pipelines (the user-facing API).  Every function is lazy and keyed."""
+"""Composed pipelines (the user-facing API), keyed, and with ``regions=`` to work on some.
+
+Most are lazy.  Those that write a staged table (``build_features`` from the lags on,
+``sequence_dataset``, ``eda_report``, ``model_report``) or check completeness run jobs while
+the query is being built; ``hourgrid.session.stages`` removes their tables afterwards."""
 
 from __future__ import annotations
 
@@ -11,25 +15,44 @@ from pyspark.sql import functions as F
 from hourgrid.operators import features as fe
 from hourgrid.operators import metrics, model, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
-from hourgrid.operators.reports import corr_matrix
-from hourgrid.schemas import CORR_COLS, ENERGY_TYPES, FUEL_TYPES, MODEL_FEATURES, SEQ_LEN, STATE_REGION, TARGET
+from hourgrid.operators.reports import corr_matrix, hour_month_grid, hour_month_mean, scatter_extract
+from hourgrid.schemas import (
+    CORR_COLS,
+    ENERGY_TYPES,
+    EXCLUDED_SITE,
+    FUEL_TYPES,
+    MODEL_FEATURES,
+    PARAM_GRID,
+    SEQ_LEN,
+    STATE_REGION,
+    TARGET,
+)
 from hourgrid.session import cut_lineage
+from hourgrid.sources.pages import require_complete
 from hourgrid.sources.weather import read_weather_text
 
 
+def _only(df: DataFrame, regions: Sequence[str] | None, col: str = "region") -> DataFrame:
+    return df if regions is None else df.where(F.col(col).isin(list(regions)))
+
+
 def build_region_sites(
-    rows: DataFrame,
+    rows: DataFrame | Sequence[DataFrame],
     coords: DataFrame,
     regions: DataFrame | Mapping[str, str] = STATE_REGION,
-    exclude: str | None = "EWR",
+    exclude: str | None = EXCLUDED_SITE,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Scraped site rows + coordinate list -> one busiest site per region (lower-case columns)."""
+    """Scraped site rows (or the scraped tables) + coordinate list -> one busiest site per
+    region (lower-case columns)."""
+    if not isinstance(rows, DataFrame):
+        rows = sites.union_tables(rows)
     d = sites.fill_states(rows)
     d = sites.clean_sites(d)
     d = sites.attach_coords(d, coords)
     if not isinstance(regions, DataFrame):
         regions = sites.region_table(rows.sparkSession, regions)
-    d = sites.map_region(d, regions)
+    d = _only(sites.map_region(d, regions), only, "Region")
     if exclude is not None:
         d = sites.exclude_code(d, exclude)
     return sites.snake(sites.busiest_site(d))
@@ -41,16 +64,24 @@ def build_energy_hours(
     base_types: Mapping[str, str] = ENERGY_TYPES,
     fuel_types: Mapping[str, str] = FUEL_TYPES,
     plan: str = "union",
+    regions: Sequence[str] | None = None,
+    complete: bool = False,
+) -> DataFrame:
+    """Landed text readings (base feed, fuel feed) -> one wide row per hour, with ``region``,
+    the code of the respondent.  ``complete`` first checks that all announced rows are there."""
+    feeds = [_only(x, regions, "respondent") for x in (base_text, fuel_text)]
+    if complete:
+        feeds = [require_complete(x) for x in feeds]
+    b, f = (reshape.parse_readings(x) for x in feeds)
+    hours = reshape.energy_hours(b, f, base_types, fuel_types, plan=plan)
+    return hours.withColumn("region", F.col("respondent"))
+
+
+def build_weather_hours(
+    spark: SparkSession, path: str, missing_sentinel: float | None = None, region: str | None = None, regions: Sequence[str] | None = None
 ) -> DataFrame:
-    """Landed text readings (base feed, fuel feed) -> one wide row per hour."""
-    b = reshape.parse_readings(base_text)
-    f = reshape.parse_readings(fuel_text)
-    return reshape.energy_hours(b, f, base_types, fuel_types, plan=plan)
-
-
-def build_weather_hours(spark: SparkSession, path: str, missing_sentinel: float | None = None) -> DataFrame:
     """All landed weather files under ``path`` -> one row per region and hour."""
-    return read_weather_text(spark, path, missing_sentinel)
+    return read_weather_text(spark, path, missing_sentinel, region=region, regions=regions)
 
 
 def build_features(
@@ -60,6 +91,7 @@ def build_features(
     block_rows: int = DEFAULT_BLOCK_ROWS,
     stage: str = "final",
     materialize: bool = True,
+    regions: Sequence[str] | None = None,
 ) -> DataFrame:
     """Energy x weather -> model table.  ``stage`` returns an intermediate table:
     ``joined``, ``calendar``, ``shares``, ``lags`` (before the null drop),
@@ -68,8 +100,9 @@ def build_features(
     Each positional pass (lags, rolling means) reads its input twice: for the
     per-bucket counts and for the rows themselves.  With ``materialize`` (the
     default) the joined hourly table is written once to the shared checkpoint
-    folder before the first pass, so the aggregation of the raw readings and
-    the join are never replayed; later passes replay only windows over it."""
+    folder before the first pass and the complete table before the second, so
+    neither the raw readings nor the lags are computed again."""
+    energy, weather = (_only(x, regions, keys[0]) for x in (energy, weather))
     d = fe.join_energy_weather(energy, weather, keys)
     if stage == "joined":
         return d
@@ -80,13 +113,17 @@ def build_features(
     if stage == "shares":
         return d
     if materialize:
-        d = cut_lineage(d)
+        # one folder a region: later filters on the key prune the files
+        d = cut_lineage(d, "hours", keys)
     d = fe.lag_features(d, keys, block_rows=block_rows)
     if stage == "lags":
         return d
     d = fe.dropna_any(d)
     if stage == "complete":
         return d
+    if materialize:
+        # the rolling pass reads it twice, too (counts, rows): the lags are not computed again
+        d = cut_lineage(d, "complete", keys)
     d = fe.rolling_means(d, keys=keys, block_rows=block_rows)
     if stage == "rolled":
         return d
@@ -99,6 +136,25 @@ def eda_correlation(energy: DataFrame, weather: DataFrame, keys: Sequence[str] =
     return corr_matrix(build_features(energy, weather, keys, block_rows, stage="complete"), CORR_COLS, keys)
 
 
+def eda_report(
+    energy: DataFrame,
+    weather: DataFrame,
+    keys: Sequence[str] = ("region",),
+    regions: Sequence[str] | None = None,
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> dict[str, DataFrame]:
+    """The tables behind the exploration: the correlation matrix, hour x month means of
+    demand, wind and solar (long, and a grid for each), and the plot extracts.  The complete
+    table and the one with 720-row means are written once."""
+    keys = list(keys)
+    complete = cut_lineage(build_features(energy, weather, keys, block_rows, "complete", regions=regions), "complete", keys)
+    rolled = cut_lineage(fe.rolling_means(complete, keys=keys, block_rows=block_rows), "rolled", keys)
+    values = ["demand", "wind", "solar"]
+    out = {"corr": corr_matrix(complete, CORR_COLS, keys), "hour_month": hour_month_mean(rolled, values, keys)}
+    out |= {f"grid_{v}": hour_month_grid(rolled, v, keys) for v in values}
+    return out | {"extracts": scatter_extract(rolled, keys)}
+
+
 def sequence_dataset(
     final: DataFrame,
     split: str,
@@ -108,20 +164,21 @@ def sequence_dataset(
     target: str = TARGET,
     block_rows: int = DEFAULT_BLOCK_ROWS,
     materialize: bool = True,
+    regions: Sequence[str] | None = None,
 ) -> DataFrame:
     """Split by date, scale features with training statistics, and cut
     ``window``-row sequences inside each split.  The split table is read twice
     (statistics, then scaling), so by default it is checkpointed once to the
     shared checkpoint folder instead of replaying its plan."""
     keys = list(keys)
-    d = splits.time_split(final, split)
+    d = splits.time_split(_only(final, regions, keys[0]), split)
     if materialize:
-        d = cut_lineage(d)
+        d = cut_lineage(d, "split", keys)
     d, _ = splits.standardise(d, list(features), keys)
     return splits.sequences(d, list(features), target, window, [*keys, "is_test"], block_rows=block_rows)
 
 
-def with_prediction_lag(df: DataFrame, keys: Sequence[str] = ("region",), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def with_prediction_lag(df: DataFrame) -> DataFrame:
     """A naive forecast (previous row's target) as ``y_hat``, target as ``y``."""
     return df.withColumns({"y": F.col(TARGET), "y_hat": F.col("lag_interchange_1h")})
 
@@ -130,7 +187,7 @@ def model_report(
     spark: SparkSession,
     final: DataFrame,
     split: str,
-    grid: Mapping[str, Sequence[float]],
+    grid: Mapping[str, Sequence[float]] = PARAM_GRID,
     features: Sequence[str] = tuple(MODEL_FEATURES),
     target: str = TARGET,
     regions: Sequence[str] | None = None,
@@ -143,11 +200,13 @@ def model_report(
 
     The region list is the only thing collected (one row per region); every
     fit is a distributed Spark ML job, regions run from a small thread pool.
-    The split table and the fold labels are checkpointed to the shared
-    checkpoint folder once, so the many fits do not replay the feature plan."""
-    d = cut_lineage(splits.time_split(final, split))
+    The split table and the fold labels are written to the shared checkpoint
+    folder once, a folder a region, so a fit reads the rows of its region only and
+    does not replay the feature plan.  Models are for a number of regions that a
+    driver can loop over; a million series need another model per series."""
+    d = cut_lineage(splits.time_split(_only(final, regions), split), "split", ["region"])
     train = d.filter(~F.col("is_test"))
-    folded = cut_lineage(splits.expanding_folds(train, ("region",)))
+    folded = cut_lineage(splits.expanding_folds(train, ("region",)), "folds", ["region"])
     if regions is None:
         regions = [r[0] for r in train.select("region").distinct().orderBy("region").collect()]
 
@@ -183,11 +242,13 @@ def model_report(
         "predictions": preds,
         "metrics": metrics.error_metrics(preds, ("region", "is_test")),
         "importances": imps,
-        "importance_rank": metrics.importance_rank(imps),
+        "importance_rank": metrics.importance_rank(imps, regions=regions),
     }
     if model_dir is not None:
         out["split_counts"] = union([p[3] for p in parts])
-    out["results"] = metrics.region_results(
-        metrics.error_metrics(preds.filter(~F.col("is_test")), ("region",)), out["best"]
-    )
+    results = metrics.region_results(metrics.error_metrics(preds.filter(~F.col("is_test")), ("region",)), out["best"])
+    # parameters as a map of numbers, and where the model lies
+    as_map = F.transform_values(F.str_to_map("best_params", F.lit(","), F.lit("=")), lambda _, v: v.cast("double"))
+    where = F.lit(None).cast("string") if model_dir is None else F.concat(F.lit(f"{model_dir}/"), "region")
+    out["results"] = results.withColumns({"best_params": as_map, "model_path": where})
     return out

@@ -24,7 +24,13 @@ READING_TEXT = T.StructType(
     ]
 )
 
-# A landed page: one JSON document per request.
+# Names on the wire that differ from the column names.
+WIRE_NAMES = {"respondent_name": "respondent-name", "type_name": "type-name", "value_units": "value-units"}
+# A reading as it comes, under either name.
+READING_WIRE = T.StructType([*READING_TEXT.fields, *[T.StructField(w, STR) for w in WIRE_NAMES.values()]])
+
+# A landed page: one JSON document per request; what cannot be parsed stays as text.
+CORRUPT = "corrupt"
 PAGE = T.StructType(
     [
         T.StructField(
@@ -32,10 +38,11 @@ PAGE = T.StructType(
             T.StructType(
                 [
                     T.StructField("total", STR),
-                    T.StructField("data", T.ArrayType(READING_TEXT)),
+                    T.StructField("data", T.ArrayType(READING_WIRE)),
                 ]
             ),
-        )
+        ),
+        T.StructField(CORRUPT, STR),
     ]
 )
 
@@ -86,7 +93,7 @@ ENERGY_KEYS = ["period", "respondent", "respondent_name"]
 
 WEATHER_VALUES = ["allsky_sfc_sw_dwn", "t2m", "wsc"]
 
-# Columns that get a 720-row trailing mean (order of the feature table).
+# Columns that get a 720-row trailing mean (order of the feature table).
 ROLLED = [
     "demand",
     "da_forecast",
@@ -102,7 +109,7 @@ ROLLED = [
     "unexpect_dem_diff",
 ]
 
-# Columns of the correlation report.
+# Columns of the correlation report.
 CORR_COLS = [
     "allsky_sfc_sw_dwn",
     "t2m",

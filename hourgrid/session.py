@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +53,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only when none is set (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where
+    none is set (tests).  On a cluster a machine's own folder would lose files: it raises."""
     root = spark.sparkContext.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="hourgrid-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -68,20 +74,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/hourgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Paths of the staged tables of the runs that are open (see :func:`stages`).
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``cut_lineage`` wrote inside, once their results are read."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut lineage with a written table: ``df`` is computed once, written as Parquet
     below the shared checkpoint folder and read back (columnar, prunable, and it
     survives executor loss).  ``Dataset.checkpoint`` would compute ``df`` twice
-    unless it were also persisted."""
+    unless it were also persisted.  ``partition_by`` lays the table out by those
+    columns, so that a filter on them reads their folders only."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for the few places that need a plain path."""
-    return path[5:] if path.startswith("file:") else path
+    for run in _OPEN[-1:]:
+        run.append(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-__all__ = ["get_spark", "configure", "checkpoint_root", "scratch_path", "cut_lineage", "local_path", "SESSION_CONF"]
+__all__ = ["get_spark", "configure", "checkpoint_root", "scratch_path", "cut_lineage", "stages", "SESSION_CONF"]

@@ -1,45 +1,107 @@
 """Landed reading pages: one JSON document per request, ``response.data`` holds
-the rows and ``response.total`` the size of the whole result."""
+the rows and ``response.total`` the size of the whole result.
+
+Pages come one to a file, pretty-printed or not, or as JSON lines; field names come as
+on the wire (``respondent-name``) or as column names.  A document that does not parse, or
+has no ``response``, raises: it is never read as nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.schemas import PAGE, READING_TEXT
+from hourgrid.schemas import CORRUPT, PAGE, READING_TEXT, WIRE_NAMES
 
 PAGE_ROWS = 5000
+#: Where a row was found: file, number of the document in it, place in the page.
+ARRIVAL = ["page_file", "page_doc", "page_pos"]
+#: Layouts: a document a file or JSON lines, found out by file; JSON lines in splittable files.
+LAYOUTS = ("auto", "lines")
+
+
+def parse_json(text: Column) -> Column:
+    return F.from_json(text, PAGE, {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def documents(texts: DataFrame, layout: str = "auto") -> DataFrame:
+    """(page_file, page_doc, document, page) from text files read by line (``lines``) or whole (``auto``)."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}")
+    file = F.col("_metadata.file_path").alias("page_file")
+    if layout == "lines":
+        docs = texts.select(file, F.col("_metadata.file_block_start").alias("page_doc"), F.col("value").alias("document"))
+    else:
+        lines = F.filter(F.split("value", r"\R"), lambda x: F.trim(x) != "")
+        first = parse_json(F.get(lines, F.lit(0)))
+        by_line = first[CORRUPT].isNull() & first["response"].isNotNull()
+        docs = texts.select(file, F.posexplode(F.when(by_line, lines).otherwise(F.array("value"))).alias("page_doc", "document"))
+    return docs.where(F.trim("document") != "").withColumn("page", parse_json(F.col("document")))
+
+
+def _is_corrupt() -> Column:
+    return F.col(f"page.{CORRUPT}").isNotNull() | F.col("page.response").isNull()
+
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The rows of parsed documents; a corrupt one raises."""
+    why = F.concat(F.lit("page that cannot be read: "), F.col("page_file"), F.lit(": "), F.left("document", F.lit(200)))
+    data = F.when(_is_corrupt(), F.raise_error(why)).otherwise(F.col("page.response.data"))
+    each = docs.select("page_file", "page_doc", F.col("page.response.total").try_cast("long").alias("page_total"), F.posexplode(data).alias("page_pos", "r"))
+    both = [F.coalesce(F.col("r")[c], F.col("r")[WIRE_NAMES[c]]).alias(c) if c in WIRE_NAMES else F.col("r")[c].alias(c) for c in READING_TEXT.names]
+    return each.select("page_total", *both, *ARRIVAL)
 
-def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Read landed pages with a fixed schema and explode the rows.
 
-    JSON-lines pages (one page per line) stay splittable; ``multi_line=True``
-    reads one pretty-printed document per file.  Adds ``page_total`` (the
-    ``response.total`` of the page, as a number)."""
-    pages = spark.read.schema(PAGE).option("multiLine", multi_line).json(path)
-    return pages.select(
-        F.col("response.total").try_cast("long").alias("page_total"),
-        F.inline(F.col("response.data")),
-    )
+def _texts(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    # pages lie in folders of their own names: no column is made of them
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=layout == "auto")
+
+
+def read_pages(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+    """Rows of all pages under ``path``: ``page_total`` (the ``response.total`` of the page, as a
+    number), the columns of a reading, and where each was found (``ARRIVAL``), which orders the
+    readings where the feed has no ``ordinal``."""
+    return rows_of(documents(_texts(spark, path, layout), layout))
+
+
+def corrupt_pages(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+    """(page_file, document) of what ``read_pages`` raises on."""
+    return documents(_texts(spark, path, layout), layout).where(_is_corrupt()).select("page_file", "document")
 
 
 def page_completeness(rows: DataFrame, key: str = "respondent") -> DataFrame:
     """Per request series: rows received, the total the service announced, and
     whether all pages arrived (rows >= total)."""
     out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.max("page_total").alias("total"))
-    return out.withColumn("complete", F.col("rows") >= F.col("total"))
+    return out.withColumn("complete", F.coalesce(F.col("rows") >= F.col("total"), F.lit(False)))
+
+
+def require_complete(rows: DataFrame, key: str = "respondent") -> DataFrame:
+    """``rows``, after a job that raises if a series has fewer rows than announced."""
+    missing = page_completeness(rows, key).where("NOT complete").orderBy(key).limit(20).collect()
+    if missing:
+        raise ValueError("pages are missing: " + "; ".join(f"{r[key]}: {r['rows']} of {r['total']} rows" for r in missing))
+    return rows
+
 
+def land_pages(readings_text: DataFrame, path: str, page_rows: int = PAGE_ROWS, key: str = "respondent", wire: bool = False) -> str:
+    """Write text readings as pages of at most ``page_rows`` rows per ``key`` (page = ordinal div
+    page_rows, so a page never exceeds the bound).  Returns ``path``.
 
-def land_pages(readings_text: DataFrame, path: str, page_rows: int = PAGE_ROWS, key: str = "respondent") -> str:
-    """Write text readings as JSON-lines pages of at most ``page_rows`` rows per
-    ``key`` (page = ordinal div page_rows, so a page never exceeds the bound).
-    Returns ``path``."""
-    cols = [f.name for f in READING_TEXT.fields]
+    JSON lines under the column names; with ``wire`` as the service sends them: names of the wire,
+    no ordinal, a document a file in folders by key and page, every other page pretty-printed."""
+    cols = [c for c in READING_TEXT.names if not (wire and c == "ordinal")]
     totals = readings_text.groupBy(key).agg(F.count(F.lit(1)).cast("string").alias("total"))
     paged = readings_text.withColumn("_page", F.floor(F.col("ordinal") / F.lit(page_rows)))
-    pages = paged.groupBy(key, "_page").agg(F.collect_list(F.struct(*cols)).alias("data"))
-    pages = pages.join(totals, on=key)
-    doc = F.to_json(F.struct(F.struct(F.col("total"), F.col("data")).alias("response")))
-    pages.select(doc.alias("value")).write.mode("overwrite").text(path)
+    row = F.struct(*[F.col(c).alias(WIRE_NAMES.get(c, c) if wire else c) for c in cols])
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", row.alias("row")))), lambda x: x["row"])
+    pages = paged.groupBy(key, "_page").agg(in_order.alias("data")).join(totals, on=key)
+    response = F.struct(F.struct(F.col("total"), F.col("data")).alias("response"))
+    doc = F.to_json(response)
+    if not wire:
+        pages.select(doc.alias("value")).write.mode("overwrite").text(path)
+        return path
+    doc = F.when(F.col("_page") % 2 == 0, F.to_json(response, {"pretty": "true"})).otherwise(doc)
+    out = pages.select(doc.alias("value"), key, F.lpad(F.col("_page").cast("string"), 12, "0").alias("page"))
+    out.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(key, "page").text(path)
     return path

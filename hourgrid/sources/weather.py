@@ -3,9 +3,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.operators.sinks import write_if_absent
 from hourgrid.functions.timeparse import hour_from_parts
 from hourgrid.schemas import WEATHER_CSV_DDL, WEATHER_VALUES
 
@@ -31,16 +34,32 @@ def read_weather_text(
     path: str,
     missing_sentinel: float | None = None,
     region_pattern: str = REGION_IN_NAME,
+    region: str | None = None,
+    regions: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read every weather file under ``path`` at once.  The region comes from a
-    ``region=<code>`` folder (partition discovery) or else from the file name."""
+    """Read every weather file under ``path`` at once.  The region comes from the
+    argument ``region``, a ``region=<code>`` folder (read as text: ``007`` stays), or
+    else the file name; a name that does not match raises.  ``regions`` keeps those
+    only, and reads their folders only where there are such."""
     raw = spark.read.text(path)
-    if "region" in raw.columns:
-        region = F.col("region")
+    if region is not None:
+        code = F.lit(region)
+    elif "region" in raw.columns:
+        raw = spark.read.schema("value STRING, region STRING").text(path)
+        code = F.col("region")
     else:
         raw = raw.withColumn("_file", F.col("_metadata.file_path"))
-        region = F.regexp_extract(F.col("_file"), region_pattern, 1)
-    return parse_weather_lines(raw, region, missing_sentinel)
+        found = F.regexp_extract(F.col("_file"), region_pattern, 1)
+        why = F.concat(F.lit("no region in the file name: "), F.col("_file"))
+        code = F.when(found == "", F.raise_error(why)).otherwise(found)
+    if regions is not None:
+        raw = raw.where(code.isin(list(regions)))
+    return parse_weather_lines(raw, code, missing_sentinel)
+
+
+def write_weather(weather: DataFrame, path: str) -> str:
+    """Weather hours as Parquet by region, in time order within each file, written once."""
+    return write_if_absent(weather.sortWithinPartitions("region", "datetime"), path)
 
 
 def render_weather_lines(weather: DataFrame, header_lines: int = 14) -> DataFrame:

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.operators.reshape import parse_readings
-from hourgrid.schemas import ENERGY_KEYS, PAGE
+from hourgrid.schemas import ENERGY_KEYS
+from hourgrid.sources.pages import documents, rows_of
 
 
 def page_stream(spark: SparkSession, landing_dir: str, max_files: int = 1000) -> DataFrame:
     """Streaming DataFrame of parsed readings from page files under ``landing_dir``."""
-    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", max_files).json(landing_dir)
-    rows = pages.select(F.col("response.total").try_cast("long").alias("page_total"), F.inline(F.col("response.data")))
-    return parse_readings(rows)
+    texts = spark.readStream.option("maxFilesPerTrigger", max_files).text(landing_dir, wholetext=True)
+    return parse_readings(rows_of(documents(texts)))
 
 
 def ingest_pages(
@@ -54,10 +54,13 @@ def ingest_pages(
 def stream_hours(
     readings: DataFrame,
     types: Mapping[str, str],
-    lateness: str = "2 days",
+    lateness: str,
     keys: Sequence[str] = tuple(ENERGY_KEYS),
 ) -> DataFrame:
-    """Watermarked streaming pivot: one wide row per hour, emitted when final."""
+    """Watermarked streaming pivot: one wide row per hour, emitted when final.
+
+    Readings that come more than ``lateness`` behind the newest are left out (Spark counts them
+    as ``numRowsDroppedByWatermark``); the batch pivot takes them all."""
     keys = list(keys)
     ok = F.col("value").isNotNull() & F.col("type_name").isin(list(types))
     # watermarks need TIMESTAMP: an LTZ copy of the hour (same instant under the UTC session)
