@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity
 from hourgrid.llm.common import table
+from hourgrid.llm.oracle import ORACLE
 from hourgrid.llm.words import fold
 
 
@@ -83,19 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {
-    "op5_exact_topk": """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
-    FROM embeddings
-    WHERE embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
-)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-WHERE rank <= 5
-""",
-}
+__all__ = ["ORACLE", "QUERIES"]
