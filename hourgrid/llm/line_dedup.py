@@ -4,15 +4,16 @@ A line counts by its form without outer white space, in lower case.  Lines whose
 5-character shingles have a Jaccard similarity of 0.8 or more are linked, equal lines are one,
 and of each connected component one line stays: that of the smallest key, row and place.
 
-* Signature: the MinHash of the character shingles that begin a word (12 characters from
+* Signature: the MinHash of the character shingles that begin a word (ten characters from
   there), a fixed part of all shingles, kept as its five smallest hashes.  A line without
   letters and digits takes all its 5-character shingles instead.
-* Banding: each of the five is a band of one row.  Two lines of similarity 0.8 share one of
-  them with a probability of about 0.99, and near copies with one changed word nearly always.
+* Banding: each two of the five are a band, ten bands in all (lines of up to six shingles:
+  each one of them as well).  Lines with a changed word or two share a band nearly always,
+  lines at the very limit of 0.8 with a probability of about 0.93.
 * Verification is exact, on all 5-character shingles.  A bucket is first a star: each line
   against the smallest of the bucket, so the work is linear in its rows.  Only lines of a
-  bucket that are still in different components are then compared with each other, where
-  their signatures share two hashes (or are too small for that).
+  bucket that are still in different components are then compared with each other.  Pairs
+  whose signatures come from less than half as many shingles cannot be similar and are left out.
 * Union-find over the links (``components``), and the first line of each component stays.
 
 Texts never travel with the signatures: those are made beside the scan, and the texts of
@@ -32,29 +33,38 @@ from hourgrid.llm.components import components
 
 SIMILARITY = 0.8
 SHINGLE = 5
-BANDS = 5
-# Where a word begins (in scripts without spaces, after each sign), and 12
-# characters from there; all shingles.
-WORD_START = r"(?:(?<![\p{L}\p{N}])|(?<=[฀-๿぀-ヿ㐀-鿿가-힯]))(?=([\p{L}\p{N}].{0,11}))"
-EVERY = rf"(?=(.{{{SHINGLE}}}))"
+SIGNATURE = 5
+#: Lines of so few shingles have each of them as a band, too.
+FEW = 6
+# Ten characters from the beginning of a word (in scripts without spaces, of a
+# sign), where the search goes on behind the word; all shingles; white space.
+ALONE = "฀-๿぀-ヿ㐀-鿿가-힯"
+WORD_START = rf"(?s)(?=(.{{1,10}}))(?:[{ALONE}]|[\p{{L}}\p{{N}}&&[^{ALONE}]]++[^\p{{L}}\p{{N}}]*+)"
+WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u2028\u2029\u202f\u3000"
+EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
+    return F.lower(F.btrim(line, F.lit(WHITE)))
 
 
-def signature(line: Column) -> Column:
-    """The five smallest hashes of the shingles that begin a word."""
+def hashes(line: Column) -> Column:
+    """The hashes of the shingles that begin a word, ascending."""
     starts = F.regexp_extract_all(line, F.lit(WORD_START), F.lit(1))
     every = F.array_append(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), F.left(line, F.lit(SHINGLE)))
-    hashes = lambda xs: F.slice(F.array_sort(F.array_distinct(F.transform(xs, lambda x: F.xxhash64(x)))), 1, BANDS)
-    return hashes(F.when(F.size(starts) > 0, starts).otherwise(every))
+    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(starts) > 0, starts).otherwise(every), lambda x: F.xxhash64(x))))
+
+
+def bands(sig: Column, n: Column) -> Column:
+    """The bands of a signature of ``n`` hashes: each two, and of few each one."""
+    pairs = F.flatten(F.transform(sig, lambda x, i: F.transform(F.slice(sig, i + 2, SIGNATURE), lambda y: F.xxhash64(x, y))))
+    return F.when(n <= FEW, F.concat(pairs, sig)).otherwise(pairs)
 
 
 def shingles(line: Column) -> Column:
-    """All 5-character shingles as a set; a shorter line is one."""
-    every = F.array_distinct(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+    """All 5-character shingles as a set of 64-bit hashes; a shorter line is one."""
+    every = F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), lambda x: F.xxhash64(x)))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(every)
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
@@ -70,39 +80,46 @@ def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar."""
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"{c}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(similar(shingles(F.col("a_line")), shingles(F.col("b_line")), least)).select("a", "b")
+    """The pairs (a, b) whose lines are similar.
+
+    The hashes of the word beginnings are a tenth of the shingles: pairs that share far too few
+    of them go first.  What is left is decided on all shingles, made once for a pair (a lambda
+    binds them; a column would be made again wherever the optimizer puts it)."""
+    sides = {c: texts.select(*[F.col(x).alias(f"{c}_{x}") for x in texts.columns]) for c in "ab"}
+    both = pairs.join(sides["a"], F.col("a") == F.col("a_h")).join(sides["b"], F.col("b") == F.col("b_h"))
+    near = both.where(similar(F.col("a_hs"), F.col("b_hs"), least / 2) | (F.least(F.size("a_hs"), F.size("b_hs")) <= FEW))
+    sets = F.struct(shingles(F.col("a_line")).alias("a"), shingles(F.col("b_line")).alias("b"))
+    return near.where(F.exists(F.array(sets), lambda s: similar(s["a"], s["b"], least))).select("a", "b")
 
 
 def line_groups(docs: DataFrame, row: str, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, pos) of every line that is to go.  ``docs`` has a row number column ``row``."""
     d = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     lines = lines_of(d, "row", "text")
-    seen = staged(lines.select("row", "pos", F.xxhash64("line").alias("h"), signature(F.col("line")).alias("sig")), "lines")
+    signed = lines.select("row", "pos", F.xxhash64("line").alias("h"), hashes(F.col("line")).alias("hs"))
+    seen = staged(signed.select("row", "pos", "h", F.slice("hs", 1, SIGNATURE).alias("sig"), F.size("hs").alias("w")), "lines")
 
-    bands = seen.select(F.explode("sig").alias("band"), "h")
-    pivots = bands.groupBy("band").agg(F.min("h").alias("pivot"))
-    starred = staged(bands.join(pivots, "band").where("h <> pivot").distinct(), "line-bands")
+    # (band, h, w); the pivot of a bucket is its smallest line, with its size
+    banded = seen.select(F.explode(bands(F.col("sig"), F.col("w"))).alias("band"), "h", "w")
+    pivots = banded.groupBy("band").agg(F.min("h").alias("pivot"))
+    starred = staged(banded.join(pivots, "band").where("h <> pivot").distinct(), "line-bands")
     stars = starred.select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
     # every line of a bucket of two or more: its pivot and the others
     wanted = stars.select(F.col("a").alias("h")).union(stars.select("b")).distinct()
-    texts = staged(lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "candidate-lines")
+    asked = lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = staged(asked.select("h", "line", hashes(F.col("line")).alias("hs")), "candidate-lines")
     links = staged(_verified(stars, texts, similarity), "star-links")
 
     # lines of a bucket that the stars left in different components
     found = components(links).toDF("h", "comp")
-    members = starred.select("band", "h").union(starred.select("band", F.col("pivot").alias("h"))).distinct()
-    placed = staged(members.join(found, "h", "left").select("band", "h", F.coalesce("comp", "h").alias("comp")), "line-places")
+    members = starred.select("band", "h", "w").union(starred.select("band", F.col("pivot").alias("h"), F.lit(None).cast("int")).distinct())
+    placed = staged(members.join(found, "h", "left").select("band", "h", "w", F.coalesce("comp", "h").alias("comp")), "line-places")
     split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    sigs = seen.select("h", "sig").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    open_ = staged(placed.join(split, "band", "left_semi").join(sigs, "h"), "open-bands")
-    x, y = open_.toDF("x_h", "band", "x_comp", "x_sig"), open_.toDF("y_h", "band", "y_comp", "y_sig")
-    shared = F.size(F.array_intersect("x_sig", "y_sig"))
-    enough = (shared >= 2) | (F.least(F.size("x_sig"), F.size("y_sig")) < BANDS)
+    open_ = staged(placed.join(split, "band", "left_semi"), "open-bands")
+    x, y = (open_.toDF(*[f"{s}_{c}" for c in open_.columns]) for s in "xy")
     pivot_done = stars.select(F.col("a").alias("x_h"), F.col("b").alias("y_h"))
-    on = (x["band"] == y["band"]) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & enough
+    sizes = F.coalesce(2 * F.least("x_w", "y_w") >= F.greatest("x_w", "y_w"), F.lit(True))
+    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & sizes
     cross = x.join(y, on).select("x_h", "y_h").distinct().join(pivot_done, ["x_h", "y_h"], "left_anti").toDF("a", "b")
     more = staged(_verified(cross, texts, similarity), "cross-links")
 
@@ -135,4 +152,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     return out.withColumns(added).withColumn(text, left).select(*docs.columns, *added)
 
 
-__all__ = ["components", "dedup_lines", "line_groups", "lines_of", "shingles", "signature", "similar"]
+__all__ = ["bands", "dedup_lines", "line_groups", "hashes", "lines_of", "shingles", "similar"]
