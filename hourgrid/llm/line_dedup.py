@@ -52,7 +52,7 @@ def hashes(line: Column) -> Column:
     """The hashes of the shingles that begin a word, ascending."""
     starts = F.regexp_extract_all(line, F.lit(WORD_START), F.lit(1))
     every = F.array_append(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), F.left(line, F.lit(SHINGLE)))
-    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(starts) > 0, starts).otherwise(every), lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(F.transform(F.when(F.size(starts) > 0, starts).otherwise(every), lambda x: F.xxhash64(x))))
 
 
 def bands(sig: Column, n: Column) -> Column:
@@ -69,8 +69,9 @@ def shingles(line: Column) -> Column:
 
 def similar(a: Column, b: Column, least: float) -> Column:
     """Whether two sets have a Jaccard similarity of ``least`` or more."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= least * (F.size(a) + F.size(b) - both)
+    # both >= least * (a + b - both), in whole numbers and with the intersection made once
+    part = round(least * 1000)
+    return F.size(F.array_intersect(a, b)) * (1000 + part) >= part * (F.size(a) + F.size(b))
 
 
 def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
