@@ -36,6 +36,10 @@ SHINGLE = 5
 SIGNATURE = 5
 #: Lines of so few shingles have each of them as a band, too.
 FEW = 6
+#: Lines of so few characters have too few word beginnings to go by them before verification.
+SHORT_CHARS = 60
+#: A line edited down to the similarity keeps more than this part of it among its word beginnings.
+FAR = 0.56
 # Ten characters from the beginning of a word (in scripts without spaces, of a
 # sign), where the search goes on behind the word; all shingles; white space.
 ALONE = "฀-๿぀-ヿ㐀-鿿가-힯"
@@ -88,7 +92,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     binds them; a column would be made again wherever the optimizer puts it)."""
     sides = {c: texts.select(*[F.col(x).alias(f"{c}_{x}") for x in texts.columns]) for c in "ab"}
     both = pairs.join(sides["a"], F.col("a") == F.col("a_h")).join(sides["b"], F.col("b") == F.col("b_h"))
-    near = both.where(similar(F.col("a_hs"), F.col("b_hs"), least / 2) | (F.least(F.size("a_hs"), F.size("b_hs")) <= FEW))
+    short = F.least(F.length("a_line"), F.length("b_line")) <= SHORT_CHARS
+    near = both.where(short | similar(F.col("a_hs"), F.col("b_hs"), least * FAR))
     sets = F.struct(shingles(F.col("a_line")).alias("a"), shingles(F.col("b_line")).alias("b"))
     return near.where(F.exists(F.array(sets), lambda s: similar(s["a"], s["b"], least))).select("a", "b")
 
