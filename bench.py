@@ -31,6 +31,10 @@ HEADLINE = [
     "sequence_24",  # split, scale, 24-row sequences
     "region_site",  # F1
     "weather_read",  # F3
+    "energy_pages",  # S1 + F2: pages of the wire to hours
+    "expanding_folds",  # W6
+    "best_params",  # A8
+    "region_results",  # A9
 ]
 
 
