@@ -121,11 +121,14 @@ def line_groups(docs: DataFrame, row: str, key: str = "doc_id", text: str = "tex
     members = starred.select("band", "h", "w").union(starred.select("band", F.col("pivot").alias("h"), F.lit(None).cast("int")).distinct())
     placed = staged(members.join(found, "h", "left").select("band", "h", "w", F.coalesce("comp", "h").alias("comp")), "line-places")
     split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    open_ = staged(placed.join(split, "band", "left_semi"), "open-bands")
+    # what decides whether two lines can be similar goes into the join: only such pairs come out
+    looks = texts.select("h", "hs", F.length("line").alias("n"))
+    open_ = staged(placed.join(split, "band", "left_semi").join(looks, "h"), "open-bands")
     x, y = (open_.toDF(*[f"{s}_{c}" for c in open_.columns]) for s in "xy")
     pivot_done = stars.select(F.col("a").alias("x_h"), F.col("b").alias("y_h"))
     sizes = F.coalesce(2 * F.least("x_w", "y_w") >= F.greatest("x_w", "y_w"), F.lit(True))
-    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & sizes
+    can = (F.least("x_n", "y_n") <= SHORT_CHARS) | similar(F.col("x_hs"), F.col("y_hs"), similarity * FAR)
+    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & sizes & can
     cross = x.join(y, on).select("x_h", "y_h").distinct().join(pivot_done, ["x_h", "y_h"], "left_anti").toDF("a", "b")
     more = staged(_verified(cross, texts, similarity), "cross-links")
 
