@@ -35,9 +35,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a table read from files.  The numbers depend on the file splits
-    only, so two scans of the same files, and a task that runs again, give the same ones."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """``df`` with a row number, written once.  The numbers follow the splits of one scan, which
+    follow the cores registered when it is planned: a second scan may number other rows so.
+    Every later read of the written table gives the same ones."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -227,7 +227,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, home_rows: int = HOME_ROWS)
 def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(row, key, fp): row number, key and fingerprint (signed long) of every document, written once."""
     bounded_batches(docs.sparkSession)
-    d = with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
+    # numbered in the scan that writes the fingerprints: the texts are not read again
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    return _fingerprinted(d, words)
+
+
+def _fingerprinted(d: DataFrame, words: int) -> DataFrame:
+    """The same for (row, key, text) that are numbered already."""
     schema = T.StructType([T.StructField("row", T.LongType()), d.schema["key"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,10 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(row, key, fp, label, component_id) of every document: ``label`` is the smallest
     fingerprint and ``component_id`` the smallest key that the document reaches by links."""
-    seen = fingerprinted(docs, key, text, words)
+    return _groups(fingerprinted(docs, key, text, words), max_bits)
+
+
+def _groups(seen: DataFrame, max_bits: int) -> DataFrame:
     fps = staged(seen.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
     found = components(links(fps, max_bits)).toDF("fp", "label")
     linked = staged(fps.join(found, "fp"), "linked")
@@ -256,11 +265,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the smallest key (null keys last),
     and of repeated rows the first."""
-    found = groups(docs, key, text)
+    row = fresh(docs, "row")
+    d = with_row_id(docs, row)
+    bounded_batches(docs.sparkSession)
+    found = _groups(_fingerprinted(d.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), SHINGLE_WORDS), MAX_BITS)
     order = F.struct(F.col("key").isNull(), "key", "row")
     kept = found.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"))
-    row = fresh(docs, "row")
-    return with_row_id(docs, row).join(kept.withColumnRenamed("row", row), row, "left_semi").select(docs.columns)
+    return d.join(kept.withColumnRenamed("row", row), row, "left_semi").select(docs.columns)
 
 
 __all__ = ["anchors", "fingerprints", "groups", "keep_one", "links"]

@@ -213,6 +213,44 @@ def test_large_components_stay_exact():
     assert exact_topk.tile(np.array([9]), q, np.array([1, 2]), v, 1)[1].tolist() == [2]
 
 
+# ------------------------------------------------------------------ row numbers
+def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
+    """The files are split another way (as with other cores) after the first staged write."""
+    part = "spark.sql.files.minPartitionNum"
+    docs = [(i, f"{'alpha beta gamma delta' if i % 2 else f'{i} number of words {i * i} own'}\npassword = 'abcdefghi{i:03}' x") for i in range(64)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+
+    def resplit(fn):
+        def run(*a, **k):
+            spark.conf.set(part, 8)
+            return fn(*a, **k)
+
+        return run
+
+    def texts(out):
+        return {r.doc_id: r.text for r in out.collect()}
+
+    try:
+        spark.conf.set(part, 2)
+        few = df.rdd.getNumPartitions()
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "components", resplit(line_dedup.components))
+            got = texts(line_dedup.dedup_lines(df))
+        assert got == plain_dedup(docs) and spark.read.parquet(str(tmp_path / "d")).rdd.getNumPartitions() > few
+        spark.conf.set(part, 2)
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "components", resplit(simhash.components))
+            kept = simhash.keep_one(df.withColumn("text", F.split("text", "\n")[0]))
+            assert set(texts(kept)) == {1, *range(0, 64, 2)}
+        spark.conf.set(part, 2)
+        red = secret_scan.redact(df)
+        spark.conf.set(part, 8)
+        assert texts(red) == {i: t.split("password")[0] + "[REDACTED]' x" for i, t in docs}
+    finally:
+        spark.conf.unset(part)
+
+
 # ------------------------------------------------------------------ secrets
 KEY40 = "wJalrXUtnFEMI0K7MDENG0bPxRfiCYEXAMPLEKEY"
 SECRETS = [
