@@ -5,15 +5,17 @@ A line counts by its form without outer white space, in lower case.  Lines whose
 and of each connected component one line stays: that of the smallest key, row and place.
 
 * Signature: the MinHash of the character shingles that begin a word (ten characters from
-  there), a fixed part of all shingles, kept as its five smallest hashes.  A line without
-  letters and digits takes all its 5-character shingles instead.
+  there), a fixed part of all shingles, kept as its five smallest hashes.  A line with few of
+  them for its length (long unbroken tokens, no letters) has a second signature of all its
+  5-character shingles.
 * Banding: each two of the five are a band, ten bands in all (lines of up to six shingles:
   each one of them as well).  Lines with a changed word or two share a band nearly always,
   lines at the very limit of 0.8 with a probability of about 0.93.
 * Verification is exact, on all 5-character shingles.  A bucket is first a star: each line
   against the smallest of the bucket, so the work is linear in its rows.  Only lines of a
-  bucket that are still in different components are then compared with each other.  Pairs
-  whose signatures come from less than half as many shingles cannot be similar and are left out.
+  bucket that are still in different components are then compared with each other.  Left out
+  before are only pairs that cannot be similar: by the numbers of their shingles, and by the
+  most that they can share if a fixed part of the hashes is compared and all others agree.
 * Union-find over the links (``components``), and the first line of each component stays.
 
 Texts never travel with the signatures: those are made beside the scan, and the texts of
@@ -36,10 +38,11 @@ SHINGLE = 5
 SIGNATURE = 5
 #: Lines of so few shingles have each of them as a band, too.
 FEW = 6
-#: Lines of so few characters have too few word beginnings to go by them before verification.
-SHORT_CHARS = 60
-#: A line edited down to the similarity keeps more than this part of it among its word beginnings.
-FAR = 0.56
+#: Lines with less than one word beginning in so many characters are signed on all shingles, too:
+#: where an unbroken token makes up 0.8 of a line, what is left has no room for more.
+SPARSE = 8
+#: One in so many hashes, by its lowest bits, is compared before all are (a power of two).
+SAMPLE = 4
 # Ten characters from the beginning of a word (in scripts without spaces, of a
 # sign), where the search goes on behind the word; all shingles; white space.
 ALONE = "฀-๿぀-ヿ㐀-鿿가-힯"
@@ -55,8 +58,7 @@ def normal(line: Column) -> Column:
 def hashes(line: Column) -> Column:
     """The hashes of the shingles that begin a word, ascending."""
     starts = F.regexp_extract_all(line, F.lit(WORD_START), F.lit(1))
-    every = F.array_append(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)), F.left(line, F.lit(SHINGLE)))
-    return F.sort_array(F.array_distinct(F.transform(F.when(F.size(starts) > 0, starts).otherwise(every), lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x))))
 
 
 def bands(sig: Column, n: Column) -> Column:
@@ -78,6 +80,23 @@ def similar(a: Column, b: Column, least: float) -> Column:
     return F.size(F.array_intersect(a, b)) * (1000 + part) >= part * (F.size(a) + F.size(b))
 
 
+def possible(a_n: Column, a_part: Column, b_n: Column, b_part: Column, least: float) -> Column:
+    """Whether sets of ``n`` hashes can be similar, by those of their hashes in the sample: a
+    bound, true for all that are.  Outside the sample the smaller rest is the most they share."""
+    part = round(least * 1000)
+    sizes = F.least(a_n, b_n) * 1000 >= F.greatest(a_n, b_n) * part
+    most = F.size(F.array_intersect(a_part, b_part)) + F.least(a_n - F.size(a_part), b_n - F.size(b_part))
+    return sizes & (most * (1000 + part) >= (a_n + b_n) * part)
+
+
+def sampled(line: Column) -> Column:
+    """(n, part) of a line: how many shingles it has, and the hashes of the sample in 16 bits.
+    Hashes that fall together count once on either side, so the bound holds with them."""
+    short = lambda x: (F.pmod(F.shiftright(x, 8), F.lit(1 << 16)) - (1 << 15)).cast("smallint")
+    part = lambda s: F.array_distinct(F.transform(F.filter(s, lambda x: x.bitwiseAND(F.lit(SAMPLE - 1)) == 0), short))
+    return F.get(F.transform(F.array(shingles(line)), lambda s: F.struct(F.size(s).alias("n"), part(s).alias("part"))), F.lit(0))
+
+
 def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
     """``row``, ``pos``, ``line`` (normal form) of every line that is not blank."""
     line = docs.select(row, F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
@@ -87,13 +106,12 @@ def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar.
 
-    The hashes of the word beginnings are a tenth of the shingles: pairs that share far too few
-    of them go first.  What is left is decided on all shingles, made once for a pair (a lambda
-    binds them; a column would be made again wherever the optimizer puts it)."""
+    Pairs that cannot be by their samples go first.  What is left is decided on all shingles,
+    made once for a pair (a lambda binds them; a column would be made again wherever the
+    optimizer puts it)."""
     sides = {c: texts.select(*[F.col(x).alias(f"{c}_{x}") for x in texts.columns]) for c in "ab"}
     both = pairs.join(sides["a"], F.col("a") == F.col("a_h")).join(sides["b"], F.col("b") == F.col("b_h"))
-    short = F.least(F.length("a_line"), F.length("b_line")) <= SHORT_CHARS
-    near = both.where(short | similar(F.col("a_hs"), F.col("b_hs"), least * FAR))
+    near = both.where(possible(*[F.col(c) for c in ("a_n", "a_part", "b_n", "b_part")], least))
     sets = F.struct(shingles(F.col("a_line")).alias("a"), shingles(F.col("b_line")).alias("b"))
     return near.where(F.exists(F.array(sets), lambda s: similar(s["a"], s["b"], least))).select("a", "b")
 
@@ -102,33 +120,36 @@ def line_groups(docs: DataFrame, row: str, key: str = "doc_id", text: str = "tex
     """(row, pos) of every line that is to go.  ``docs`` has a row number column ``row``."""
     d = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     lines = lines_of(d, "row", "text")
-    signed = lines.select("row", "pos", F.xxhash64("line").alias("h"), hashes(F.col("line")).alias("hs"))
-    seen = staged(signed.select("row", "pos", "h", F.slice("hs", 1, SIGNATURE).alias("sig"), F.size("hs").alias("w")), "lines")
-
-    # (band, h, w); the pivot of a bucket is its smallest line, with its size
-    banded = seen.select(F.explode(bands(F.col("sig"), F.col("w"))).alias("band"), "h", "w")
+    signed = lines.select("row", "pos", "line", F.xxhash64("line").alias("h"), hashes(F.col("line")).alias("hs"))
+    sparse = F.size("hs") * SPARSE < F.length("line")
+    signed = signed.select("row", "pos", "h", "hs", F.when(sparse, F.sort_array(shingles(F.col("line")))).alias("all"))
+    signatures = [F.struct(F.slice(c, 1, SIGNATURE).alias("sig"), F.size(c).alias("n")).alias(c) for c in ("hs", "all")]
+    seen = staged(signed.select("row", "pos", "h", *signatures), "lines")
+
+    # (band, h); the pivot of a bucket is its smallest line
+    of_all = F.coalesce(bands(F.col("all.sig"), F.col("all.n")), F.array().cast("array<bigint>"))
+    banded = seen.select(F.explode(F.concat(bands(F.col("hs.sig"), F.col("hs.n")), of_all)).alias("band"), "h")
     pivots = banded.groupBy("band").agg(F.min("h").alias("pivot"))
     starred = staged(banded.join(pivots, "band").where("h <> pivot").distinct(), "line-bands")
     stars = starred.select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
     # every line of a bucket of two or more: its pivot and the others
     wanted = stars.select(F.col("a").alias("h")).union(stars.select("b")).distinct()
     asked = lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = staged(asked.select("h", "line", hashes(F.col("line")).alias("hs")), "candidate-lines")
+    texts = staged(asked.select("h", "line", sampled(F.col("line")).alias("s")).select("h", "line", "s.n", "s.part"), "candidate-lines")
     links = staged(_verified(stars, texts, similarity), "star-links")
 
     # lines of a bucket that the stars left in different components
     found = components(links).toDF("h", "comp")
-    members = starred.select("band", "h", "w").union(starred.select("band", F.col("pivot").alias("h"), F.lit(None).cast("int")).distinct())
-    placed = staged(members.join(found, "h", "left").select("band", "h", "w", F.coalesce("comp", "h").alias("comp")), "line-places")
+    members = starred.select("band", "h").union(starred.select("band", F.col("pivot").alias("h")).distinct())
+    placed = staged(members.join(found, "h", "left").select("band", "h", F.coalesce("comp", "h").alias("comp")), "line-places")
     split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     # what decides whether two lines can be similar goes into the join: only such pairs come out
-    looks = texts.select("h", "hs", F.length("line").alias("n"))
+    looks = texts.select("h", "n", "part")
     open_ = staged(placed.join(split, "band", "left_semi").join(looks, "h"), "open-bands")
     x, y = (open_.toDF(*[f"{s}_{c}" for c in open_.columns]) for s in "xy")
     pivot_done = stars.select(F.col("a").alias("x_h"), F.col("b").alias("y_h"))
-    sizes = F.coalesce(2 * F.least("x_w", "y_w") >= F.greatest("x_w", "y_w"), F.lit(True))
-    can = (F.least("x_n", "y_n") <= SHORT_CHARS) | similar(F.col("x_hs"), F.col("y_hs"), similarity * FAR)
-    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & sizes & can
+    can = possible(*[F.col(c) for c in ("x_n", "x_part", "y_n", "y_part")], similarity)
+    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & can
     cross = x.join(y, on).select("x_h", "y_h").distinct().join(pivot_done, ["x_h", "y_h"], "left_anti").toDF("a", "b")
     more = staged(_verified(cross, texts, similarity), "cross-links")
 
@@ -161,4 +182,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     return out.withColumns(added).withColumn(text, left).select(*docs.columns, *added)
 
 
-__all__ = ["bands", "dedup_lines", "line_groups", "hashes", "lines_of", "shingles", "similar"]
+__all__ = ["bands", "dedup_lines", "line_groups", "hashes", "lines_of", "possible", "sampled", "shingles", "similar"]

@@ -180,6 +180,35 @@ def test_near_lines_and_templates(spark):
     assert {r.doc_id: r.text for r in got.collect()} == plain_dedup(docs)
 
 
+def test_lines_of_long_tokens(spark):
+    r = random.Random(7)
+    token = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    docs = []
+    for i in range(12):
+        t = token(160)
+        docs += [(10 * i, t), (10 * i + 1, f"{t} ab cd"), (10 * i + 2, f"{token(3)} {t[:90]}-{t[90:]} {token(2)} x y"), (10 * i + 3, f"key {token(160)} ab cd")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = plain_dedup(docs)
+    assert sum(t == "" for t in want.values()) == 24
+    assert {x.doc_id: x.text for x in got.collect()} == want
+
+
+def test_sample_is_a_bound(spark):
+    r = random.Random(11)
+    rows = []
+    for n in range(400):
+        a = [r.choice("abcdef ") for _ in range(r.randrange(1, 120))]
+        b = a[:]
+        for _ in range(r.randrange(0, 8)):
+            b[r.randrange(len(b))] = r.choice("xyz ")
+        rows.append(("".join(a), "".join(b) + "q" * (n % 5)))
+    a, b = (line_dedup.sampled(F.col(c)) for c in "ab")
+    can = line_dedup.possible(a["n"], a["part"], b["n"], b["part"], 0.8)
+    is_ = line_dedup.similar(line_dedup.shingles(F.col("a")), line_dedup.shingles(F.col("b")), 0.8)
+    got = Counter(map(tuple, spark.createDataFrame(rows, "a string, b string").select(can, is_).collect()))
+    assert not got[False, True] and got[True, True] > 50 and got[False, False] > 50
+
+
 def test_line_dedup_frames(spark, edge, empty):
     got = line_dedup.dedup_lines(edge, counts=("n", "m"))
     assert got.columns == [*edge.columns, "n", "m"]
