@@ -4,13 +4,16 @@ A page is cut into blocks at block-level tags.  Scripts, styles, forms, menus, h
 footers, sidebars, adverts, notices and reader comments go by their elements, roles and
 class names.  Then two passes over what is left:
 
-1. each block is classed by its link density, its length and its density of stop words:
-   good, bad, or ambiguous where it is too short to tell.  On a page with an article (or
-   main) element only blocks in it can be good, and there no stop words are asked for, since
-   the element already says that it is prose;
+1. each block is classed by its link density, its length and its density of stop words, in an
+   article (or main) element and outside: good, bad, or ambiguous where it is too short to
+   tell.  The element is a prior for two kinds only, if one article has at least as much prose
+   as all that is outside: prose of moderate length outside is ambiguous, and blocks without
+   enough stop words are good in an article that has no prose by them (another language).
+   Where an article has prose, such blocks are bad if long and ambiguous if of moderate length;
 2. an ambiguous block inherits the label of the nearest decided block of its part of the page
    (its article, or the page): the one of both sides, else that of the nearer side, the one
-   before on a tie.  Where nothing is decided, ambiguous blocks of an article are good, others bad.
+   before on a tie.  Where nothing is decided, ambiguous blocks of an article are good by that
+   prior, others bad.
 
 Null and empty pages have empty text.  Markup that is never closed ends with the page.
 Repeated rows are extracted each.
@@ -64,6 +67,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 LINK_DENSITY = 0.5
 SHORT_CHARS = 70
+LONG_CHARS = 200
 STOP_DENSITY = 0.1
 
 
@@ -171,26 +175,41 @@ def blocks_of(page_html: str) -> list[Block]:
     return page.blocks
 
 
-def first_pass(b: Block, has_article: bool) -> bool | None:
-    """True: good, False: bad, None: too short to tell."""
-    if b.linked > LINK_DENSITY * len(b.text):
-        return False
-    if has_article and not b.article:
-        return False
-    if len(b.text) < SHORT_CHARS:
-        return None
-    if b.article:
-        return True
-    if "\N{COPYRIGHT SIGN}" in b.text:
-        return False
+def _dense(b: Block) -> bool:
     words = WORD.findall(b.text.lower())
     return sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * max(len(words), 1)
 
 
+def first_pass(blocks: list[Block]) -> tuple[list[bool | None], bool]:
+    """By block True: good, False: bad, None: ambiguous; and whether the articles hold the page's prose."""
+    open_ = [b.linked <= LINK_DENSITY * len(b.text) and len(b.text) >= SHORT_CHARS for b in blocks]
+    dense = [o and _dense(b) for b, o in zip(blocks, open_, strict=True)]
+    prose: dict[int, int] = {}
+    for b, d in zip(blocks, dense, strict=True):
+        prose[b.article] = prose.get(b.article, 0) + d * len(b.text)
+    most = max((n for article, n in prose.items() if article), default=-1)
+    inside = most >= prose.get(0, 0)
+    out: list[bool | None] = []
+    for b, o, d in zip(blocks, open_, dense, strict=True):
+        if b.linked > LINK_DENSITY * len(b.text):
+            out.append(False)
+        elif not o:
+            out.append(None)
+        elif d:
+            # prose beside an article that holds more of it may be a notice
+            out.append(None if inside and not b.article and len(b.text) < LONG_CHARS else True)
+        elif inside and b.article and not prose[b.article]:
+            # an article without any prose is in a language that the stop words do not tell
+            out.append(True)
+        else:
+            # of an article, a block of moderate length has too few words to go by them alone
+            out.append(None if b.article and len(b.text) < LONG_CHARS else False)
+    return out, inside
+
+
 def labels(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    has_article = any(b.article for b in blocks)
-    first = [first_pass(b, has_article) for b in blocks]
+    first, inside = first_pass(blocks)
     before: list[tuple[int, bool] | None] = [None] * len(blocks)
     after: list[tuple[int, bool] | None] = [None] * len(blocks)
     for order, held in ((range(len(blocks)), before), (range(len(blocks) - 1, -1, -1), after)):
@@ -204,7 +223,7 @@ def labels(blocks: list[Block]) -> list[bool]:
         if (label := first[i]) is not None:
             out.append(label)
         elif before[i] is None and after[i] is None:
-            out.append(b.article > 0)
+            out.append(inside and b.article > 0)
         else:
             sides = sorted((abs(s[0] - i), n, s[1]) for n, s in enumerate((before[i], after[i])) if s)
             out.append(sides[0][2])

@@ -230,6 +230,25 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+PROSE = "the cat and the dog of the house went to the sea with a friend and came back. "
+ADVERT = "buy cheap watches online today " * 5
+BY_STOP_WORDS = [
+    # cards are articles, the story is not in one
+    (f"<article><h3>Card one</h3></article><article><p>Card two</p></article><div><p>{PROSE * 3}</p><p>{PROSE}</p><p>Short tail.</p></div>", f"{PROSE * 4}Short tail."),
+    # an advert without a class within the article
+    (f"<article><p>{PROSE * 2}</p><div>{ADVERT * 2}</div><p>{PROSE}</p></article>", (PROSE * 3).strip()),
+    # a notice beside the article, and a language without listed stop words
+    (f"<div>{PROSE}</div><article><p>{PROSE * 4}</p></article>", (PROSE * 4).strip()),
+    (f"<article><p>{'слово за словом ' * 10}</p><p><a href=x>дальше</a></p></article>", ("слово за словом " * 10).strip()),
+    (f"<p>\N{COPYRIGHT SIGN} {PROSE}</p>", f"\N{COPYRIGHT SIGN} {PROSE}".strip()),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), BY_STOP_WORDS)
+def test_stop_words_decide(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGES[0][0], "mine"), (1, "u", PAGES[0][0], "mine"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages)
