@@ -34,8 +34,10 @@ SAMPLE_DOCS = 2_000
 ROUNDS = 3
 HELD_OUT = (4, 2)
 UNDETERMINED = "und"
-#: Longest piece, in bytes.
-PIECE_BYTES = 12
+#: Most bytes that a piece of a vocabulary may have: a file with a longer one raises.
+PIECE_BYTES = 256
+#: The exponent up to which a scale stays within the range of a float64.
+MOST_LOG = 700.0
 #: Words whose probabilities a Python worker keeps; beyond that it starts anew.
 CACHE_WORDS = 500_000
 #: Words that a task holds before it adds them up.
@@ -47,8 +49,8 @@ PLAIN_BYTES = 32
 
 
 class Pieces:
-    """The tokens of a vocabulary file of at most ``PIECE_BYTES`` bytes, numbered, in a hash
-    table that looks up many byte strings at once; every single byte is a piece."""
+    """All tokens of a vocabulary file, numbered, in a hash table that looks up many byte
+    strings at once; every single byte is a piece."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
     MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -56,8 +58,10 @@ class Pieces:
 
     def __init__(self, rank_path: str):
         with open(rank_path, "rb") as f:
-            tokens = [base64.b64decode(line.split()[0]) for line in f]
-        self.tokens = [t for t in tokens if len(t) <= PIECE_BYTES]
+            self.tokens = [base64.b64decode(line.split()[0]) for line in f]
+        self.longest = max(map(len, self.tokens))
+        if self.longest > PIECE_BYTES:
+            raise ValueError(f"a piece has {self.longest} bytes, more than {PIECE_BYTES}")
         self.table = np.full(self.SLOTS, len(self.tokens), np.int32)
         self.hashes = np.zeros(len(self.tokens) + 1, np.uint64)
         for n, t in enumerate(self.tokens):
@@ -102,7 +106,7 @@ def lattice(words: list[bytes], known: Pieces) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(width) < lens[:, None]
     raw[inside] = np.frombuffer(b"".join(words), np.uint8)
     byte = raw.T.astype(np.uint64) + np.uint64(1)
-    out = np.full((min(PIECE_BYTES, width), width, len(words)), len(known), np.int32)
+    out = np.full((min(known.longest, width), width, len(words)), len(known), np.int32)
     h = byte
     with np.errstate(over="ignore"):
         for l in range(len(out)):
@@ -123,7 +127,7 @@ def forward(ids: np.ndarray, lens: np.ndarray, prob: np.ndarray) -> tuple[np.nda
         s = np.zeros((n, langs))
         for l in range(min(longest, i + 1)):
             p = prob[ids[l, i]]
-            s += alpha[i - l] * p if width <= PLAIN_BYTES else alpha[i - l] * np.exp(log[i - l] - log[i]) * p
+            s += alpha[i - l] * p if width <= PLAIN_BYTES else alpha[i - l] * np.exp(np.minimum(log[i - l] - log[i], MOST_LOG)) * p
         live = (lens > i)[:, None]
         alpha[i + 1], log[i + 1] = np.where(live, s, alpha[i]), log[i]
         if width > PLAIN_BYTES:
@@ -148,7 +152,7 @@ def steps(raw: list[bytes]) -> Iterator[list[int]]:
     part: list[int] = []
     for n in order:
         size = len(raw[n])
-        if part and ((len(part) + 1) * size * PIECE_BYTES > STEP_CELLS or len(raw[part[0]]) <= PLAIN_BYTES < size or size > len(raw[part[0]]) + 2):
+        if part and ((len(part) + 1) * size * min(size, PIECE_BYTES) > STEP_CELLS or len(raw[part[0]]) <= PLAIN_BYTES < size or size > len(raw[part[0]]) + 2):
             yield part
             part = []
         part.append(n)
@@ -169,7 +173,7 @@ def expected(words: list[bytes], weight: np.ndarray, known: Pieces, prob: np.nda
         s = np.zeros((n, langs))
         for l in range(min(longest, width - i)):
             p = prob[ids[l, i + l]]
-            s += p * back[i + l + 1] if width <= PLAIN_BYTES else p * back[i + l + 1] * np.exp(scale[i + l + 1] - scale[i + 1])
+            s += p * back[i + l + 1] if width <= PLAIN_BYTES else p * back[i + l + 1] * np.exp(np.minimum(scale[i + l + 1] - scale[i + 1], MOST_LOG))
         live = (lens > i)[:, None]
         back[i], scale[i] = np.where(live, s, back[i]), scale[i + 1]
         if width > PLAIN_BYTES:

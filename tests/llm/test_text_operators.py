@@ -178,6 +178,17 @@ def test_forward_sums_all_segmentations():
     assert np.allclose((uses * np.array([len(t) for t in known.tokens])[:, None]).sum(axis=0), 61)
 
 
+def test_no_piece_of_the_file_is_left_out():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]) for line in f]
+    known = langid.pieces(path)
+    assert len(known) == len(tokens)
+    words = [t for t in tokens if len(t) > 12 and t.startswith(b" ") and t[1:].isalpha()][:200]
+    ids, lens = langid.lattice(words, known)
+    assert len(words) > 20 and all(tokens[ids[n - 1, n - 1, w]] == words[w] for w, n in enumerate(lens))
+
+
 def test_language_held_out(spark, edge, empty):
     rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     held = rows.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
