@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, toxicity
+from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, token_output, toxicity
 from hourgrid.llm.common import table
 from hourgrid.llm.oracle import ORACLE
 from hourgrid.llm.words import fold
@@ -71,6 +71,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.checksums(files).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_output": op11_token_output,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
