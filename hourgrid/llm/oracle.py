@@ -67,4 +67,35 @@ SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k i
 FROM d LEFT JOIN by_doc USING (r)
 """
 
-ORACLE: dict[str, str] = {"op5_exact_topk": TOP_K, "op7_secret_scan": SPANS}
+def _cut(a: str, left: str, right: str) -> str:
+    return f"CAST({a} AS HUGEINT) * {a} * 1000000 // (CAST({left} AS HUGEINT) * {right})"
+
+
+PHRASES = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
+w AS (SELECT lang, unnest(ws) AS w1 FROM split),
+w2 AS (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]])) AS p FROM split),
+w3 AS (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS p FROM split),
+f1 AS (SELECT lang, w1, count(*) AS f FROM w GROUP BY ALL),
+f2 AS (SELECT lang, p[1] AS w1, p[2] AS w2, count(*) AS f FROM w2 GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, p[1] AS w1, p[2] AS w2, p[3] AS w3, count(*) AS f FROM w3 GROUP BY ALL HAVING count(*) >= 10),
+three AS (
+  SELECT t.lang, t.w1, t.w2, t.w3, t.f AS a, x.f AS x, yz.f AS yz, xy.f AS xy, z.f AS z, {_cut('t.f', 'x.f', 'yz.f')} AS s1, {_cut('t.f', 'xy.f', 'z.f')} AS s2
+  FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 z ON z.lang = t.lang AND z.w1 = t.w3
+  JOIN f2 xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN f2 yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3),
+found AS (
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, a, CASE WHEN s1 <= s2 THEN x ELSE xy END AS l, CASE WHEN s1 <= s2 THEN yz ELSE z END AS r, least(s1, s2) AS score FROM three
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2, p.f, x.f, y.f, {_cut('p.f', 'x.f', 'y.f')}
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = p.lang AND 100 * t.f >= 50 * p.f AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM found)
+SELECT lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op5_exact_topk": TOP_K, "op7_secret_scan": SPANS, "op13_collocations": PHRASES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import byte_bpe, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, token_output, toxicity, whitening
+from hourgrid.llm import byte_bpe, collocations, exact_topk, html_extract, langid, line_dedup, packing, quality, secret_scan, simhash, token_output, toxicity, whitening
 from hourgrid.llm.common import table
 from hourgrid.llm.oracle import ORACLE
 from hourgrid.llm.words import fold
@@ -80,6 +80,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_output": op11_token_output,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
