@@ -31,22 +31,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm import for_blocks
-from hourgrid.llm.common import bounded_batches, staged
+from hourgrid.llm.common import arrow_batches, staged
 from hourgrid.session import scratch_path
 
 #: Ids of a file: about 60 MB of blocks.
 FILE_IDS = 1 << 25
-#: Distinct words that a worker remembers, and their longest.
+#: Distinct words that a worker remembers (and what a batch adds), and their longest.
 CACHED_WORDS = 1 << 20
 CACHED_CHARS = 64
 #: Characters beyond printable ones of Latin scripts, common punctuation and plain white space; the dotted I is one too.
 UNUSUAL = re.compile("[^\t-\r\x20-~\xa1-įı-ɏ‐-‧€]")
 
+#: Marks that may follow the letters of a word: together they are one piece.
+MARKS = ".,;:!?()[]{}\"'*#$%&|<>-_/+=~^@\\`"
+
 MANIFEST = "part long, nth long, path string, n_docs long, n_ids long"
 
 
@@ -54,8 +58,9 @@ class WordTokenizer:
     """The tokenizer of a ``tokenizers`` file.
 
     If the file drops white space and lower-cases (no piece of a text goes across white space), a
-    text of usual characters is cut there and each distinct word is encoded once by the library;
-    any other text goes to the library whole."""
+    text of usual characters is cut there and the library encodes each distinct word once, or
+    its letters and the marks after them, which are pieces of their own; any other text goes to
+    the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,7 +70,16 @@ class WordTokenizer:
         told = json.loads(self.tok.to_str())
         self.by_word = self._by_word(told)
         self.added = [t["content"] for t in told["added_tokens"]]
+        # words seen of late, and those seen before them
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = told["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends[[n for t, n in vocabulary.items() if t.endswith(suffix)]] = True
+        self.by_word = self.by_word and bool(suffix)
 
     @staticmethod
     def _by_word(told: dict) -> bool:
@@ -80,31 +94,74 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            usual = self.by_word and not UNUSUAL.search(t) and not any(a in t for a in self.added)
-            cut.append(t.lower().split() if usual else None)
-        new = list(set().union(*[c for c in cut if c]) - self.known.keys())
-        if new and len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set().union(*[c for c in cut if c]))
-        known = self.known
-        once: dict[str, bytes] = {}
-        for a in range(0, len(new), 8192):
-            some = new[a : a + 8192]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHED_CHARS else once)[w] = array("I", e.ids).tobytes()
+        usual = [self.by_word and not UNUSUAL.search(t or "") and not any(a in (t or "") for a in self.added) for t in texts]
+        some = iter(self._by_words([t or "" for t, u in zip(texts, usual, strict=True) if u]))
+        return [next(some) if u else self._whole(t or "") for t, u in zip(texts, usual, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Texts of usual characters: distinct words are looked up, then put in place all at once."""
+        if not texts:
+            return []
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = []
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                x = ids[i] = self.older.get(words[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    self.known[words[i]] = x
+            for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
+                ids[i] = x
+            if len(self.known) > CACHED_WORDS // 2:
+                self.known, self.older = {}, self.known
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.append(0, np.cumsum(n))
+        out = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not known.  The library encodes their letters many in one text: each
+        is one piece of it, and a piece ends with the one token that ends a word."""
+        known, stems = self.known, [w.rstrip(MARKS) for w in words]
+        new = [w for w in set(stems) if w.isalpha() and w not in known]
+        here: dict[str, bytes] = {}
+        for a in range(0, len(new), 4096):
+            ids = np.array(self.tok.encode(" ".join(new[a : a + 4096]), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            here.update(zip(new[a : a + 4096], [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
         out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(array("I", self.tok.encode(t or "", add_special_tokens=False).ids).tobytes())
-            elif once and not once.keys().isdisjoint(c):
-                out.append(b"".join([once[w] if w in once else known[w] for w in c]))
+        for w, stem in zip(words, stems, strict=True):
+            got = here.get(stem) or known.get(stem)
+            if stem.isalpha() and got is not None:
+                got = got + self._marks(w[len(stem) :]) if len(stem) < len(w) else got
             else:
-                out.append(b"".join(map(known.__getitem__, c)))
+                got = self._whole(w)
+            out.append(got)
+            if len(w) <= CACHED_CHARS:
+                known[w] = got
         return out
 
+    def _marks(self, marks: str) -> bytes:
+        got = self.marks.get(marks)
+        if got is None:
+            got = self._whole(marks)
+            if len(marks) <= CACHED_CHARS and len(self.marks) < CACHED_WORDS:
+                self.marks[marks] = got
+        return got
+
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -115,7 +172,6 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc
     """Write the ids of every document and its ``end_id``; the manifest: (part, nth, path, n_docs, n_ids, start),
     ``start`` being the ids in the files before.  ``folder`` must be one that all executors share."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     folder = folder or scratch_path(spark, "token-ids")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     # equal keys are parted by the text, equal rows by their number: none of them fills a task
@@ -149,7 +205,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc
         names = ["part", "nth", "path", "n_docs", "n_ids"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "path" else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
 
-    files = staged(dealt.mapInArrow(run, MANIFEST), "token-files")
+    # many texts at a time share their words
+    with arrow_batches(spark, 4096, "12m"):
+        files = staged(dealt.mapInArrow(run, MANIFEST), "token-files")
     # one row a file: a window in one task, and what the reading tasks are dealt
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
