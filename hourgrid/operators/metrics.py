@@ -60,7 +60,7 @@ def region_results(metrics: DataFrame, best: DataFrame, key: str = "region") ->
     return metrics.join(best, on=key, how="left").orderBy(key)
 
 
-def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature: str = "feature", value: str = "importance", regions: Sequence[str] | None = None) -> DataFrame:
+def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature: str = "feature", value: str = "importance", regions: DataFrame | None = None) -> DataFrame:
     """Compare feature importances across regions.
 
     Per feature, each region's importance is divided by the feature's largest
@@ -68,16 +68,17 @@ def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature:
     feature's score is the mean of these shares over all regions.  Features
     whose largest importance is 0 get no score.  Returns the ``top`` features by
     score (ties by name), one row per feature and region with the rank; a feature
-    that a region lacks has importance 0 there.  ``regions`` lists all regions;
+    that a region lacks has importance 0 there.  ``regions`` is a table with all of them;
     without it they are those of ``imp``, which is written once (features x regions)
-    since it is read for the regions, the scores and the cells."""
+    since it is read for the regions, the scores and the cells.  No region passes the driver."""
     if regions is None:
         imp = cut_lineage(imp, "importances")
-        regions = [r[0] for r in imp.select(key).distinct().orderBy(key).collect()]
-    n_regions = F.lit(len(regions))
+        regions = imp
+    regions = cut_lineage(regions.select(key).distinct(), "regions")
+    counted = F.broadcast(regions.agg(F.count("*").alias("_regions")).withColumn("_one", F.lit(1)))
     per_feature = imp.groupBy(feature).agg(F.max(value).alias("_max"), F.sum(value).alias("_sum"))
-    per_feature = per_feature.withColumn(
-        "mean_share", F.try_divide(F.col("_sum"), F.nullif(F.col("_max"), F.lit(0.0)) * n_regions)
+    per_feature = per_feature.withColumn("_one", F.lit(1)).join(counted, "_one").withColumn(
+        "mean_share", F.try_divide(F.col("_sum"), F.nullif(F.col("_max"), F.lit(0.0)) * F.col("_regions"))
     )
     ranked = per_feature.filter(F.col("mean_share").isNotNull()).orderBy(F.desc("mean_share"), F.asc(feature)).limit(top)
     # The top-k table has at most `top` rows: numbering it in one task and
@@ -86,8 +87,8 @@ def importance_rank(imp: DataFrame, top: int = 10, key: str = "region", feature:
         feature, "_max", "mean_share", F.row_number().over(Window.orderBy(F.desc("mean_share"), F.asc(feature))).alias("rank")
     )
     # top x regions cells, each there once
-    all_regions = F.array(*[F.lit(r) for r in regions]).cast("array<string>")
-    cells = ranked.withColumn(key, F.explode(all_regions))
-    out = F.broadcast(cells).join(imp.select(feature, key, value), on=[feature, key], how="left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    cells = regions.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(top)))).join(F.broadcast(ranked), "rank")
+    found = imp.select(feature, F.col(key).alias("_key"), value).join(F.broadcast(ranked.select(feature)), feature, "left_semi").withColumnRenamed(feature, "_feature")
+    out = cells.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col(feature) == F.col("_feature")), "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
     out = out.withColumn("share", F.try_divide(F.col(value), F.col("_max")))
     return out.select("rank", feature, key, value, "share", "mean_share")

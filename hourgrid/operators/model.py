@@ -1,141 +1,61 @@
-"""Boosted-tree regression per region with Spark ML.
-
-* :func:`grid_search` - time-ordered expanding folds, absolute error per
-  parameter set.  For each (depth, rate, fold) only the largest tree count is
-  fitted; smaller tree counts are scored from the same model with
-  ``evaluateEachIteration`` (the first k trees of a model are exactly the model
-  with k trees, same seed).
-* :func:`fit_best` - refit on all training rows with the chosen set.
-* :func:`predict` - ``model.transform``.
-* :func:`gain_importance` - ``featureImportances`` as rows.
-* :func:`split_counts` - splits per feature, read back from the saved model
-  data with Spark (no tree walking on the driver).
-
-Spark's GBT has no XGBoost-style regularisation: scores will not equal the
-reference's numbers, only the procedure is the same.
+"""Boosted-tree models of all series: search of parameters, refit, predictions, importances.
+
+The trees are those of :mod:`hourgrid.operators.boosting`; here are the steps in terms of folds, parameter
+sets and result tables.  Everything is keyed: no loop over series.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.operators import boosting
+from hourgrid.operators.boosting import gain_importance, param_sets, predict, split_counts
 from hourgrid.schemas import N_FOLDS
+from hourgrid.session import cut_lineage
 
-# Grid names of the reference -> Spark ML parameters.
-PARAM_NAMES = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize"}
-VEC = "features_vec"
-
-
-def param_sets(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
-    """Cartesian product of the grid in the order the grid lists it."""
-    names = list(grid)
-    return [dict(zip(names, combo)) for combo in itertools.product(*[grid[n] for n in names])]
+#: Label of rows without a fold (series with too few rows to part): no fold trains or validates on them.
+NO_FOLD = 1 << 20
 
 
 def params_text(p: Mapping[str, float]) -> str:
     return ",".join(f"{k}={p[k]}" for k in sorted(p))
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=VEC, handleInvalid="keep").transform(df)
-
-
-def _gbt(p: Mapping[str, float], target: str, seed: int) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol=VEC,
-        labelCol=target,
-        lossType="squared",
-        maxIter=int(p.get("n_estimators", 20)),
-        maxDepth=int(p.get("max_depth", 5)),
-        stepSize=float(p.get("learning_rate", 0.1)),
-        seed=seed,
-    )
-
-
-def grid_search(
-    spark: SparkSession,
-    folded: DataFrame,
-    features: Sequence[str],
-    target: str,
-    grid: Mapping[str, Sequence[float]],
-    region: str,
-    n_splits: int = N_FOLDS,
-    seed: int = 42,
-    threads: int = 4,
+def parse_params(text: str) -> dict[str, float]:
+    return {k: float(v) for k, v in (part.split("=") for part in text.split(","))}
+
+
+def sets_table(spark: SparkSession, grid: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(param_order, params, max_depth, learning_rate, n_estimators), a row a parameter set."""
+    rows = [(i, params_text(p), int(p["max_depth"]), float(p["learning_rate"]), int(p["n_estimators"])) for i, p in enumerate(param_sets(grid))]
+    return spark.createDataFrame(rows, "param_order int, params string, max_depth int, learning_rate double, n_estimators int")
+
+
+def training_blocks(
+    folded: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("region",), ts: str = "period", block_rows: int = boosting.BLOCK_ROWS, bins: int = boosting.BINS
 ) -> DataFrame:
-    """Fold scores ``(region, params, param_order, fold, mae)`` for one region.
+    """Training rows, labelled by ``expanding_folds``, as blocks of binned features, written once."""
+    folded = folded.withColumn("fold", F.coalesce("fold", F.lit(NO_FOLD)))
+    edges = cut_lineage(boosting.bin_edges(folded, features, target, keys, bins=bins), "edges")
+    return cut_lineage(boosting.pack(folded, edges, features, target, keys, "fold", [ts], block_rows), "blocks")
+
 
-    ``folded`` holds that region's training rows labelled by ``expanding_folds``."""
+def grid_search(blocks: DataFrame, grid: Mapping[str, Sequence[float]], keys: Sequence[str] = ("region",), n_splits: int = N_FOLDS) -> DataFrame:
+    """Fold scores ``(keys, params, param_order, fold, mae)`` of all series, parameter sets and folds;
+    a series too short for folds has none."""
     sets = param_sets(grid)
-    data = assemble(folded, features).select("fold", target, VEC).cache()
-    # group parameter sets that differ only by tree count: one fit per group and fold
-    groups: dict[tuple, list[tuple[int, dict]]] = {}
-    for i, p in enumerate(sets):
-        key = tuple((k, v) for k, v in sorted(p.items()) if k != "n_estimators")
-        groups.setdefault(key, []).append((i, p))
-
-    def run(job):
-        (key, members), k = job
-        train = data.filter(F.col("fold") < k)
-        valid = data.filter(F.col("fold") == k)
-        biggest = max(members, key=lambda m: m[1].get("n_estimators", 20))[1]
-        model = _gbt(biggest, target, seed).fit(train)
-        errs = model.evaluateEachIteration(valid, "absolute")
-        out = []
-        for i, p in members:
-            n = int(p.get("n_estimators", 20))
-            out.append((region, params_text(p), i, k, float(errs[n - 1])))
-        return out
-
-    jobs = [(g, k) for g in groups.items() for k in range(1, n_splits + 1)]
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        rows = [r for part in pool.map(run, jobs) for r in part]
-    data.unpersist()
-    return spark.createDataFrame(rows, "region string, params string, param_order int, fold int, mae double")
-
-
-def fit_best(train: DataFrame, features: Sequence[str], target: str, params: Mapping[str, float], seed: int = 42) -> GBTRegressionModel:
-    return _gbt(params, target, seed).fit(assemble(train, features))
-
-
-def predict(model: GBTRegressionModel, df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Rows with ``y`` (actual) and ``y_hat`` (prediction)."""
-    out = model.setPredictionCol("y_hat").transform(assemble(df, features))
-    return out.drop(VEC).withColumn("y", F.col(target))
-
-
-def gain_importance(spark: SparkSession, model: GBTRegressionModel, features: Sequence[str], region: str) -> DataFrame:
-    """(region, feature, importance) from the model's normalised importances."""
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(region, f, float(imp[i]) if i < len(imp) else 0.0) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "region string, feature string, importance double")
-
-
-def split_counts(spark: SparkSession, model: GBTRegressionModel, path: str, features: Sequence[str], region: str, top: int = 15) -> DataFrame:
-    """Number of splits per feature over all trees (the split-count importance),
-    top ``top`` features.  The model is saved and its node table read as a DataFrame."""
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    counts = (
-        nodes.filter(F.col("nodeData.leftChild") >= 0)
-        .groupBy(F.col("nodeData.split.featureIndex").alias("feature_index"))
-        .agg(F.count(F.lit(1)).alias("splits"))
-    )
-    names = spark.createDataFrame(list(enumerate(features)), "feature_index int, feature string")
-    out = counts.join(F.broadcast(names), "feature_index").select(F.lit(region).alias("region"), "feature", "splits")
-    return out.orderBy(F.desc("splits"), "feature").limit(top)
+    scores = boosting.cross_validate(blocks, keys, sets, n_splits)
+    named = F.broadcast(sets_table(blocks.sparkSession, grid).select("param_order", "params"))
+    return scores.join(named, "param_order").select(*keys, "params", "param_order", "fold", "mae")
 
 
-def parse_params(text: str) -> dict[str, float]:
-    out = {}
-    for part in text.split(","):
-        k, v = part.split("=")
-        out[k] = float(v)
-    return out
+def fit_best(blocks: DataFrame, best: DataFrame, grid: Mapping[str, Sequence[float]], features: Sequence[str], keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Node table of the models refitted on all training rows with the sets that ``best_params`` chose."""
+    sets = F.broadcast(sets_table(blocks.sparkSession, grid).withColumnRenamed("param_order", "best_param_order"))
+    return boosting.fit(blocks, keys, best.select(*keys, "best_param_order").join(sets, "best_param_order"), features)
+
+
+__all__ = ["fit_best", "gain_importance", "grid_search", "param_sets", "params_text", "parse_params", "predict", "sets_table", "split_counts", "training_blocks"]

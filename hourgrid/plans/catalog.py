@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions.numeric import exact_avg
-from hourgrid.operators import metrics, reports, reshape, sites, splits
+from hourgrid.operators import boosting, metrics, model, reports, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.plans import pipelines
 from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, PARAM_GRID, TARGET
@@ -39,12 +39,20 @@ FACTOR_GRID = [1.0, 0.9, 1.1]
 # Rows per window block; the session may override it (tests use small blocks to
 # exercise the halo logic).
 BLOCK_CONF = "hourgrid.window.blockRows"
+# Likewise for the blocks of training rows.
+MODEL_CONF = "hourgrid.model.blockRows"
+# A model that SQL can grow, too.
+SHORT_MODEL = {"max_depth": 3, "learning_rate": 0.1, "n_estimators": 2}
 
 
 def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK_ROWS)))
 
 
+def model_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(MODEL_CONF, str(boosting.BLOCK_ROWS)))
+
+
 def r4(c: str | Column) -> Column:
     """Round a noisy statistic to 4 places (and fold -0.0 into 0.0)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -321,17 +329,12 @@ def q_region_site(spark, d):
 
 
 # ---------------------------------------------------------------- model
-# Grid of the registered checks with SQL.  The full schemas.PARAM_GRID (27 sets), the default of the
-# pipeline, is that of the queries in FULL_GRID.
-TEST_GRID = {"n_estimators": [5, 10], "max_depth": [3], "learning_rate": [0.1]}
-
-
-def _model_report(spark, d, grid=TEST_GRID) -> dict[str, DataFrame]:
-    return pipelines.model_report(spark, _stage(spark, d, "final"), TEST_SPLIT, grid, model_dir=scratch_path(spark, "models"))
+def _model_report(spark, d) -> dict[str, DataFrame]:
+    return pipelines.model_report(spark, _stage(spark, d, "final"), TEST_SPLIT, PARAM_GRID)
 
 
 def q_gbt_cv(spark, d):
-    """The cells of the cross-validation, and whether each error is a number of 0 or more."""
+    """The cells of the cross-validation (27 sets, each fold), and whether each error is a number of 0 or more."""
     ok = (F.col("mae") >= 0) & (F.col("mae") < float("inf"))
     return _model_report(spark, d)["fold_scores"].select("region", "params", "param_order", "fold", ok.alias("ok"))
 
@@ -352,17 +355,54 @@ def q_split_counts(spark, d):
 
 
 def q_gbt_cv_full(spark, d):
-    """The error of every cell of the full grid: 27 sets, each fold."""
-    return _model_report(spark, d, PARAM_GRID)["fold_scores"].select("region", "params", "param_order", "fold", "mae")
+    """The error of every cell of the grid."""
+    return _model_report(spark, d)["fold_scores"].select("region", "params", "param_order", "fold", "mae")
 
 
 def q_gbt_predict_full(spark, d):
-    """Actual and predicted values of the model that the full grid chooses."""
-    return _model_report(spark, d, PARAM_GRID)["predictions"].select("region", "period", "is_test", "y", "y_hat")
+    """Actual and predicted values of the model that the grid chooses."""
+    return _model_report(spark, d)["predictions"].select("region", "period", "is_test", "y", "y_hat")
 
 
 def q_split_counts_full(spark, d):
-    return _model_report(spark, d, PARAM_GRID)["split_counts"].select("region", "feature", "splits")
+    return _model_report(spark, d)["split_counts"].select("region", "feature", "splits", "cover")
+
+
+def _short_model(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The split rows and the node table of SHORT_MODEL on the training rows: small enough for SQL to grow it, too."""
+    rows = cut_lineage(_split_final(spark, d), "split", ["region"])
+    blocks = model.training_blocks(rows.filter(~F.col("is_test")).withColumn("fold", F.lit(0)), MODEL_FEATURES, TARGET, block_rows=model_rows(spark))
+    params = rows.select("region").distinct().withColumns({k: F.lit(v) for k, v in SHORT_MODEL.items()})
+    return rows, cut_lineage(boosting.fit(blocks, ["region"], params, MODEL_FEATURES), "nodes", ["region"])
+
+
+def q_gbt_nodes(spark, d):
+    """Binning, histograms, cuts and leaves of two trees of every region."""
+    told = ["gain", "value", "threshold", "base"]
+    return _short_model(spark, d)[1].select("region", "tree", "node", "feature", "cover", *[r4(c).alias(c) for c in told])
+
+
+def q_gbt_walk(spark, d):
+    """Predictions of that model for train and test rows."""
+    rows, nodes = _short_model(spark, d)
+    out = boosting.predict(rows, nodes, MODEL_FEATURES, ["region"], ["period"], model_rows(spark))
+    return out.select("region", "period", "is_test", F.col(TARGET).alias("y"), r4("y_hat").alias("y_hat"))
+
+
+def q_gbt_importance(spark, d):
+    """Gain shares, cuts and rows parted, of every region and feature."""
+    nodes = _short_model(spark, d)[1]
+    counts = boosting.split_counts(nodes, ["region"], None)
+    out = boosting.gain_importance(nodes, MODEL_FEATURES, ["region"]).join(counts, ["region", "feature"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return out.select("region", "feature", r4("importance").alias("importance"), zero("splits"), zero("cover"))
+
+
+def q_gbt_importance_rank(spark, d):
+    """The ranking across regions, fed by the gains of that model."""
+    gains = boosting.gain_importance(_short_model(spark, d)[1], MODEL_FEATURES, ["region"])
+    out = metrics.importance_rank(gains)
+    return out.select("rank", "feature", "region", *[r4(c).alias(c) for c in ("importance", "share", "mean_share")])
 
 
 def q_sink_ignore(spark, d):
@@ -417,13 +457,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_cv": q_gbt_cv,
     "gbt_predict": q_gbt_predict,
     "split_counts": q_split_counts,
-    "sink_ignore": q_sink_ignore,
-}
-
-#: The model queries on the reference's whole grid; trees go beyond SQL, so these have no statement.
-FULL_GRID: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_cv_full": q_gbt_cv_full,
     "gbt_predict_full": q_gbt_predict_full,
     "split_counts_full": q_split_counts_full,
+    "gbt_nodes": q_gbt_nodes,
+    "gbt_walk": q_gbt_walk,
+    "gbt_importance": q_gbt_importance,
+    "gbt_importance_rank": q_gbt_importance_rank,
+    "sink_ignore": q_sink_ignore,
 }
-

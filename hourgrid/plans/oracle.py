@@ -7,8 +7,9 @@ from __future__ import annotations
 from itertools import combinations
 
 from hourgrid.operators.model import param_sets, params_text
-from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, TEST_GRID, TEST_SPLIT
-from hourgrid.schemas import CORR_COLS, FEATURE_TABLE, MODEL_FEATURES, ROLLED
+from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, SHORT_MODEL, TEST_SPLIT
+from hourgrid.operators.boosting import BINS, BITS, CELLS
+from hourgrid.schemas import CORR_COLS, FEATURE_TABLE, MODEL_FEATURES, PARAM_GRID, ROLLED, TARGET
 
 
 def R4(x: str) -> str:
@@ -126,6 +127,55 @@ SPLIT = f"""
 split AS (SELECT *, period >= TIMESTAMP '{TEST_SPLIT}' AS is_test FROM final)"""
 
 
+def _trees_sql() -> str:
+    """SHORT_MODEL grown in SQL: a table of bins, then a table of cuts for each level of each tree."""
+    xs = ", ".join(f"CAST({c} AS DOUBLE)" for c in MODEL_FEATURES)
+    names = ", ".join(f"'{c}'" for c in MODEL_FEATURES)
+    rate = f"CAST({SHORT_MODEL['learning_rate']} AS DOUBLE)"
+    one = "CAST(1 AS DOUBLE)"
+    whole = "CAST(round_even({}, 0) AS BIGINT)".format
+    out = [f"""
+rowsx AS (SELECT region, period, is_test, {TARGET} AS y, [{xs}] AS xs FROM split),
+long AS (SELECT region, period, is_test, unnest(xs) AS x, unnest(range({len(MODEL_FEATURES)})) AS f FROM rowsx),
+span AS (SELECT region, f, min(x) AS lo, max(x) AS hi FROM long WHERE NOT is_test GROUP BY ALL),
+fine AS (
+  SELECT region, f, CAST(least(floor(CASE WHEN hi = lo THEN 0 ELSE (x - lo) / (hi - lo) * {CELLS} END), {CELLS - 1}) AS INTEGER) AS cell, count(*) AS c, min(x) AS x
+  FROM long JOIN span USING (region, f) WHERE NOT is_test GROUP BY ALL),
+part AS (
+  SELECT *, ((sum(c) OVER (PARTITION BY region, f ORDER BY cell) - c) * {BINS}) // sum(c) OVER (PARTITION BY region, f) AS b FROM fine),
+edges AS (SELECT region, f, row_number() OVER (PARTITION BY region, f ORDER BY b) - 1 AS k, x FROM (SELECT region, f, b, min(x) AS x FROM part GROUP BY ALL)),
+binned AS (SELECT l.region, l.period, l.is_test, l.f, coalesce(e.k, 0) AS k FROM long l ASOF LEFT JOIN edges e ON l.region = e.region AND l.f = e.f AND l.x >= e.x),
+unit AS (SELECT region, power(2, {BITS} - (CAST(floor(log2(max(abs(y)))) AS INTEGER) + 1)) AS s FROM rowsx WHERE NOT is_test GROUP BY 1),
+base AS (SELECT region, any_value(s) AS s, CAST(sum({whole('y * s')}) AS DOUBLE) / any_value(s) / count(*) AS base FROM rowsx JOIN unit USING (region) WHERE NOT is_test GROUP BY 1),
+now0 AS (SELECT region, period, is_test, y, s, base AS now FROM rowsx JOIN base USING (region))"""]
+    nodes = []
+    for t in range(SHORT_MODEL["n_estimators"]):
+        out.append(f"st{t}_0 AS (SELECT region, period, is_test, s, {whole('(y - now) * s')} AS r, 0 AS node FROM now{t})")
+        for level in range(SHORT_MODEL["max_depth"]):
+            at = f"{t}_{level}"
+            out.append(f"""
+h{at} AS (SELECT s.region, s.node, b.f, b.k, count(*) AS n, sum(s.r) AS g, any_value(s.s) AS s FROM st{at} s JOIN binned b USING (region, period) WHERE NOT s.is_test AND s.node >= {2**level - 1} GROUP BY ALL),
+c{at} AS (
+  SELECT region, node, f, k, s, CAST(sum(n) OVER w AS BIGINT) AS nl, CAST(sum(g) OVER w AS DOUBLE) AS gl, CAST(sum(n) OVER p AS BIGINT) AS nt, CAST(sum(g) OVER p AS DOUBLE) AS gt
+  FROM h{at} WINDOW w AS (PARTITION BY region, node, f ORDER BY k), p AS (PARTITION BY region, node, f)),
+g{at} AS (
+  SELECT *, 0.5 * (gl * gl / (nl + {one}) + (gt - gl) * (gt - gl) / (nt - nl + {one}) - gt * gt / (nt + {one})) / s / s AS gain FROM c{at} WHERE nl < nt),
+b{at} AS (
+  SELECT g.*, e.x AS threshold FROM (SELECT * FROM g{at} WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY region, node ORDER BY gain DESC, f, k) = 1) g
+  JOIN edges e ON e.region = g.region AND e.f = g.f AND e.k = g.k + 1),
+st{t}_{level + 1} AS (
+  SELECT s.region, s.period, s.is_test, s.s, s.r, CASE WHEN c.f IS NULL THEN s.node WHEN b.k <= c.k THEN 2 * s.node + 1 ELSE 2 * s.node + 2 END AS node
+  FROM st{at} s LEFT JOIN b{at} c ON c.region = s.region AND c.node = s.node LEFT JOIN binned b ON b.region = s.region AND b.period = s.period AND b.f = c.f)""")
+            nodes.append(f"SELECT region, {t} AS tree, node, [{names}][f + 1] AS feature, threshold, gain, nt AS cover, CAST(NULL AS DOUBLE) AS value FROM b{at}")
+        last = f"{t}_{SHORT_MODEL['max_depth']}"
+        out.append(f"""
+leaf{t} AS (SELECT region, node, count(*) AS cover, {rate} * (CAST(sum(r) AS DOUBLE) / any_value(s) / (count(*) + {one})) AS value FROM st{last} WHERE NOT is_test GROUP BY ALL),
+now{t + 1} AS (SELECT n.region, n.period, n.is_test, n.y, n.s, n.now + l.value AS now FROM now{t} n JOIN st{last} USING (region, period) JOIN leaf{t} l ON l.region = n.region AND l.node = st{last}.node)""")
+        nodes.append(f"SELECT region, {t}, node, NULL, NULL, NULL, cover, value FROM leaf{t}")
+    out.append("nodes AS (" + "\nUNION ALL ".join(nodes) + ")")
+    return ",".join(out)
+
+
 def _corr_sql() -> str:
     cols = CORR_COLS
     stats = []
@@ -391,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["model_table_read"] = _features(f"SELECT * FROM final WHERE region IN ({only})")
     q["sink_ignore"] = q["feature_table"]
-    grid_rows = ", ".join(f"({i}, '{params_text(p)}')" for i, p in enumerate(param_sets(TEST_GRID)))
+    grid_rows = ", ".join(f"({i}, '{params_text(p)}')" for i, p in enumerate(param_sets(PARAM_GRID)))
     q["gbt_cv"] = (
         f"WITH {FEATURE_CTES},{SPLIT}\nSELECT region, params, CAST(param_order AS INTEGER) AS param_order, CAST(fold AS INTEGER) AS fold, true AS ok "
         f"FROM (SELECT DISTINCT region FROM split WHERE NOT is_test) r, (VALUES {grid_rows}) g(param_order, params), "
@@ -401,6 +451,30 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {FEATURE_CTES},{SPLIT}\nSELECT region, period, is_test, total_interchange AS y, true AS beats_mean FROM split"
     )
     q["split_counts"] = f"WITH {FEATURE_CTES},{SPLIT}\nSELECT DISTINCT region, true AS ok FROM split WHERE NOT is_test"
+    trees = f"WITH RECURSIVE {FEATURE_CTES},{SPLIT},{_trees_sql()}"
+    q["gbt_nodes"] = (
+        f"{trees}\nSELECT n.region, CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, feature, cover, "
+        f"{', '.join(R4(c) + ' AS ' + c for c in ('gain', 'value', 'threshold', 'base'))} FROM nodes n JOIN base USING (region)"
+    )
+    # the same nodes walked by recursion on the raw values
+    q["gbt_walk"] = f"""{trees},
+walk AS (
+  SELECT region, period, tree, 0 AS node FROM rowsx, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT w.region, w.period, w.tree, CASE WHEN r.xs[list_position([{', '.join(f"'{c}'" for c in MODEL_FEATURES)}], n.feature)] < n.threshold THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END
+  FROM walk w JOIN nodes n USING (region, tree, node) JOIN rowsx r USING (region, period) WHERE n.feature IS NOT NULL),
+told AS (SELECT w.region, w.period, sum(n.value ORDER BY w.tree) AS v FROM walk w JOIN nodes n USING (region, tree, node) WHERE n.feature IS NULL GROUP BY ALL)
+SELECT r.region, r.period, r.is_test, r.y, {R4('b.base + t.v')} AS y_hat FROM rowsx r JOIN told t USING (region, period) JOIN base b ON b.region = r.region"""
+    gains = f"""
+used AS (SELECT region, feature, avg(gain) AS g, count(*) AS splits, CAST(sum(cover) AS BIGINT) AS cover FROM nodes WHERE feature IS NOT NULL GROUP BY ALL),
+cells AS (SELECT region, unnest([{', '.join(f"'{c}'" for c in MODEL_FEATURES)}]) AS feature FROM (SELECT DISTINCT region FROM nodes)),
+imp AS (SELECT c.region, c.feature, coalesce(g / sum(g) OVER (PARTITION BY c.region), 0) AS importance, coalesce(splits, 0) AS splits, coalesce(cover, 0) AS cover FROM cells c LEFT JOIN used u USING (region, feature))"""
+    q["gbt_importance"] = f"{trees},{gains}\nSELECT region, feature, {R4('importance')} AS importance, splits, cover FROM imp"
+    q["gbt_importance_rank"] = f"""{trees},{gains},
+per AS (SELECT feature, max(importance) AS m, avg(importance) / nullif(max(importance), 0) AS mean_share FROM imp GROUP BY 1),
+best AS (SELECT *, row_number() OVER (ORDER BY mean_share DESC, feature) AS rank FROM per WHERE mean_share IS NOT NULL)
+SELECT CAST(rank AS INTEGER) AS rank, feature, region, {R4('importance')} AS importance, {R4('importance / m')} AS share, {R4('mean_share')} AS mean_share
+FROM best JOIN imp USING (feature) WHERE rank <= 10"""
     q["pages_explode"] = (
         f"WITH {PAGE_TEXT}\nSELECT count(*) OVER (PARTITION BY respondent) AS page_total, * FROM rtext"
     )

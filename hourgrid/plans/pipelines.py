@@ -7,13 +7,12 @@ the query is being built; ``hourgrid.session.stages`` removes their tables after
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.operators import features as fe
-from hourgrid.operators import metrics, model, reshape, sites, splits
+from hourgrid.operators import boosting, metrics, model, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.operators.reports import corr_matrix, hour_month_grid, hour_month_mean, scatter_extract
 from hourgrid.schemas import (
@@ -191,64 +190,38 @@ def model_report(
     features: Sequence[str] = tuple(MODEL_FEATURES),
     target: str = TARGET,
     regions: Sequence[str] | None = None,
-    threads: int = 4,
-    model_dir: str | None = None,
+    keys: Sequence[str] = ("region",),
+    block_rows: int = boosting.BLOCK_ROWS,
 ) -> dict[str, DataFrame]:
-    """Per region: expanding-fold grid search on the training rows, refit with the
+    """All series at once: expanding-fold grid search on the training rows, refit with the
     best set, predictions for train and test rows, error metrics per split,
     gain and split-count importances; plus the cross-region importance ranking.
 
-    The region list is the only thing collected (one row per region); every
-    fit is a distributed Spark ML job, regions run from a small thread pool.
-    The split table and the fold labels are written to the shared checkpoint
-    folder once, a folder a region, so a fit reads the rows of its region only and
-    does not replay the feature plan.  Models are for a number of regions that a
-    driver can loop over; a million series need another model per series."""
-    d = cut_lineage(splits.time_split(_only(final, regions), split), "split", ["region"])
-    train = d.filter(~F.col("is_test"))
-    folded = cut_lineage(splits.expanding_folds(train, ("region",)), "folds", ["region"])
-    if regions is None:
-        regions = [r[0] for r in train.select("region").distinct().orderBy("region").collect()]
-
-    def one(region: str):
-        fr = folded.filter(F.col("region") == region)
-        scores = model.grid_search(spark, fr, features, target, grid, region, threads=2)
-        best = metrics.best_params(scores).collect()[0]
-        params = model.parse_params(best["best_params"])
-        m = model.fit_best(train.filter(F.col("region") == region), features, target, params)
-        preds = model.predict(m, d.filter(F.col("region") == region), features, target)
-        imp = model.gain_importance(spark, m, features, region)
-        sc = None
-        if model_dir is not None:
-            sc = model.split_counts(spark, m, f"{model_dir}/{region}", features, region)
-        return scores, preds, imp, sc
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        parts = list(pool.map(one, regions))
-
-    def union(items):
-        items = [x for x in items if x is not None]
-        out = items[0]
-        for x in items[1:]:
-            out = out.unionByName(x)
-        return out
-
-    scores = union([p[0] for p in parts])
-    preds = union([p[1].select("region", "period", "is_test", "y", "y_hat") for p in parts])
-    imps = union([p[2] for p in parts])
-    out = {
+    ``nodes`` is the table of all models.  The split rows, the blocks, scores, models and predictions are
+    written once, all series in one job each, in folders by key: neither the plans nor the
+    driver's work grow with the number of series (those of more than ``block_rows`` training rows
+    apart: a row each on the driver, see ``boosting``)."""
+    keys, features = list(keys), list(features)
+    d = cut_lineage(splits.time_split(_only(final, regions, keys[0]), split), "split", keys)
+    folded = splits.expanding_folds(d.filter(~F.col("is_test")), keys)
+    blocks = model.training_blocks(folded, features, target, keys, block_rows=block_rows)
+    scores = cut_lineage(model.grid_search(blocks, grid, keys), "scores")
+    best = metrics.best_params(scores, keys)
+    nodes = cut_lineage(model.fit_best(blocks, best, grid, features, keys), "nodes", keys)
+    preds = model.predict(d, nodes, features, keys, ["period"], block_rows)
+    preds = cut_lineage(preds.select(*keys, "period", "is_test", F.col(target).alias("y"), "y_hat"), "predictions", keys)
+    gains = cut_lineage(model.gain_importance(nodes, features, keys), "gains")
+    results = metrics.region_results(metrics.error_metrics(preds.filter(~F.col("is_test")), keys), best, keys[0])
+    # parameters as a map of numbers
+    as_map = F.transform_values(F.str_to_map("best_params", F.lit(","), F.lit("=")), lambda _, v: v.cast("double"))
+    return {
         "fold_scores": scores,
-        "best": metrics.best_params(scores),
+        "best": best,
+        "nodes": nodes,
         "predictions": preds,
-        "metrics": metrics.error_metrics(preds, ("region", "is_test")),
-        "importances": imps,
-        "importance_rank": metrics.importance_rank(imps, regions=regions),
+        "metrics": metrics.error_metrics(preds, [*keys, "is_test"]),
+        "importances": gains,
+        "importance_rank": metrics.importance_rank(gains, key=keys[0]),
+        "split_counts": model.split_counts(nodes, keys),
+        "results": results.withColumn("best_params", as_map),
     }
-    if model_dir is not None:
-        out["split_counts"] = union([p[3] for p in parts])
-    results = metrics.region_results(metrics.error_metrics(preds.filter(~F.col("is_test")), ("region",)), out["best"])
-    # parameters as a map of numbers, and where the model lies
-    as_map = F.transform_values(F.str_to_map("best_params", F.lit(","), F.lit("=")), lambda _, v: v.cast("double"))
-    where = F.lit(None).cast("string") if model_dir is None else F.concat(F.lit(f"{model_dir}/"), "region")
-    out["results"] = results.withColumns({"best_params": as_map, "model_path": where})
-    return out

@@ -190,40 +190,25 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         session.checkpoint_root(Session())
 
 
-def test_model_steps(spark, tmp_path):
-    rows = [("a", i, float(i % 7), float(i % 3), 2.0 * (i % 7) + 0.1 * (i % 3), i // 30) for i in range(150)]
-    df = spark.createDataFrame(rows, "region string, i int, x double, z double, y double, fold int")
-    grid = {"n_estimators": [2, 8], "max_depth": [2], "learning_rate": [0.3]}
-    scores = model.grid_search(spark, df, ["x", "z"], "y", grid, "a", threads=2)
-    assert scores.count() == 8 and metrics.best_params(scores).first().best_params == model.params_text({"n_estimators": 8, "max_depth": 2, "learning_rate": 0.3})
-    m = model.fit_best(df, ["x", "z"], "y", model.parse_params("n_estimators=8,max_depth=2,learning_rate=0.3"))
-    assert model.predict(m, df, ["x", "z"], "y").agg(F.avg(F.abs(F.col("y") - F.col("y_hat")))).first()[0] < 1.5
-    gain = {r.feature: r.importance for r in model.gain_importance(spark, m, ["x", "z"], "a").collect()}
-    assert gain["x"] > gain["z"] and abs(sum(gain.values()) - 1) < 1e-9
-    counts = model.split_counts(spark, m, str(tmp_path / "m"), ["x", "z"], "a").collect()
-    assert counts[0].feature == "x" and sum(r.splits for r in counts) == sum((t.numNodes - 1) // 2 for t in m.trees)
-    assert sites.STATE_REGION["New York"] == "NY"
-
-
 def test_full_grid_is_registered(spark, monkeypatch):
     import __spark_entry__ as ent
     from hourgrid import schemas
     from hourgrid.operators.model import param_sets
     from hourgrid.plans import catalog
 
-    def report(spark, final, split, grid, model_dir):
+    def report(spark, final, split, grid):
         rows = [("A", str(p), i, k, 0.5 + i) for i, p in enumerate(param_sets(grid)) for k in (1, 2, 3, 4)]
         return {
             "fold_scores": spark.createDataFrame(rows, "region string, params string, param_order int, fold int, mae double"),
             "predictions": spark.createDataFrame([("A", 1, True, 2.0, len(rows) / 4, 0)], "region string, period int, is_test boolean, y double, y_hat double, x int"),
-            "split_counts": spark.createDataFrame([("A", "z", len(rows))], "region string, feature string, splits int"),
+            "split_counts": spark.createDataFrame([("A", "z", len(rows), 7)], "region string, feature string, splits int, cover long"),
         }
 
     monkeypatch.setattr(catalog.pipelines, "model_report", report)
     monkeypatch.setattr(catalog, "_stage", lambda *a: None)
-    monkeypatch.setattr(catalog, "scratch_path", lambda *a: "")
     names = ent.queries()
     rows = names["gbt_cv_full"](spark, "").collect()
     assert len(rows) == 4 * 27 == 4 * len(param_sets(schemas.PARAM_GRID)) and {r.mae for r in rows} == {0.5 + i for i in range(27)}
+    assert names["gbt_cv"](spark, "").count() == 4 * 27
     assert names["gbt_predict_full"](spark, "").first().y_hat == 27.0
     assert names["split_counts_full"](spark, "").first().splits == 108
