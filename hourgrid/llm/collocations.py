@@ -45,6 +45,9 @@ SLICE_WORDS = 1 << 19
 #: Bits of the field over frequent pairs (16 MB), whatever the corpus.
 FIELD_BITS = 1 << 27
 
+#: Parts of a language's candidates that are ranked on their own first.
+SHARES = 64
+
 CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 10)
 #: Ends a piece; no word holds it.
 END = b"."
@@ -184,11 +187,11 @@ def counted(codes: np.ndarray, size: int, v: int, passes=None) -> tuple[np.ndarr
     return (out if words is None else words[out]), counts
 
 
-def bit_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Place of a pair in the bit field."""
+def bit_of(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Place of a pair in a field of ``bits`` (a power of two)."""
     mix = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mix ^= mix >> np.uint64(29)
-    return (mix * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FIELD_BITS.bit_length() + 1)
+    return (mix * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(65 - bits.bit_length())
 
 
 def phrases(runs: DataFrame, size: int, total: int, partitions: int, field=None) -> DataFrame:
@@ -203,7 +206,7 @@ def phrases(runs: DataFrame, size: int, total: int, partitions: int, field=None)
                 if bits is not None:
 
                     def passes(x, y, s=starts):
-                        at = bit_of(s[x], s[y])
+                        at = bit_of(s[x], s[y], 8 * len(bits))
                         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
                 for a in range(0, len(codes), SLICE_WORDS):
@@ -247,18 +250,18 @@ def stream(parts: DataFrame, size: int, partitions: int, least: int) -> DataFram
     return dealt.mapInArrow(run, f"{', '.join(f'{c} long' for c in names)}, f long")
 
 
-def bit_field(pairs: DataFrame) -> bytes:
-    """The bits of all ``pairs``: FIELD_BITS / 8 bytes on the driver, whatever their number."""
+def bit_field(pairs: DataFrame, bits: int = FIELD_BITS) -> bytes:
+    """The bits of all ``pairs``: ``bits`` / 8 bytes on the driver, whatever their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(bit_of(b.column(0).to_numpy(), b.column(1).to_numpy()))
-            word, bit = (at >> np.uint64(5)).astype(np.int64), np.int64(1) << (at & np.uint64(31)).astype(np.int64)
+            at = np.unique(bit_of(b.column(0).to_numpy(), b.column(1).to_numpy(), bits))
+            word, mask = (at >> np.uint64(5)).astype(np.int64), np.int64(1) << (at & np.uint64(31)).astype(np.int64)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(bit, first) if len(first) else bit)], ["word", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first) if len(first) else mask)], ["word", "bits"])
 
     told = pairs.select("w1", "w2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FIELD_BITS // 32, "<u4")
+    out = np.zeros(bits // 32, "<u4")
     out[told.column(0).to_numpy()] = told.column(1).to_numpy()
     return out.tobytes()
 
@@ -286,7 +289,7 @@ def candidates(pairs: DataFrame, triples: DataFrame, words: DataFrame, share: in
     return p.select("w1", "w2", F.lit(None).cast("long").alias("w3"), "a", "l", "r", "score").union(three)
 
 
-def mine(docs: DataFrame, top: int = 2000, least: int = 10, share: int = 50, lang: str = "lang", text: str = "text") -> DataFrame:
+def mine(docs: DataFrame, top: int = 2000, least: int = 10, share: int = 50, lang: str = "lang", text: str = "text", field_bits: int = FIELD_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 or 3 words of each language."""
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -304,7 +307,7 @@ def mine(docs: DataFrame, top: int = 2000, least: int = 10, share: int = 50, lan
     # records of a stream by the ten thousand; runs, which are megabytes, a few at a time
     with arrow_batches(spark, 65536):
         pairs = staged(stream(phrases(runs, 2, total, partitions), 2, partitions, least), "pairs")
-        field = spark.sparkContext.broadcast(bit_field(pairs))
+        field = spark.sparkContext.broadcast(bit_field(pairs, field_bits))
         with released(runs):
             triples = staged(stream(phrases(runs, 3, total, partitions, field), 3, partitions, least), "triples")
     field.destroy()
@@ -312,8 +315,11 @@ def mine(docs: DataFrame, top: int = 2000, least: int = 10, share: int = 50, lan
     # the language is that of the first word; ties at the end of a list stay until phrases part them
     of = words.select(F.col("start").alias("w1"), "lang").hint("merge")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    found = found.join(of, "w1").withColumn("rank", F.rank().over(best)).where(F.col("rank") <= top).drop("rank")
-    found = staged(found, "best")
+    found = found.join(of, "w1").withColumn("share", F.pmod(F.hash("w1", "w2"), F.lit(SHARES)))
+    # first in shares of a language, so that no task sorts all candidates of a frequent one
+    for window in (Window.partitionBy("lang", "share").orderBy(F.desc("score"), F.desc("a")), best):
+        found = found.withColumn("rank", F.rank().over(window)).where(F.col("rank") <= top).drop("rank")
+    found = staged(found.drop("share"), "best")
     for i in (1, 2, 3):
         found = found.join(words.select(F.col("start").alias(f"w{i}"), F.col("word").alias(f"word{i}")), f"w{i}", "left")
     found = found.withColumn("phrase", F.concat_ws(" ", "word1", "word2", "word3")).join(n, "lang")

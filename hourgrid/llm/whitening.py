@@ -96,6 +96,12 @@ def products(z: np.ndarray) -> np.ndarray:
     return z.T @ z
 
 
+def column_sums(m: np.ndarray) -> np.ndarray:
+    """Exact sums of the columns, as whole numbers."""
+    most = int(np.abs(m).max(initial=0))
+    return (m if most * len(m) <= LONG else m.astype(object)).sum(axis=0).astype(object)
+
+
 def _summed(fit: DataFrame, of, kind: str) -> dict[int, np.ndarray]:
     """Per length, the sum over all tasks of the array ``of(length, matrix)`` gives; one row an entry."""
     exact = kind != "double"
@@ -124,7 +130,7 @@ def _summed(fit: DataFrame, of, kind: str) -> dict[int, np.ndarray]:
 def fit(rows: DataFrame, components: int = COMPONENTS) -> dict[int, Model]:
     """Models by length of the vectors ``x`` of ``rows``, over each distinct vector once."""
     distinct = staged(rows.select("x").distinct(), "fit-list")
-    sums = _summed(distinct, lambda d, m: np.append(m.astype(object).sum(axis=0), len(m)) if np.abs(m).max(initial=0) * len(m) >= LONG / 2 else np.append(m.sum(axis=0), len(m)).astype(object), "decimal(38,0)")
+    sums = _summed(distinct, lambda d, m: np.append(column_sums(m), len(m)), "decimal(38,0)")
     counts = {d: int(s[-1]) for d, s in sums.items() if d}
     shifts = {d: np.array([(2 * int(s) + counts[d]) // (2 * counts[d]) for s in sums[d][:-1]], np.int64) for d in counts}
     grams = _summed(distinct, lambda d, m: products(m - shifts[d]) if d else None, "decimal(38,0)")
