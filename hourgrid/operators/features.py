@@ -14,15 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.numeric import EXACT, share_pct
-from hourgrid.operators.ordered import (
-    DEFAULT_BLOCK_ROWS,
-    IDX,
-    halo_blocks,
-    keep_home,
-    month_bucket,
-    over_blocks,
-    row_index,
-)
+from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS, blocked, keep_home, over_blocks
 from hourgrid.schemas import FEATURE_TABLE, ROLLED, ROLL_ROWS
 
 
@@ -70,8 +62,9 @@ def lag_features(
     keys: Sequence[str] = ("region",),
     ts: str = "period",
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    small: bool = False,
 ) -> DataFrame:
-    """Row-count lags of the reference:
+    """Row-count lags of the reference (``small``: see ``ordered.blocked``):
 
     * ``da_forecast_yesterday`` = da_forecast 24 rows back,
     * ``unexpect_dem_diff`` = demand - da_forecast_yesterday,
@@ -81,9 +74,8 @@ def lag_features(
     * ``net_generation_lag_1`` = net_generation 1 row back.
     """
     keys = list(keys)
-    d = row_index(df, keys, [F.col(ts)], month_bucket(ts))
-    d = halo_blocks(d, before=24, block_rows=block_rows)
-    w = over_blocks(keys)
+    d = blocked(df, keys, ts, before=24, block_rows=block_rows, small=small)
+    w = over_blocks(d, keys, ts)
     prev3 = w.rowsBetween(-3, -1)
     ti = F.col("total_interchange")
     d = d.withColumns(
@@ -98,7 +90,7 @@ def lag_features(
         }
     )
     d = d.withColumn("unexpect_dem_diff", F.col("demand") - F.col("da_forecast_yesterday"))
-    return keep_home(d).drop(IDX)
+    return keep_home(d)
 
 
 def dropna_any(df: DataFrame) -> DataFrame:
@@ -114,6 +106,7 @@ def rolling_means(
     ts: str = "period",
     block_rows: int = DEFAULT_BLOCK_ROWS,
     suffix: str = "_30d_avg",
+    small: bool = False,
 ) -> DataFrame:
     """``<c><suffix>`` = mean of the non-null values of ``c`` over the current row and
     the ``window - 1`` rows before it (fewer at the start of a series).
@@ -122,9 +115,8 @@ def rolling_means(
     The running sums are exact decimals, so the difference has no cancellation
     error and the mean does not depend on the order of addition."""
     keys = list(keys)
-    d = row_index(df, keys, [F.col(ts)], month_bucket(ts))
-    d = halo_blocks(d, before=window - 1, block_rows=block_rows)
-    w = over_blocks(keys)
+    d = blocked(df, keys, ts, before=window - 1, block_rows=block_rows, small=small)
+    w = over_blocks(d, keys, ts)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     sums = {}
     for c in cols:
@@ -140,7 +132,7 @@ def rolling_means(
         n = n_now - n_old
         means[f"{c}{suffix}"] = F.when(n > 0, (s_now - s_old).cast("double") / n.cast("double"))
     d = d.withColumns(means).drop(*sums.keys())
-    return keep_home(d).drop(IDX)
+    return keep_home(d)
 
 
 def drop_source_columns(df: DataFrame, cols: Sequence[str] = ("demand", "net_generation", "datetime")) -> DataFrame:

@@ -1,22 +1,18 @@
 """Positional (row-count) windows that stay parallel inside one huge series.
 
-A plain ``Window.partitionBy(keys).orderBy(t)`` puts a whole series in one task;
-one region holding a third of all rows would make that task a third of the job.
-The operators here split every series into bounded blocks instead:
-
-1. :func:`row_index` numbers the rows of each series 0..n-1.  Rows are first
-   counted per coarse bucket (e.g. month of ``period``; a partial aggregate),
-   the per-bucket offsets are a running sum over that small count table, and
-   the position inside a bucket is a ``row_number`` over (keys, bucket).  No
-   task ever holds more than one bucket of one series.
-2. :func:`halo_blocks` cuts the numbered rows into blocks of ``block_rows`` and
-   copies the last ``before`` rows of each block into the following block as a
-   read-only halo, so a frame of ``before`` preceding rows is complete for every
-   row that lives in the block.
-3. :func:`over_blocks` returns the window spec for such blocks, and
-   :func:`keep_home` drops the halo copies afterwards.
-
-All steps are built-in expressions; Catalyst plans one Exchange per step.
+A plain ``Window.partitionBy(keys).orderBy(t)`` puts a whole series in one task; one region holding a
+third of all rows would make that task a third of the job.  Here:
+
+1. :func:`measure` counts the rows of each series (one aggregate).  A series of at most ``block_rows``
+   is one block.  Larger ones are cut at borders in time that come from counts: by day, and where a day
+   holds too many rows by hour, minute, second, and so on, so a crowded hour is cut as well as a long history.
+2. :func:`blocked` sends every row once to its (series, block), found in the borders of its series
+   by bisection.  A frame over the ``before`` preceding rows needs no more than the last rows of the blocks
+   before it, the halo: only these travel again, joined to the rows where they lie (a union of two
+   sides that are partitioned alike needs no exchange).
+3. :func:`over_blocks` is the window over such blocks, :func:`keep_home` drops the halo afterwards.
+
+Where all series are small, blocks are series: several passes share one exchange and one sort.
 """
 
 from __future__ import annotations
@@ -25,12 +21,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hourgrid.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 1_000_000
 IDX = "_i"
 BLK = "_blk"
 HOME = "_home"
-CB = "_cb"
+#: Units of time that borders are looked for in, in microseconds: day, hour, minute, second, down to one.
+UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+#: Blocks whose borders are broadcast; a table with more of them is joined by its keys.
+BROADCAST_BLOCKS = 500_000
 
 
 def _ns_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,65 +43,125 @@ def _ns_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
     return out.drop(*[f"_r_{c}" for c in cols])
 
 
-def row_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    coarse: Column,
-    name: str = IDX,
-    total: str | None = None,
-) -> DataFrame:
-    """Add ``name`` = 0-based position of the row in its series (``keys``) by ``order``.
-
-    ``coarse`` must be non-decreasing along ``order`` within a series (for hourly
-    data: the month of the period); it bounds the rows any single task sorts.
-    ``order`` should be unique within a series for a deterministic numbering.
-
-    The input is shuffled once on (series, bucket): the per-bucket counts, the
-    join with the bucket offsets and the in-bucket ``row_number`` all reuse that
-    exchange, so the upstream plan runs once.  All windows are over the key columns
-    themselves, so a filter on a key reaches the scan.  A NULL key or bucket has no
-    place in a series: it raises, no row is lost silently.  ``total`` names a column
-    for the number of rows of the series, which the small count table knows.
-    """
-    keys = list(keys)
-    lost = F.lit(False)
-    for k in keys:
-        lost = lost | F.col(k).isNull()
-    why = F.lit(f"a row with a NULL in {keys} or in the order of its series cannot be numbered")
-    bucket = F.when(lost | coarse.isNull(), F.raise_error(why)).otherwise(coarse)
-    d = df.withColumn(CB, bucket).repartition(*keys, CB)
-    counts = d.groupBy(*keys, CB).agg(F.count(F.lit(1)).alias("_n"))
-    series = Window.partitionBy(*keys)
-    before = series.orderBy(CB).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_n").over(series).alias(total)] if total else []
-    offsets = counts.select(*keys, CB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
-    # a left join: an inner one would drop NULL keys before they raise
-    d = d.join(offsets, on=[*keys, CB], how="left")
-    inside = Window.partitionBy(*keys, CB).orderBy(*order)
-    return d.withColumn(name, F.col("_off") + F.row_number().over(inside) - F.lit(1)).drop(CB, "_off")
+def _place(df: DataFrame, ts: str) -> Column:
+    """The place of a row in its order as a whole number: microseconds of a time, else the number itself."""
+    kind = df.schema[ts].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    if isinstance(kind, T.IntegralType):
+        return F.col(ts).cast("long")
+    raise TypeError(f"{ts}: a series is ordered by a time or a whole number")
 
 
-def halo_blocks(
-    df: DataFrame,
-    before: int,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-    index: str = IDX,
-) -> DataFrame:
-    """Assign rows to blocks of ``block_rows`` by ``index``; each row is also copied
-    (``_home`` = false) into every later block whose first ``before`` rows it precedes."""
+def measure(df: DataFrame, keys: Sequence[str], ts: str, block_rows: int = DEFAULT_BLOCK_ROWS, before: int = 0) -> DataFrame | None:
+    """Borders of the series of more than ``block_rows`` rows, one row each, or None if there is none:
+    ``n`` rows, and for its blocks ``lows`` (first place), ``starts`` (rows before) and ``halo`` (which later
+    blocks need how many of the last rows).  Runs jobs that read the keys and ``ts`` only.
+
+    A NULL key or place has no place in a series: it raises, no row is lost silently."""
     if block_rows < 1 or before < 0:
         raise ValueError("block_rows must be >= 1 and before >= 0")
-    i = F.col(index)
-    own = F.floor(i / F.lit(block_rows))
-    last = F.floor((i + F.lit(before)) / F.lit(block_rows))
-    return df.withColumn(BLK, F.explode(F.sequence(own, last))).withColumn(HOME, F.col(BLK) == own)
-
+    keys = list(keys)
+    d = df.select(*keys, _place(df, ts).alias("_t"))
+    per = d.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("_t").isNull()).alias("_lost"))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    most, lost = per.agg(F.max("n"), F.count_if(no_key | (F.col("_lost") > 0))).first()
+    if lost:
+        raise ValueError(f"a row with a NULL in {keys} or in the order of its series cannot be numbered")
+    if (most or 0) <= block_rows:
+        return None
+    large = cut_lineage(per.where(F.col("n") > block_rows).select(*keys, "n"), "large-series")
+    rows = d.join(large.select(*keys), keys, "left_semi").withColumn("_low", F.lit(None).cast("long"))
+    parts = []
+    for unit in UNITS:
+        low = F.col("_t") - F.pmod("_t", F.lit(unit))
+        cells = cut_lineage(rows.groupBy(*keys, "_low", low.alias("low")).agg(F.count("*").alias("c")), "cells")
+        crowded = (F.col("c") > max(block_rows // 8, 1)) & F.lit(unit > 1)
+        parts.append(cells.where(~crowded).select(*keys, "low", "c"))
+        hot = cells.where(crowded).select(*keys, F.col("low").alias("_low"))
+        if hot.isEmpty():
+            break
+        rows = d.withColumn("_low", low).join(hot, [*keys, "_low"], "left_semi")
+    cells = parts[0]
+    for p in parts[1:]:
+        cells = cells.union(p)
+    series = Window.partitionBy(*keys)
+    prior = F.sum("c").over(series.orderBy("low")) - F.col("c")
+    blocks = cells.withColumn("_b", F.floor(prior / F.lit(block_rows))).groupBy(*keys, "_b").agg(F.min("low").alias("low"), F.sum("c").alias("size"))
+    blocks = blocks.withColumns({"b": F.row_number().over(series.orderBy("low")) - 1, "end": F.sum("size").over(series.orderBy("low"))})
+    blocks = blocks.withColumn("next", F.lead("b").over(series.orderBy("low")))
+    # the blocks that begin within `before` rows of this one's end
+    near = series.orderBy("end").rangeBetween(0, max(before - 1, 0))
+    needs = F.collect_list(F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("to"), F.col("end")))).over(near)
+    need = F.transform("needs", lambda x: F.struct(x["to"].alias("to"), (F.lit(before) - x["end"] + F.col("end")).alias("last")))
+    blocks = blocks.withColumn("needs", needs).withColumn("halo", need if before else F.array().cast("array<struct<to:int,last:bigint>>"))
+    listed = F.array_sort(F.collect_list(F.struct("b", "low", (F.col("end") - F.col("size")).alias("start"), "halo")))
+    out = blocks.groupBy(*keys).agg(F.sum("size").alias("n"), listed.alias("x"))
+    return cut_lineage(out.select(*keys, "n", F.col("x.low").alias("lows"), F.col("x.start").alias("starts"), F.col("x.halo").alias("halo")), "borders")
+
+
+def _block(lows: str, place: Column) -> Column:
+    """The last block whose ``lows`` is not beyond ``place``, by bisection; 0 without borders."""
+    steps = F.ceil(F.log2(F.size(lows) + 1)).cast("int")
+    down = F.sequence(steps, F.lit(0))
+
+    def step(at: Column, k: Column) -> Column:
+        probe = at + F.pow(F.lit(2), k).cast("int")
+        return F.when(F.get(lows, probe) <= place, probe).otherwise(at)
+
+    return F.when(F.col(lows).isNull(), F.lit(0)).otherwise(F.aggregate(down, F.lit(0), step))
+
+
+def blocked(
+    df: DataFrame, keys: Sequence[str], ts: str, before: int = 0, block_rows: int = DEFAULT_BLOCK_ROWS, small: bool = False, index: str | None = None, total: str | None = None
+) -> DataFrame:
+    """Rows with their block (``BLK``) and, ``HOME`` = false, the halo of ``before`` rows ahead of each block.
 
-def over_blocks(keys: Sequence[str] = (), index: str = IDX):
-    """Window over one block of one series (rows numbered by :func:`row_index`), in
-    series order."""
-    return Window.partitionBy(*keys, BLK).orderBy(index)
+    ``small``: :func:`measure` has found no series of more than ``block_rows`` in these rows or in
+    a table that they were filtered from; nothing is counted again.  ``index`` names a column for the 0-based
+    position of a row in its series, ``total`` one for the rows of the series."""
+    keys = list(keys)
+    borders = None if small else measure(df, keys, ts, block_rows, before)
+    if borders is None:
+        d = df.withColumn(HOME, F.lit(True))
+        if index:
+            d = d.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - F.lit(1))
+        return d.withColumn(total, F.count("*").over(Window.partitionBy(*keys))) if total else d
+    if borders.agg(F.sum(F.size("lows"))).first()[0] <= BROADCAST_BLOCKS:
+        borders = F.broadcast(borders)
+    d = df.join(borders.withColumnRenamed("n", "_n_of"), keys, "left").withColumn(BLK, _block("lows", _place(df, ts)))
+    # what a row needs of its series' borders, before it travels
+    d = d.withColumns({"_start": F.coalesce(F.get("starts", F.col(BLK)), F.lit(0)), "_need": F.get("halo", F.col(BLK))})
+    kept = [*df.columns, BLK]
+    d = d.select(*kept, *["_start"] * bool(index), *["_n_of"] * bool(total), *["_need"] * bool(before)).repartition(*keys, BLK)
+    inside = Window.partitionBy(*keys, BLK)
+    if index:
+        d = d.withColumn(index, F.col("_start") + F.row_number().over(inside.orderBy(ts)) - F.lit(1))
+        kept.append(index)
+    if total:
+        d = d.withColumn(total, F.coalesce("_n_of", F.count("*").over(inside)))
+        kept.append(total)
+    if not before:
+        return d.select(*kept).withColumn(HOME, F.lit(True))
+    # true for every row; it reads what the halo reads, so that both come from one exchange
+    home = d.select(*kept, (F.coalesce(F.size("_need"), F.lit(0)) >= F.lit(0)).alias(HOME))
+    last = d.withColumn("_last", F.row_number().over(inside.orderBy(F.desc(ts)))).where(F.col("_last") <= before)
+    to = F.filter("_need", lambda x: F.col("_last") <= x["last"])
+    tail = last.withColumn("_to", F.explode(to["to"])).drop(BLK).withColumnRenamed("_to", BLK)
+    return home.unionByName(tail.select(*kept).repartition(*keys, BLK).withColumn(HOME, F.lit(False)))
+
+
+def row_index(df: DataFrame, keys: Sequence[str], ts: str, name: str = IDX, total: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS, small: bool = False) -> DataFrame:
+    """Add ``name`` = 0-based position of the row in its series by ``ts``, which should be unique in it; ``total``
+    names a column for the number of rows of the series.  One exchange."""
+    return keep_home(blocked(df, keys, ts, 0, block_rows, small, name, total))
+
+
+def over_blocks(df: DataFrame, keys: Sequence[str], ts: str):
+    """Window over one block of one series of :func:`blocked` rows, in series order."""
+    return Window.partitionBy(*keys, *[c for c in (BLK,) if c in df.columns]).orderBy(ts)
 
 
 def keep_home(df: DataFrame) -> DataFrame:
@@ -107,10 +169,6 @@ def keep_home(df: DataFrame) -> DataFrame:
     return df.filter(F.col(HOME)).drop(BLK, HOME)
 
 
-def month_bucket(col: str = "period") -> Column:
-    return F.date_trunc("month", F.col(col))
-
-
 def ffill(
     df: DataFrame,
     value: str,

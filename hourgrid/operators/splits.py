@@ -7,16 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.operators.ordered import (
-    DEFAULT_BLOCK_ROWS,
-    IDX,
-    _ns_join,
-    halo_blocks,
-    keep_home,
-    month_bucket,
-    over_blocks,
-    row_index,
-)
+from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS, IDX, _ns_join, row_index
 from hourgrid.schemas import N_FOLDS, SEQ_LEN
 
 
@@ -31,6 +22,7 @@ def expanding_folds(
     n_splits: int = N_FOLDS,
     ts: str = "period",
     out: str = "fold",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Label rows of each series for expanding-window cross-validation.
 
@@ -39,7 +31,7 @@ def expanding_folds(
     t rows each.  Fold k trains on rows with label < k and validates on label k.
     A series with fewer than n_splits + 1 rows gets NULL labels."""
     keys = list(keys)
-    d = row_index(df, keys, [F.col(ts)], month_bucket(ts), total="_n")
+    d = row_index(df, keys, ts, total="_n", block_rows=block_rows)
     t = F.floor(F.col("_n") / F.lit(n_splits + 1))
     start = F.col("_n") - F.lit(n_splits) * t
     label = F.when(t <= 0, F.lit(None)).when(F.col(IDX) < start, F.lit(0)).otherwise(
@@ -81,6 +73,40 @@ def standardise(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("regi
     return apply_scaler(df, scaler, cols, keys), scaler
 
 
+#: Rows of a run of sequences.
+RUN_ROWS = 1024
+
+
+def sequence_runs(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    window: int = SEQ_LEN,
+    keys: Sequence[str] = ("region", "is_test"),
+    ts: str = "period",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+    run_rows: int = RUN_ROWS,
+) -> DataFrame:
+    """The sequences of :func:`sequences` as runs: ``steps``, the features of up to ``window + run_rows``
+    rows in a row, and ``items``, the sequences in it: where each starts in ``steps``, its time and target.
+
+    A step is stored 1 + window / run_rows times on average, not ``window`` times; a run is of bounded size
+    and is what a training reader loads: sequence i is ``steps[start : start + window]``."""
+    keys = list(keys)
+    small_runs = min(run_rows, block_rows)
+    d = row_index(df, keys, ts, block_rows=block_rows)
+    own = F.floor(F.col(IDX) / F.lit(small_runs))
+    last = F.floor((F.col(IDX) + F.lit(window)) / F.lit(small_runs))
+    # only the last `window` rows of a run go to the following ones, too
+    step = F.struct(F.col(IDX).alias("i"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    each = d.withColumn("run", F.explode(F.sequence(own, last)))
+    item = F.when((F.col("run") == own) & (F.col(IDX) >= window), F.struct(F.col(IDX).alias("i"), F.col(ts).alias(ts), F.col(target).alias("y")))
+    runs = each.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(step)).alias("s"), F.array_sort(F.collect_list(item)).alias("t"))
+    first = F.get("s", F.lit(0))["i"]
+    items = F.transform("t", lambda x: F.struct((x["i"] - F.lit(window) - first).cast("int").alias("start"), x[ts].alias(ts), x["y"].alias("y")))
+    return runs.where(F.size("t") > 0).select(*keys, "run", F.col("s.x").alias("steps"), items.alias("items"))
+
+
 def sequences(
     df: DataFrame,
     features: Sequence[str],
@@ -93,12 +119,11 @@ def sequences(
     """For every row with at least ``window`` rows before it in its series: the
     features of those ``window`` rows (oldest first) as ``seq`` (array of arrays)
     and the row's own target as ``y``.  Splits are separate series by default, so
-    no sequence crosses the split.  A 24-row window, no Python."""
-    keys = list(keys)
-    d = row_index(df, keys, [F.col(ts)], month_bucket(ts))
-    d = halo_blocks(d, before=window, block_rows=block_rows)
-    frame = over_blocks(keys).rowsBetween(-window, -1)
-    step = F.array(*[F.col(c).cast("double") for c in features])
-    d = d.withColumn("seq", F.collect_list(step).over(frame))
-    d = keep_home(d).filter(F.size("seq") == F.lit(window))
-    return d.select(*keys, ts, "seq", F.col(target).alias("y"))
+    no sequence crosses the split.  The runs of :func:`sequence_runs`, laid out row by row."""
+    return sequence_rows(sequence_runs(df, features, target, window, keys, ts, block_rows), window, keys, ts)
+
+
+def sequence_rows(runs: DataFrame, window: int = SEQ_LEN, keys: Sequence[str] = ("region", "is_test"), ts: str = "period") -> DataFrame:
+    """A row for each sequence of the ``runs``."""
+    each = runs.select(*keys, "steps", F.explode("items").alias("t"))
+    return each.select(*keys, F.col(f"t.{ts}").alias(ts), F.slice("steps", F.col("t.start") + 1, F.lit(window)).alias("seq"), F.col("t.y").alias("y"))

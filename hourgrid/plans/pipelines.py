@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.operators import features as fe
 from hourgrid.operators import boosting, metrics, model, reshape, sites, splits
-from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
+from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS, measure
 from hourgrid.operators.reports import corr_matrix, hour_month_grid, hour_month_mean, scatter_extract
 from hourgrid.schemas import (
     CORR_COLS,
@@ -96,11 +96,10 @@ def build_features(
     ``joined``, ``calendar``, ``shares``, ``lags`` (before the null drop),
     ``complete`` (after it; the correlation input), ``rolled``, ``final``.
 
-    Each positional pass (lags, rolling means) reads its input twice: for the
-    per-bucket counts and for the rows themselves.  With ``materialize`` (the
-    default) the joined hourly table is written once to the shared checkpoint
-    folder before the first pass and the complete table before the second, so
-    neither the raw readings nor the lags are computed again."""
+    With ``materialize`` (the default) the joined hourly table is written once to the shared checkpoint
+    folder, since it is read for the counts of the series and for the rows.  Where no series has more than
+    ``block_rows`` rows, lags and rolling means then share one exchange and one sort; else the complete
+    table is written, too, and the rolling pass counts what is left of each series."""
     energy, weather = (_only(x, regions, keys[0]) for x in (energy, weather))
     d = fe.join_energy_weather(energy, weather, keys)
     if stage == "joined":
@@ -114,16 +113,16 @@ def build_features(
     if materialize:
         # one folder a region: later filters on the key prune the files
         d = cut_lineage(d, "hours", keys)
-    d = fe.lag_features(d, keys, block_rows=block_rows)
+    small = measure(d, keys, "period", block_rows) is None
+    d = fe.lag_features(d, keys, block_rows=block_rows, small=small)
     if stage == "lags":
         return d
     d = fe.dropna_any(d)
     if stage == "complete":
         return d
-    if materialize:
-        # the rolling pass reads it twice, too (counts, rows): the lags are not computed again
+    if materialize and not small:
         d = cut_lineage(d, "complete", keys)
-    d = fe.rolling_means(d, keys=keys, block_rows=block_rows)
+    d = fe.rolling_means(d, keys=keys, block_rows=block_rows, small=small)
     if stage == "rolled":
         return d
     if stage != "final":

@@ -17,12 +17,22 @@ def test_no_python_udfs(spark, name):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_windows_never_partition_by_region_alone(spark):
+def test_lags_and_means_share_one_exchange(spark):
+    """Small series: one exchange and one sort behind the written hours."""
     plan = _plan(QUERIES["feature_table"](spark, SF))
-    # every window is keyed by the series struct plus a bounded bucket/block column
-    for line in plan.splitlines():
-        if "Window [" in line:
-            assert "_blk" in line or "_cb" in line or "rowsBetween(unboundedPreceding, -1)" in line or "specifiedwindowframe(RowFrame, unboundedpreceding$(), -1)" in line
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_windows_of_large_series_are_by_block(spark):
+    from hourgrid.plans.catalog import BLOCK_CONF
+
+    spark.conf.set(BLOCK_CONF, "40")
+    try:
+        plan = _plan(QUERIES["feature_table"](spark, SF))
+    finally:
+        spark.conf.unset(BLOCK_CONF)
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_blk" in x for x in windows)
 
 
 def test_scan_prunes_columns(spark):
@@ -33,4 +43,4 @@ def test_scan_prunes_columns(spark):
     assert "l_partkey" not in plan and "l_orderkey" not in plan
     # the written hourly table is read back with only the columns each branch needs
     ft = _plan(QUERIES["feature_table"](spark, SF))
-    assert "ReadSchema: struct<period:timestamp_ntz>" in ft
+    assert "datetime" not in ft.split("ReadSchema")[-1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hourgrid import session
 from hourgrid.operators import metrics, model, reports, reshape, sinks, sites
-from hourgrid.operators.ordered import month_bucket, row_index
+from hourgrid.operators.ordered import row_index
 from hourgrid.plans import pipelines as P
 from hourgrid.plans.catalog import QUERIES
 from hourgrid.sources import pages
@@ -79,7 +79,7 @@ def test_null_order_and_ordinal(spark):
     df = spark.createDataFrame([("a", t), ("a", None), (None, t)], "region string, period timestamp_ntz")
     for bad in (df.where("region IS NOT NULL"), df.where("period IS NOT NULL")):
         with pytest.raises(Exception, match="cannot be numbered"):
-            row_index(bad, ["region"], [F.col("period")], month_bucket()).collect()
+            row_index(bad, ["region"], "period").collect()
     long = spark.createDataFrame([(t, "a", "A", "Wind", 3.0, None), (t, "a", "A", "Solar", 4.0, None), (t, "a", "A", "Solar", 5.0, 9)], "period timestamp_ntz, respondent string, respondent_name string, type_name string, value double, ordinal long")
     got = reshape.pivot_first(long, {"Wind": "wind", "Solar": "solar"}).first()
     assert (got.wind, got.solar) == (3.0, 5.0)
