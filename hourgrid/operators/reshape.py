@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.numeric import to_double
@@ -19,6 +19,13 @@ def parse_readings(df: DataFrame, period: str = "period", value: str = "value")
     return df.withColumns({period: parse_period(period), value: to_double(value)})
 
 
+def arrival_order(long_df: DataFrame, value: str = "value", ordinal: str = "ordinal") -> Column:
+    """What the first reading is the smallest of: by ordinal, those without one last, then by the place in the
+    whole result, the page and the place in it, then by value."""
+    arrival = [F.col(c) for c in (ordinal, *ARRIVAL) if c in long_df.columns]
+    return F.struct(arrival[0].isNull(), *arrival, F.col(value)) if arrival else F.struct(F.col(value))
+
+
 def pivot_first(
     long_df: DataFrame,
     types: Mapping[str, str],
@@ -38,8 +45,7 @@ def pivot_first(
     an ordinal come after those with one, in the order of their pages, then of
     their values: none is lost."""
     keys = list(keys)
-    arrival = [F.col(c) for c in (ordinal, *ARRIVAL) if c in long_df.columns]
-    order = F.struct(arrival[0].isNull(), *arrival, F.col(value)) if arrival else F.struct(F.col(value))
+    order = arrival_order(long_df, value, ordinal)
     ok = F.col(value).isNotNull() & F.col(pivot).isin(list(types))
     for k in keys:
         ok = ok & F.col(k).isNotNull()

@@ -23,7 +23,7 @@ from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, PARAM_GRID, TARGET
 from hourgrid.operators.sinks import write_if_absent
 from hourgrid.session import cut_lineage, scratch_path
 from hourgrid.sources import bindings as b
-from hourgrid.sources.pages import ARRIVAL, land_pages, page_completeness, read_pages, require_complete
+from hourgrid.sources.pages import ARRIVAL, first_rows, land_pages, page_completeness, page_gaps, read_pages, require_complete
 from hourgrid.sources.tables import ENERGY_COLS, read_coords_csv, read_energy_csv, read_model_table
 from hourgrid.sources.weather import land_weather, read_weather_text
 from hourgrid.streaming.ingest import ingest_pages
@@ -205,8 +205,8 @@ def q_energy_outer(spark, d):
 
 def q_energy_pages(spark, d):
     """Pages as the service sends them (names of the wire, no ordinal, one document a file, some
-    pretty-printed) -> complete? -> wide energy hours with their region."""
-    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "wire-pages"), page_rows=200, wire=True)
+    pretty-printed, some landed twice) -> each place once, complete? -> wide energy hours with their region."""
+    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "wire-pages"), page_rows=2000, wire=True, again=F.col("_page") % 3 == 0)
     rows = require_complete(read_pages(spark, path))
     return pipelines.build_energy_hours(
         rows.filter(F.col("type_name").isin(list(BASE))), rows.filter(F.col("type_name").isin(list(FUEL))), BASE, FUEL
@@ -218,6 +218,18 @@ def q_page_completeness(spark, d):
     return page_completeness(read_pages(spark, path, layout="lines"))
 
 
+def q_page_gaps(spark, d):
+    """Places of each result that have not come, where some pages are missing and some came twice."""
+    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "pages"), 200, missing=F.col("_page") % 5 == 2, again=F.col("_page") % 3 == 0)
+    return page_gaps(cut_lineage(read_pages(spark, path)))
+
+
+def q_page_coverage(spark, d):
+    """Rows of those pages, each place once."""
+    path = land_pages(b.readings_text(spark, d), scratch_path(spark, "pages"), 200, missing=F.col("_page") % 5 == 2, again=F.col("_page") % 3 == 0)
+    return first_rows(read_pages(spark, path)).drop(*ARRIVAL)
+
+
 def q_pages_explode(spark, d):
     path = land_pages(b.readings_text(spark, d), scratch_path(spark, "pages"))
     return read_pages(spark, path).drop(*ARRIVAL)
@@ -437,6 +449,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "energy_outer": q_energy_outer,
     "energy_pages": q_energy_pages,
     "page_completeness": q_page_completeness,
+    "page_gaps": q_page_gaps,
+    "page_coverage": q_page_coverage,
     "eda_hour_month": q_eda_hour_month,
     "eda_grid": q_eda_grid,
     "energy_csv_read": q_energy_csv_read,

@@ -475,6 +475,14 @@ per AS (SELECT feature, max(importance) AS m, avg(importance) / nullif(max(impor
 best AS (SELECT *, row_number() OVER (ORDER BY mean_share DESC, feature) AS rank FROM per WHERE mean_share IS NOT NULL)
 SELECT CAST(rank AS INTEGER) AS rank, feature, region, {R4('importance')} AS importance, {R4('importance / m')} AS share, {R4('mean_share')} AS mean_share
 FROM best JOIN imp USING (feature) WHERE rank <= 10"""
+    kept = f"""{PAGE_TEXT},
+pg AS (SELECT respondent, ordinal // 200 AS p, count(*) AS n FROM rtext GROUP BY ALL),
+po AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS e, CAST(sum(n) OVER w AS BIGINT) - n AS s, CAST(sum(n) OVER (PARTITION BY respondent) AS BIGINT) AS total FROM pg WINDOW w AS (PARTITION BY respondent ORDER BY p)),
+got AS (SELECT * FROM po WHERE p % 5 <> 2)"""
+    q["page_gaps"] = f"""WITH {kept}
+SELECT respondent, gap_start, s AS gap_end FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY respondent ORDER BY p), 0) AS gap_start FROM got) WHERE s > gap_start
+UNION ALL SELECT respondent, max(e), any_value(total) FROM got GROUP BY respondent HAVING max(e) < any_value(total)"""
+    q["page_coverage"] = f"WITH {kept}\nSELECT (SELECT any_value(total) FROM po WHERE po.respondent = r.respondent) AS page_total, r.* FROM rtext r SEMI JOIN got g ON g.respondent = r.respondent AND g.p = r.ordinal // 200"
     q["pages_explode"] = (
         f"WITH {PAGE_TEXT}\nSELECT count(*) OVER (PARTITION BY respondent) AS page_total, * FROM rtext"
     )

@@ -29,10 +29,13 @@ WIRE_NAMES = {"respondent_name": "respondent-name", "type_name": "type-name", "v
 # A reading as it comes, under either name.
 READING_WIRE = T.StructType([*READING_TEXT.fields, *[T.StructField(w, STR) for w in WIRE_NAMES.values()]])
 
-# A landed page: one JSON document per request; what cannot be parsed stays as text.
+# A landed page: one JSON document per request, with the request as the service echoes it (where it does);
+# what cannot be parsed stays as text.
 CORRUPT = "corrupt"
+PAGE_REQUEST = T.StructType([T.StructField("params", T.StructType([T.StructField("offset", STR), T.StructField("length", STR)]))])
 PAGE = T.StructType(
     [
+        T.StructField("request", PAGE_REQUEST),
         T.StructField(
             "response",
             T.StructType(

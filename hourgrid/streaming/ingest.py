@@ -18,15 +18,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.operators.reshape import parse_readings
+from hourgrid.operators.reshape import arrival_order, parse_readings
 from hourgrid.schemas import ENERGY_KEYS
-from hourgrid.sources.pages import documents, rows_of
+from hourgrid.sources.pages import WHOLE_BYTES, documents, rows_of
 
 
-def page_stream(spark: SparkSession, landing_dir: str, max_files: int = 1000) -> DataFrame:
-    """Streaming DataFrame of parsed readings from page files under ``landing_dir``."""
-    texts = spark.readStream.option("maxFilesPerTrigger", max_files).text(landing_dir, wholetext=True)
-    return parse_readings(rows_of(documents(texts)))
+def page_stream(spark: SparkSession, landing_dir: str, max_files: int = 1000, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Streaming DataFrame of parsed readings from page files under ``landing_dir``: small files whole, larger
+    ones by line, in splits (``sources.pages``)."""
+    reader = lambda: spark.readStream.option("maxFilesPerTrigger", max_files)
+    # lines of one split share its start; a stream cannot number rows
+    return parse_readings(rows_of(documents(reader, landing_dir, number=F.col("_metadata.file_block_start"), whole_bytes=whole_bytes)))
 
 
 def ingest_pages(
@@ -35,11 +37,12 @@ def ingest_pages(
     out_path: str,
     checkpoint: str,
     partition_by: str = "respondent",
+    whole_bytes: int = WHOLE_BYTES,
 ) -> str:
     """Append every not-yet-seen page file under ``landing_dir`` to ``out_path``
     (Parquet, partitioned by ``partition_by``) and stop when caught up."""
     q = (
-        page_stream(spark, landing_dir)
+        page_stream(spark, landing_dir, whole_bytes=whole_bytes)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .partitionBy(partition_by)
@@ -66,8 +69,6 @@ def stream_hours(
     # watermarks need TIMESTAMP: an LTZ copy of the hour (same instant under the UTC session)
     d = readings.filter(ok).withColumn("_event_time", F.col("period").cast("timestamp"))
     d = d.withWatermark("_event_time", lateness)
-    aggs = [
-        F.min_by(F.col("value"), F.when(F.col("type_name") == F.lit(t), F.col("ordinal"))).alias(c)
-        for t, c in types.items()
-    ]
+    order = arrival_order(readings)
+    aggs = [F.min_by(F.col("value"), F.when(F.col("type_name") == F.lit(t), order)).alias(c) for t, c in types.items()]
     return d.groupBy("_event_time", *keys).agg(*aggs).drop("_event_time")
