@@ -47,7 +47,7 @@ def main() -> None:
     from hourgrid.plans.catalog import QUERIES
     from hourgrid.session import get_spark
 
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=cpus)
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=cpus, driver_memory="8g")
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in names:

@@ -5,38 +5,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.numeric import exact_avg
+from hourgrid.operators.ordered import _ns_join
 from hourgrid.schemas import CORR_COLS
+from hourgrid.session import cut_lineage
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] = tuple(CORR_COLS), keys: Sequence[str] = ("region",)) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` per key, long form
-    ``(keys..., feature_1, feature_2, corr)``, full square (mirrored, diagonal 1).
-
-    One aggregate (partial on the map side) over all pairs: covariance and
-    standard deviations are Welford-stable built-ins, all three over the rows where
-    both columns of the pair are present; a constant column gives NULL instead of
-    the division-by-zero error ``corr`` raises under ANSI."""
-    keys = list(keys)
-    cols = list(cols)
-    aggs = [F.stddev_pop(c).alias(f"_sd_{i}") for i, c in enumerate(cols)]
+    ``(keys..., feature_1, feature_2, corr)``, full square (mirrored, diagonal 1), each pair over the rows where
+    both are present; a constant column gives NULL.
+
+    The columns are written once.  A first aggregate (counts, means, ranges) gives what to centre by and which
+    columns have NULLs; a second one sums the products of centred values: one number a pair, since pairs of whole
+    columns share sums of squares.  Only pairs with a column that has NULLs have masked sums of their own."""
+    keys, cols = list(keys), list(cols)
+    x = [f"_x{i}" for i in range(len(cols))]
+    d = cut_lineage(df.select(*keys, *[F.col(c).cast("double").alias(n) for n, c in zip(x, cols, strict=True)]), "columns")
+    first = [F.count("*").alias("_n")]
+    for n in x:
+        first += [F.count(n).alias(f"_c{n}"), F.avg(n).alias(f"_m{n}"), F.min(n).alias(f"_lo{n}"), F.max(n).alias(f"_hi{n}")]
+    means = cut_lineage(d.groupBy(*keys).agg(*first), "means")
+    gaps = means.agg(*[F.max(F.col(f"_c{n}") < F.col("_n")) for n in x]).first()
+    z = _ns_join(d, means.select(*keys, *[f"_m{n}" for n in x]), keys).select(*keys, *[(F.col(n) - F.col(f"_m{n}")).alias(n) for n in x])
     pairs = list(combinations(range(len(cols)), 2))
+    aggs = [F.sum(F.col(n) * F.col(n)).alias(f"_s{n}") for n in x]
     for i, j in pairs:
-        a, b = F.col(cols[i]), F.col(cols[j])
-        aggs.append(F.covar_pop(a, b).alias(f"_cv_{i}_{j}"))
-        aggs.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"_a_{i}_{j}"))
-        aggs.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"_b_{i}_{j}"))
-    stats = df.groupBy(*keys).agg(*aggs)
+        a, b = F.col(x[i]), F.col(x[j])
+        aggs.append(F.sum(a * b).alias(f"_p_{i}_{j}"))
+        if gaps[i] or gaps[j]:
+            for side, mine, other in (("a", a, b), ("b", b, a)):
+                v = F.when(other.isNotNull(), mine)
+                aggs += [F.sum(v).alias(f"_{side}_{i}_{j}"), F.sum(v * v).alias(f"_{side}{side}_{i}_{j}"), (F.min(v) < F.max(v)).alias(f"_v{side}_{i}_{j}")]
+            aggs.append(F.count(a * b).cast("double").alias(f"_n_{i}_{j}"))
+    stats = _ns_join(z.groupBy(*keys).agg(*aggs), means.select(*keys, *[(F.col(f"_lo{n}") < F.col(f"_hi{n}")).alias(f"_v{n}") for n in x]), keys)
+
+    def over(product: Column, squares: Column, varies: Column) -> Column:
+        return F.when(varies, F.try_divide(product, F.sqrt(squares)))
 
-    def r(i: int, j: int):
+    def r(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
         if i == j:
-            return F.try_divide(F.col(f"_sd_{i}"), F.nullif(F.col(f"_sd_{i}"), F.lit(0.0)))
-        a, b = min(i, j), max(i, j)
-        den = F.nullif(F.col(f"_a_{a}_{b}") * F.col(f"_b_{a}_{b}"), F.lit(0.0))
-        return F.try_divide(F.col(f"_cv_{a}_{b}"), den)
+            return F.when(F.col(f"_v{x[i]}"), F.lit(1.0))
+        p = F.col(f"_p_{i}_{j}")
+        if not (gaps[i] or gaps[j]):
+            return over(p, F.col(f"_s{x[i]}") * F.col(f"_s{x[j]}"), F.col(f"_v{x[i]}") & F.col(f"_v{x[j]}"))
+        of = lambda name: F.col(f"_{name}_{i}_{j}")
+        mean = lambda u, v: F.try_divide(of(u) * of(v), of("n"))
+        return over(p - mean("a", "b"), (of("aa") - mean("a", "a")) * (of("bb") - mean("b", "b")), of("va") & of("vb"))
 
     cells = [
         F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"), r(i, j).alias("corr"))

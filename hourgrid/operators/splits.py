@@ -67,6 +67,12 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str], keys: Se
     return d.drop(*[f"{c}__{s}" for c in cols for s in ("mean", "scale")])
 
 
+def original_units(df: DataFrame, scaler: DataFrame, target: str, cols: Sequence[str] = ("y", "y_hat"), keys: Sequence[str] = ("region",)) -> DataFrame:
+    """``cols`` hold scaled values of ``target``, such as predictions of a model on scaled rows: back to its units."""
+    of = {f"{c}__{s}": F.col(f"{target}__{s}") for c in cols for s in ("mean", "scale")}
+    return apply_scaler(df, scaler.select(*keys, *[e.alias(n) for n, e in of.items()]), cols, keys, inverse=True)
+
+
 def standardise(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("region",), fit_on=None) -> tuple[DataFrame, DataFrame]:
     """Fit on training rows, apply to all rows.  Returns (scaled rows, scaler)."""
     scaler = fit_scaler(df, cols, keys, fit_on)

@@ -19,13 +19,13 @@ from hourgrid.functions.numeric import exact_avg
 from hourgrid.operators import boosting, metrics, model, reports, reshape, sites, splits
 from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS
 from hourgrid.plans import pipelines
-from hourgrid.schemas import CORR_COLS, MODEL_FEATURES, PARAM_GRID, TARGET
-from hourgrid.operators.sinks import write_if_absent
+from hourgrid.schemas import CORR_COLS, EXCLUDED_SITE, MODEL_FEATURES, PARAM_GRID, TARGET
+from hourgrid.operators.sinks import read_table, write_if_absent
 from hourgrid.session import cut_lineage, scratch_path
 from hourgrid.sources import bindings as b
 from hourgrid.sources.pages import ARRIVAL, first_rows, land_pages, page_completeness, page_gaps, read_pages, require_complete
 from hourgrid.sources.tables import ENERGY_COLS, read_coords_csv, read_energy_csv, read_model_table
-from hourgrid.sources.weather import land_weather, read_weather_text
+from hourgrid.sources.weather import land_weather, read_weather_text, time_gaps, write_weather
 from hourgrid.streaming.ingest import ingest_pages
 
 # Fixed values of the bound test data.
@@ -41,6 +41,8 @@ FACTOR_GRID = [1.0, 0.9, 1.1]
 BLOCK_CONF = "hourgrid.window.blockRows"
 # Likewise for the blocks of training rows.
 MODEL_CONF = "hourgrid.model.blockRows"
+# Moves values off the ties of rounding.
+OFF_TIES = 3.7e-8
 # A model that SQL can grow, too.
 SHORT_MODEL = {"max_depth": 3, "learning_rate": 0.1, "n_estimators": 2}
 
@@ -138,6 +140,14 @@ def q_sequence_24(spark, d):
     )
 
 
+def q_scale_inverse(spark, d):
+    """Features scaled and brought back."""
+    scaled, scaler = splits.standardise(cut_lineage(_split_final(spark, d)), MODEL_FEATURES, ("region",))
+    back = splits.apply_scaler(scaled, scaler, MODEL_FEATURES, ("region",), inverse=True)
+    # many values lie half-way between two of four places: moved off before they are rounded
+    return back.select("region", "period", "is_test", *[r4(F.col(c) + F.lit(OFF_TIES)).alias(c) for c in MODEL_FEATURES])
+
+
 # ---------------------------------------------------------------- metrics
 def _naive_predictions(spark, d) -> DataFrame:
     return pipelines.with_prediction_lag(_split_final(spark, d))
@@ -167,6 +177,16 @@ def _fold_scores(spark, d) -> DataFrame:
     return d2.groupBy("region", "params", "param_order", "fold").agg(exact_avg("err").alias("mae"))
 
 
+def q_scaled_scores(spark, d):
+    """Scores of a forecast made in scaled units, after inverse scaling."""
+    rows = cut_lineage(_naive_predictions(spark, d), "naive")
+    scaler = splits.fit_scaler(rows, [TARGET])
+    stats = scaler.select("region", *[F.col(f"{TARGET}__{s}").alias(f"{c}__{s}") for c in ("y", "y_hat") for s in ("mean", "scale")])
+    scaled = splits.apply_scaler(rows.select("region", "is_test", "y", "y_hat"), stats, ["y", "y_hat"])
+    m = metrics.error_metrics(splits.original_units(scaled, scaler, TARGET), ("region", "is_test"))
+    return m.select("region", "is_test", "n", *[r4(c).alias(c) for c in ("rmse", "mae", "r2")])
+
+
 def q_best_params(spark, d):
     return metrics.best_params(_fold_scores(spark, d))
 
@@ -305,6 +325,20 @@ def q_weather_read(spark, d):
     return read_weather_text(spark, path)
 
 
+def q_weather_write(spark, d):
+    """Weather hours written once by region (twice: the second finds them all), read back."""
+    path = scratch_path(spark, "weather-table")
+    for _ in range(2):
+        write_weather(b.weather(spark, d), path)
+    return read_table(spark, path)
+
+
+def q_weather_gaps(spark, d):
+    """Days that are missing where the chunks of some months have not come."""
+    path = land_weather(b.weather(spark, d).where(~F.month("datetime").isin([3, 4, 9])), scratch_path(spark, "weather"))
+    return time_gaps(read_weather_text(spark, path), "1 day", end="2001-09-01")
+
+
 # ---------------------------------------------------------------- sites
 def _filled(spark, d) -> DataFrame:
     return sites.fill_states(b.airport_rows(spark, d))
@@ -336,6 +370,13 @@ def q_region_filter(spark, d):
     return _lower(m.filter(F.col("Region").isin(FILTER_REGIONS)).select("table_no", "row_no", "IATA", "State", "Region"))
 
 
+def q_site_excluded(spark, d):
+    """One code left out, sites without a code kept; some sites of the stand-in have that code."""
+    code = F.when(F.col("row_no") % 7 == 3, F.lit(EXCLUDED_SITE)).otherwise(F.col("IATA"))
+    rows = sites.exclude_code(_cleaned(spark, d).withColumn("IATA", code))
+    return _lower(rows.select("table_no", "row_no", "IATA", "State", "Enplanements"))
+
+
 def q_region_site(spark, d):
     return pipelines.build_region_sites(b.airport_rows(spark, d), b.coords(spark, d), b.region_map(spark, d))
 
@@ -439,8 +480,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_split": q_time_split,
     "expanding_folds": q_expanding_folds,
     "standardise": q_standardise,
+    "scale_inverse": q_scale_inverse,
     "sequence_24": q_sequence_24,
     "error_metrics": q_error_metrics,
+    "scaled_scores": q_scaled_scores,
     "best_params": q_best_params,
     "region_results": q_region_results,
     "importance_rank": q_importance_rank,
@@ -462,12 +505,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hour_month_mean": q_hour_month_mean,
     "hour_month_grid": q_hour_month_grid,
     "weather_read": q_weather_read,
+    "weather_write": q_weather_write,
+    "weather_gaps": q_weather_gaps,
     "state_ffill": q_state_ffill,
     "text_clean": q_text_clean,
     "airport_coords": q_airport_coords,
     "region_map": q_region_map,
     "region_filter": q_region_filter,
     "region_site": q_region_site,
+    "site_excluded": q_site_excluded,
     "gbt_cv": q_gbt_cv,
     "gbt_predict": q_gbt_predict,
     "split_counts": q_split_counts,

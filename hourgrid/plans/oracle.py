@@ -7,7 +7,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from hourgrid.operators.model import param_sets, params_text
-from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, SHORT_MODEL, TEST_SPLIT
+from hourgrid.plans.catalog import FACTOR_GRID, FILTER_REGIONS, OFF_TIES, SHORT_MODEL, TEST_SPLIT
 from hourgrid.operators.boosting import BINS, BITS, CELLS
 from hourgrid.schemas import CORR_COLS, FEATURE_TABLE, MODEL_FEATURES, PARAM_GRID, ROLLED, TARGET
 
@@ -381,6 +381,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {FEATURE_CTES},{SPLIT},\n{STATS},\n{SCALED}\n"
         f"SELECT region, period, is_test, {', '.join(R4(c) + ' AS ' + c for c in MODEL_FEATURES)} FROM scaled"
     )
+    q["scale_inverse"] = f"WITH {FEATURE_CTES},{SPLIT}\nSELECT region, period, is_test, {', '.join(R4(f'CAST({c} AS DOUBLE) + CAST({OFF_TIES} AS DOUBLE)') + f' AS {c}' for c in MODEL_FEATURES)} FROM split"
     elem_sum = " + ".join(f"p.{c}" for c in MODEL_FEATURES)
     q["sequence_24"] = (
         f"WITH {FEATURE_CTES},{SPLIT},\n{STATS},\n{SCALED},\n"
@@ -394,6 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "WHERE c.i > 24 GROUP BY c.region, c.is_test, c.period, c.total_interchange"
     )
     q["error_metrics"] = f"WITH {FEATURE_CTES},{SPLIT},{NAIVE}\n" + _metrics("naive", "region, is_test")
+    q["scaled_scores"] = f"SELECT region, is_test, n, rmse, mae, r2 FROM ({q['error_metrics']})"
     pfold = FOLDS_SQL.format(src="panel", name="pfold")
     q["best_params"] = (
         f"WITH {GEO},{PANEL},{pfold},{BEST}\n"
@@ -507,6 +509,12 @@ UNION ALL SELECT respondent, max(e), any_value(total) FROM got GROUP BY responde
         f"SELECT respondent, CAST(hour(period) AS INTEGER) AS hr, {grid} FROM pv GROUP BY 1, 2"
     )
     q["weather_read"] = f"WITH {GEO},{WEATHER}\nSELECT * FROM wx"
+    q["weather_write"] = q["weather_read"]
+    q["weather_gaps"] = f"""WITH {GEO},{WEATHER},
+have AS (SELECT region, datetime AS t FROM wx WHERE month(datetime) NOT IN (3, 4, 9)),
+days AS (SELECT region, unnest(range(min(t), TIMESTAMP '2001-09-01', INTERVAL 1 DAY)) AS t FROM have GROUP BY region),
+lack AS (SELECT *, t - INTERVAL 1 DAY * row_number() OVER (PARTITION BY region ORDER BY t) AS island FROM days ANTI JOIN have USING (region, t))
+SELECT region, min(t) AS gap_start, max(t) + INTERVAL 1 DAY AS gap_end, count(*) AS n_missing FROM lack GROUP BY region, island"""
     site_ctes = f"WITH {GEO},{SITE_ROWS}"
     q["coords_read"] = f"{site_ctes}\nSELECT lower(iata_code) AS iata_code, latitude_deg, longitude_deg FROM coords"
     q["site_tables_union"] = (
@@ -518,6 +526,10 @@ UNION ALL SELECT respondent, max(e), any_value(total) FROM got GROUP BY responde
     q["region_map"] = (
         f"{site_ctes}\nSELECT c.table_no, c.row_no, c.iata, c.state, m.region FROM cleaned c LEFT JOIN rmap m ON c.state = m.state"
     )
+    q["site_excluded"] = (
+        f"{site_ctes}\nSELECT table_no, row_no, iata, state, enplanements FROM "
+        "(SELECT * REPLACE (CASE WHEN row_no % 7 = 3 THEN 'EWR' ELSE iata END AS iata) FROM cleaned) WHERE iata IS DISTINCT FROM 'EWR'"
+    )
     lst = ", ".join(f"'{r}'" for r in FILTER_REGIONS)
     q["region_filter"] = (
         f"{site_ctes}\nSELECT c.table_no, c.row_no, c.iata, c.state, m.region FROM cleaned c JOIN rmap m ON c.state = m.state "

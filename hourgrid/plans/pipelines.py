@@ -26,6 +26,7 @@ from hourgrid.schemas import (
     STATE_REGION,
     TARGET,
 )
+from hourgrid.operators.sinks import committed, read_table, write_if_absent
 from hourgrid.session import cut_lineage
 from hourgrid.sources.pages import require_complete
 from hourgrid.sources.weather import read_weather_text
@@ -224,3 +225,21 @@ def model_report(
         "split_counts": model.split_counts(nodes, keys),
         "results": results.withColumn("best_params", as_map),
     }
+
+
+#: Tables of a model report that are kept by region; the last one tells which regions are done.
+REPORT_TABLES = ("fold_scores", "nodes", "predictions", "importances", "split_counts", "results")
+
+
+def write_model_report(spark: SparkSession, final: DataFrame, split: str, path: str, grid: Mapping[str, Sequence[float]] = PARAM_GRID, key: str = "region", **options) -> dict[str, DataFrame]:
+    """The tables of :func:`model_report` below ``path``, written once by region: regions that are there are
+    neither trained nor written again, all others in one job a table.  Returns the tables as they are read
+    back, and the ranking over all regions."""
+    done = committed(spark, f"{path}/{REPORT_TABLES[-1]}", key).select(F.col(key).alias("_done"))
+    todo = final.join(done, F.col(key).cast("string").eqNullSafe(F.col("_done")), "left_anti")
+    if not todo.select(key).isEmpty():
+        report = model_report(spark, todo, split, grid, keys=[key], **options)
+        for name in REPORT_TABLES:
+            write_if_absent(report[name], f"{path}/{name}", key)
+    out = {name: read_table(spark, f"{path}/{name}", part=key) for name in REPORT_TABLES}
+    return out | {"importance_rank": metrics.importance_rank(out["importances"], key=key)}

@@ -26,18 +26,17 @@ SESSION_CONF = {
 }
 
 
-def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "hourgrid") -> SparkSession:
+def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "hourgrid", driver_memory: str | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the provided session
-    and call :func:`configure` on it."""
+    and call :func:`configure` on it.  ``driver_memory``: the heap, Spark's default otherwise."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for k, v in SESSION_CONF.items():
+    for k, v in {**SESSION_CONF, **({"spark.driver.memory": driver_memory} if driver_memory else {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

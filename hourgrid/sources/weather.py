@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.operators.ordered import DEFAULT_BLOCK_ROWS, blocked, keep_home, over_blocks
 from hourgrid.operators.sinks import write_if_absent
 from hourgrid.functions.timeparse import hour_from_parts
 from hourgrid.schemas import WEATHER_CSV_DDL, WEATHER_VALUES
@@ -62,6 +63,27 @@ def write_weather(weather: DataFrame, path: str) -> str:
     return write_if_absent(weather.sortWithinPartitions("region", "datetime"), path)
 
 
+def time_gaps(df: DataFrame, step: str = "1 hour", keys: Sequence[str] = ("region",), ts: str = "datetime", start: str | None = None, end: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(keys, gap_start, gap_end, n_missing): times ``step`` apart that a series lacks, such as those of a chunk whose
+    request failed; between its first and last row, and from ``start`` and up to ``end`` (not included) where given.
+    A series is never one task (``ordered``); repeated times are no gap."""
+    keys, one = list(keys), F.expr(f"INTERVAL {step}")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("timestamp_ntz").alias("_t"))
+    d = blocked(rows, keys, "_t", before=1, block_rows=block_rows)
+    d = keep_home(d.withColumn("_p", F.lag("_t").over(over_blocks(d, keys, "_t"))))
+    lacks = d.where(F.col("_t") > F.col("_p") + one).select(*keys, (F.col("_p") + one).alias("gap_start"), F.col("_t").alias("gap_end"))
+    ends = rows.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    if start is not None:
+        at = F.lit(start).cast("timestamp_ntz")
+        lacks = lacks.union(ends.where(F.col("_first") > at).select(*keys, at, "_first"))
+    if end is not None:
+        at = F.lit(end).cast("timestamp_ntz")
+        lacks = lacks.union(ends.where(F.col("_last") + one < at).select(*keys, F.col("_last") + one, at))
+    length = micros(F.lit("1970-01-01").cast("timestamp_ntz") + one)
+    return lacks.withColumn("n_missing", F.ceil((micros(F.col("gap_end")) - micros(F.col("gap_start"))) / length))
+
+
 def render_weather_lines(weather: DataFrame, header_lines: int = 14) -> DataFrame:
     """Weather rows -> text lines per region as the service writes them: metadata
     lines, the column header, then comma-separated rows (used to land test files)."""
