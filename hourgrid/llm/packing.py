@@ -66,8 +66,10 @@ class FileTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        of, model = byte_alphabet(), json.loads(self.tok.to_str())["model"]
+        told = json.loads(self.tok.to_str())
+        of, model = byte_alphabet(), told["model"]
+        # added tokens in a text (<|endoftext|>) get their ids, as the library does by default
+        self.added = [t["content"] for t in told["added_tokens"]]
         ranks = {bytes(of[c] for c in t): n for t, n in self.tok.get_vocab(with_added_tokens=False).items() if all(c in of for c in t)}
         made = [bytes(of[c] for c in "".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         in_order = [ranks.get(m) for m in made] == list(range(256, 256 + len(made)))
@@ -80,7 +82,7 @@ class FileTokenizer:
         """Little-endian uint32 ids of each text."""
         out = []
         for t in texts:
-            if self.fast is not None and not RARE.search(t or ""):
+            if self.fast is not None and not RARE.search(t or "") and not any(a in (t or "") for a in self.added):
                 out.append(self.fast.encode_to_numpy(t or "").astype("<u4").tobytes())
             else:
                 out.append(array("I", self.tok.encode(t or "", add_special_tokens=False).ids).tobytes())
