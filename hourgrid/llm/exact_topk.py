@@ -8,9 +8,12 @@ merged as a tree of ``FAN_IN`` lists a step.
 Components become floor(scale * x).  Sums are exact: as float64 while they stay below 2**53,
 else in Python's integers (scores beyond a long are held at its ends).
 
+Rows are numbered in the order of their ids, so ties by number are ties by id.  Every row is a candidate and,
+where asked for, a query of its own, rows that repeat an id or a vector as well; only the
+query's own row is none of its candidates.
+
 Vectors that are null or hold a null or non-finite component, and rows with a null id, take
-no part.  Of several rows with one id the smallest vector counts, once.  Vectors of another
-dimension than the query's are no candidates.  A query is never its own candidate.
+no part.  Vectors of another dimension than the query's are no candidates.
 """
 
 from __future__ import annotations
@@ -82,23 +85,26 @@ def _tile_of_large(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarra
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, ascending, and their vectors."""
+    """Numbers of rows, ascending, and their vectors."""
     if not t.num_rows:
         return np.zeros(0, np.int64), np.zeros((0, 1))
-    ids = t.column(-2).to_numpy()
+    ids = t.column(-3).to_numpy()
     m = pa.concat_arrays([c.flatten() for c in t.column(-1).chunks]).to_numpy().reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
     return ids[order], m[order]
 
 
 def vectors(table: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """(id, x, dim): the rows that take part, one for each id, as scaled whole numbers."""
+    """(n, id, x, dim): the rows that take part as scaled whole numbers, numbered in the order of their ids."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     # floor as a double: a long would overflow for large components
     whole = F.transform(x, lambda v: F.rint(v * scale) - F.when(F.rint(v * scale) > v * scale, 1.0).otherwise(0.0))
     rows = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & good).select(F.col(key).cast("long").alias("id"), whole.alias("x"))
-    return rows.groupBy("id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
+    # rows of one id are parted by their vectors, equal ones by their place: none of them fills a task
+    rows = rows.withColumn("h", F.xxhash64("x")).withColumn("place", F.monotonically_increasing_id())
+    in_order = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place")
+    return in_order.select(F.monotonically_increasing_id().alias("n"), "id", "x", F.size("x").alias("dim"))
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -106,30 +112,39 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", v
     (an expression over ``id``) holds; all candidates if they are fewer."""
     spark = table.sparkSession
     rows = staged(vectors(table, key, vector, scale), "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    total, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(-(-n // block_rows), min(wanted, -(-n // LEAST_ROWS)), 1)
+    shards = max(-(-total // block_rows), min(wanted, -(-total // LEAST_ROWS)), 1)
     blocks = max(-(-n_queries // block_rows), 1)
-    spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    spread = lambda parts: F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.where(is_query).select("dim", spread(blocks).alias("block"), each(shards).alias("shard"), "id", "x")
-    right = rows.select(F.col("dim").alias("dim"), each(blocks).alias("block"), spread(shards).alias("shard"), F.col("id").alias("vid"), F.col("x").alias("vx"))
-    right = right.withColumnsRenamed({"dim": "vdim", "block": "vblock", "shard": "vshard"})
+    left = rows.where(is_query).select("dim", spread(blocks).alias("block"), each(shards).alias("shard"), "n", "id", "x")
+    right = rows.select(F.col("dim").alias("vdim"), each(blocks).alias("vblock"), spread(shards).alias("vshard"), F.col("n").alias("vn"), F.col("id").alias("vid"), F.col("x").alias("vx"))
 
     def run(keys: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         q, v, s = tile(*_matrix(a), *_matrix(b), k)
-        return pa.table({"query_id": q, "shard": pa.array(np.full(len(q), keys[2].as_py()), pa.int32()), "vec_id": v, "score": s})
+        ids = [_ids(t, of) for t, of in ((a, q), (b, v))]
+        return pa.table({"query": q, "query_id": ids[0], "shard": pa.array(np.full(len(q), keys[2].as_py()), pa.int32()), "vec": v, "vec_id": ids[1], "score": s})
 
     tiles = ["dim", "block", "shard"]
-    lists = left.groupBy(tiles).cogroup(right.groupBy(*[f"v{c}" for c in tiles])).applyInArrow(run, "query_id long, shard int, vec_id long, score long")
-    order = [F.desc("score"), F.asc("vec_id")]
+    lists = left.groupBy(tiles).cogroup(right.groupBy(*[f"v{c}" for c in tiles])).applyInArrow(run, "query long, query_id long, shard int, vec long, vec_id long, score long")
+    order = [F.desc("score"), F.asc("vec")]
     while shards > 1:
         shards = -(-shards // FAN_IN)
         lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int"))
-        some = Window.partitionBy("query_id", "shard").orderBy(*order)
+        some = Window.partitionBy("query", "shard").orderBy(*order)
         lists = lists.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k).drop("rank")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     return lists.select("query_id", rank.alias("rank"), "vec_id", "score")
 
 
+def _ids(t: pa.Table, numbers: np.ndarray) -> np.ndarray:
+    """Ids of the rows with these numbers."""
+    if not len(numbers):
+        return np.zeros(0, np.int64)
+    n, ids = t.column(-3).to_numpy(), t.column(-2).to_numpy()
+    order = np.argsort(n)
+    return ids[order][np.searchsorted(n[order], numbers)]
+
+
 __all__ = ["best", "tile", "top_k"]

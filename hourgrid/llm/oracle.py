@@ -6,16 +6,16 @@ from hourgrid.llm.secret_scan import BASE, IDENTIFIERS, KINDS, PATTERNS, SCOPE,
 
 TOP_K = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
     FROM embeddings
-    WHERE embedding IS NOT NULL
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n AND len(q.x) = len(c.x)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
 
