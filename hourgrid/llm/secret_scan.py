@@ -8,7 +8,8 @@ secret on either side.  A weak candidate is reported only if complementary parts
 ``scope`` characters of it: an identifier needs a secret, a secret an identifier, an endpoint
 both.  Weak candidates that overlap a base span are part of it and not reported.
 
-The sweep sorts the parts of one document, so it is linear in them: no pairs are made.  Places
+Two sweeps, from the beginning and from the end, over the sorted parts of one document: no pairs are made, and
+the work beside the sorts is linear in the parts.  A text with very many parts is one group of them.  Places
 are code points; they come from the lengths of what a pattern matches and of what lies between.
 
 Null and empty texts have no spans.  Repeated rows and null keys are documents of their own.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import fresh, staged, with_row_id
+from hourgrid.llm.common import fresh, staged, with_row_place
 
 #: Characters between two parts of one credential.
 SCOPE = 200
@@ -92,9 +93,10 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     base = F.col("kind") < len(BASE)
     is_id = F.col("kind").isin([number[k] for k in IDENTIFIERS])
     is_secret = F.col("kind").isin([number[k] for k in SECRETS])
-    order = Window.partitionBy("row").orderBy("start", "kind", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    row = Window.partitionBy("row")
+    before = row.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    # the parts behind, swept from the end: a frame that reaches to the end would be made anew for each row
+    after = row.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
 
     def gap(role: Column) -> Column:
         """Characters to the nearest part of a role on either side (0 or less: they touch)."""
@@ -117,7 +119,7 @@ def spans(docs: DataFrame, row: str, text: str = "text", scope: int = SCOPE) ->
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base, spans) of every document; ``base`` and ``spans``
     are arrays of (start, kind, end) by start, then kind."""
-    d = with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
+    d = with_row_place(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
     item = F.struct("start", "kind", "end")
     of_doc = spans(d, "row", "text", scope).groupBy("row").agg(
         *[F.count_if(F.col("kind") == n).alias(f"n_{k}") for n, k in enumerate(BASE)],
@@ -141,7 +143,7 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mask: str =
 
     Documents without a match of any pattern keep their place: only the others are shuffled."""
     row, merged = fresh(docs, "row"), fresh(docs, "merged")
-    d = with_row_id(docs, row)
+    d = with_row_place(docs, row)
     order = Window.partitionBy("row").orderBy("start", "end")
     found = spans(d, row, text, scope).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     group = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order)

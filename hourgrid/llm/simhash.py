@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourgrid.llm.common import bounded_batches, fresh, staged, with_row_id
+from hourgrid.llm.common import bounded_batches, fresh, staged, with_row_place
 from hourgrid.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -234,7 +234,7 @@ def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def _fingerprinted(d: DataFrame, words: int) -> DataFrame:
     """The same for (row, key, text) that are numbered already."""
-    schema = T.StructType([T.StructField("row", T.LongType()), d.schema["key"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([d.schema["row"], d.schema["key"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with one document of each group: that with the smallest key (null keys last),
     and of repeated rows the first."""
     row = fresh(docs, "row")
-    d = with_row_id(docs, row)
+    d = with_row_place(docs, row)
     bounded_batches(docs.sparkSession)
     found = _groups(_fingerprinted(d.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), SHINGLE_WORDS), MAX_BITS)
     order = F.struct(F.col("key").isNull(), "key", "row")

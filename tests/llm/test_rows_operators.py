@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -276,14 +277,23 @@ def test_top_k_by_brute_force(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)], 0) for i in range(300)] + [(400 + i, [0.5] * 8, 1) for i in range(40)]
     rows += [(None, [0.5] * 8, 0), (500, None, 0), (501, [0.5, None] * 4, 0), (502, [float("nan")] * 8, 0), (503, [float("inf")] * 8, 0), (504, [1.0] * 3, 0), (400, [0.5] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, x int")
+    rows += [(100, [r.uniform(-1, 1) for _ in range(8)], 2)] * 2 + [(7, [0.9] * 8, 0)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, x int")
+    part = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v, _ in rows if i is not None and i < 500]
+    want = Counter()
+    for q, (i, v) in enumerate(part):
+        if i % 50 == 0:
+            best = sorted((-int(v @ w), j) for c, (j, w) in enumerate(part) if c != q)[:5]
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    # a row that repeats an id is a query of its own and a candidate of the other
+    assert max(want.values()) > 1 and any(i == j for i, _, j, _ in want)
     for block in (7, 16_384):
-        got = exact_topk.top_k(df, F.col("id") % 50 == 0, block_rows=block).collect()
-        vec = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and i < 500}
-        want = set()
-        for q in (i for i in vec if i % 50 == 0):
-            best = sorted((-int(vec[q] @ v), i) for i, v in vec.items() if i != q)[:5]
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-        assert set(map(tuple, got)) == want
+        assert Counter(map(tuple, exact_topk.top_k(df, F.col("id") % 50 == 0, block_rows=block).collect())) == want
+    con = duckdb.connect()
+    flat = [(i, v) for i, v, _ in rows]
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [x for x in flat if x[0] != 504])
+    assert Counter(con.execute(queries.ORACLE["op5_exact_topk"]).fetchall()) == want
     assert exact_topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
     one = exact_topk.top_k(df.where("vec_id IN (0, 1, 2)"), F.col("id") == 0).collect()
     assert [r["rank"] for r in sorted(one, key=lambda r: r["rank"])] == [1, 2]
@@ -333,6 +343,22 @@ def test_row_numbers_outlive_other_splits(spark, tmp_path, monkeypatch):
 
 
 # ------------------------------------------------------------------ secrets
+def test_many_parts_in_one_text(spark):
+    """Linear in the parts: five times as many take less than fifteen times as long."""
+    import time
+
+    def seconds(n):
+        found = spark.range(n).selectExpr("1 AS row", "CAST(4 + id % 2 * 2 AS INT) AS kind", "id * 50 AS start", "id * 50 + 40 AS end").cache()
+        found.count()
+        t = time.perf_counter()
+        assert secret_scan.linked(found, 0).count() == 0 and secret_scan.linked(found, 10).count() == n
+        return time.perf_counter() - t
+
+    seconds(100)
+    few = seconds(20_000)
+    assert seconds(100_000) < 15 * few + 2
+
+
 KEY40 = "wJalrXUtnFEMI0K7MDENG0bPxRfiCYEXAMPLEKEY"
 SECRETS = [
     ("password = 'abcdefghijkl' x", "assign:0:24"),
