@@ -45,6 +45,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def released(*tables: DataFrame) -> Iterator[None]:
     """Remove the files of these staged tables at the end, once what reads them is written, too."""
     yield
+    remove(*tables)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
@@ -94,4 +99,4 @@ def arrow_batches(spark: SparkSession, rows: int, size: str = "8m") -> Iterator[
         yield
 
 
-__all__ = ["BATCH_ROWS", "arrow_batches", "bounded_batches", "fresh", "released", "staged", "table", "with_row_id", "with_row_place"]
+__all__ = ["BATCH_ROWS", "arrow_batches", "bounded_batches", "fresh", "released", "remove", "staged", "table", "with_row_id", "with_row_place"]

@@ -5,7 +5,7 @@ the larger ones (large star), then the smaller ones (small star), until the
 links are stars around the smallest node of each component.  A node with very
 many links is aggregated before the shuffle, and the join that hands its
 smallest neighbour back can be split by skew handling.  Links of a round are
-written to the shared folder; nothing is collected but a count and a checksum.
+written to the shared folder, and removed after the next one; nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import staged
+from hourgrid.llm.common import remove, staged
 
 
 def _checksum(links: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = staged(large, "links-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        done, now = now, staged(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        remove(done, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select("v", "v").distinct()
     )
