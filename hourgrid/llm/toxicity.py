@@ -18,7 +18,7 @@ Repeated rows are scored each; null keys are fine.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,15 +36,26 @@ VOCABULARY = 4_096
 LEAST_Z = 2.5
 HELD_OUT = (5, 0)
 
-# Terms that name a group, by kind; swaps stay within a kind.
+# Terms that name a group, by kind and language; swaps stay within a kind of a language.
 IDENTITY = {
     "gender": "man men woman women boy boys girl girls male female transgender nonbinary".split(),
     "religion": "christian christians muslim muslims jew jews jewish hindu buddhist sikh atheist catholic".split(),
     "origin": "black white asian african european american mexican latino arab indian chinese immigrant immigrants refugee refugees".split(),
     "orientation": "gay lesbian straight bisexual queer homosexual heterosexual".split(),
     "ability": "deaf blind disabled autistic elderly young".split(),
+    "de gender": "mann männer frau frauen junge mädchen männlich weiblich transgender".split(),
+    "de religion": "christ christen muslim muslime jude juden jüdisch hindu buddhist atheist katholik".split(),
+    "de origin": "schwarze weiße asiaten afrikaner europäer araber inder türken migranten flüchtlinge ausländer".split(),
+    "de orientation": "schwul lesbisch hetero bisexuell queer homosexuell heterosexuell".split(),
+    "fr gender": "homme hommes femme femmes garçon fille garçons filles masculin féminin transgenre".split(),
+    "fr religion": "chrétien chrétiens musulman musulmans juif juifs hindou bouddhiste athée catholique".split(),
+    "fr origin": "noirs blancs asiatiques africains européens arabes indiens migrants réfugiés étrangers".split(),
+    "fr orientation": "homosexuel hétérosexuel bisexuel lesbienne gai queer".split(),
+    "es gender": "hombre hombres mujer mujeres niño niña niños niñas masculino femenino transgénero".split(),
+    "es religion": "cristiano cristianos musulmán musulmanes judío judíos hindú budista ateo católico".split(),
+    "es origin": "negros blancos asiáticos africanos europeos árabes indios migrantes refugiados extranjeros".split(),
+    "es orientation": "homosexual heterosexual bisexual lesbiana gay queer".split(),
 }
-KIND = {w: kind for kind, ws in IDENTITY.items() for w in ws}
 
 
 #: Lengths of the beginnings of longer words that are features.
@@ -75,15 +86,25 @@ def features(words: Counter[str], only: frozenset[str] | set[str] | None = None)
     return out if only is None else out & only
 
 
-def swaps(words: Counter[str], only: frozenset[str] | set[str]) -> list[list[str]]:
+def kinds_of(terms: Mapping[str, Sequence[str]]) -> dict[str, set[str]]:
+    """For each term, the others that it can be swapped with (a term of several languages has those of each)."""
+    out: dict[str, set[str]] = {}
+    for ws in terms.values():
+        for w in ws:
+            out.setdefault(w, set()).update(x for x in ws if x != w)
+    return out
+
+
+def swaps(words: Counter[str], only: frozenset[str] | set[str], others: Mapping[str, set[str]] | None = None) -> list[list[str]]:
     """For each swap of a named term with another of its kind, the features that go (``-f``)
     and that come (``+f``)."""
-    named = [w for w in words if w in KIND]
+    others = kinds_of(IDENTITY) if others is None else others
+    named = [w for w in words if w in others]
     if not named:
         return []
     was, out = features(words, only), []
     for t in named:
-        for u in IDENTITY[KIND[t]]:
+        for u in sorted(others[t]):
             if u != t:
                 swapped = words.copy()
                 swapped[u] += swapped.pop(t)
@@ -154,7 +175,7 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
     return part.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def _coded(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+def _coded(rows: DataFrame, vocabulary: list[str], others: Mapping[str, set[str]]) -> DataFrame:
     """(y, has, moves): the features of the vocabulary, and the moves of each swap."""
     only = set(vocabulary)
     wide = only | {f.partition(" ")[0] for f in only}
@@ -163,14 +184,16 @@ def _coded(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
         for b in batches:
             words = [counted(t) for t in b.column(1).to_pylist()]
             has = [sorted(features(w, wide) & only) for w in words]
-            moves = [[m for m in ([x for x in s if x[1:] in only] for s in swaps(w, wide)) if m] for w in words]
+            moves = [[m for m in ([x for x in s if x[1:] in only] for s in swaps(w, wide, others)) if m] for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(has, pa.list_(pa.string())), pa.array(moves, pa.list_(pa.list_(pa.string())))], names=["y", "has", "moves"])
 
     return rows.select("y", "text").mapInArrow(run, "y int, has array<string>, moves array<array<string>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out: tuple[int, int] = HELD_OUT, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Toxicity:
-    """A model from the labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out: tuple[int, int] = HELD_OUT, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, terms: Mapping[str, Sequence[str]] = IDENTITY, swap_weight: float = 1.0) -> Toxicity:
+    """A model from the labelled documents outside the held-out fold.  ``terms`` name groups, by kind;
+    ``swap_weight`` is the part of the penalty on score changes under swaps (0: a plain classifier)."""
+    others = kinds_of(terms)
     bounded_batches(docs.sparkSession)
     folds, held = held_out
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key, folds) != held))
@@ -188,9 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     best = _feature_counts(rows).where((F.col("n") >= 2) & (z >= LEAST_Z)).orderBy(F.desc(z), "feature").limit(vocabulary).select("feature").collect()
     names = sorted(r["feature"] for r in best)
     number = {f: i for i, f in enumerate(names)}
-    got = sorted((r["y"], r["has"], r["moves"]) for r in _coded(rows, names).collect())
+    got = sorted((r["y"], r["has"], r["moves"]) for r in _coded(rows, names, others).collect())
     moves = [[(number[x[1:]], 1 if x[0] == "+" else -1) for x in m] for _, _, ms in got for m in ms]
-    weight, bias = fit_weights([[number[f] for f in has] for _, has, _ in got], moves, np.array([y for y, _, _ in got], dtype=float), len(names))
+    weight, bias = fit_weights([[number[f] for f in has] for _, has, _ in got], moves, np.array([y for y, _, _ in got], dtype=float), len(names), swap_weight)
     return Toxicity(dict(zip(names, weight.tolist(), strict=True)), bias)
 
 

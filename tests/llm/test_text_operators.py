@@ -2,6 +2,7 @@
 
 import base64
 import itertools
+import random
 import zlib
 
 import duckdb
@@ -222,6 +223,55 @@ def test_swaps_make_group_terms_equal(spark):
     assert model.scores(["what scum"])[0] > 0.5
 
 
+def test_swaps_lower_false_positives(spark):
+    """Toxic texts name one group more often; on neutral mentions of it the penalty leaves fewer false alarms."""
+    r = random.Random(3)
+    filler = [f"wort{i}" for i in range(60)]
+    rows = []
+    for i in range(600):
+        toxic = i % 4 == 0
+        group = r.choice(["türken", "türken", "türken", "migranten"] if toxic else ["araber", "inder", "migranten", "ausländer"])
+        rows.append((i, " ".join([group, *r.sample(filler, 8), *(["abschaum"] if toxic and r.random() < 0.6 else [])]), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = [" ".join(["türken", *r.sample(filler, 8)]) for _ in range(200)]
+    insults = [" ".join([g, "abschaum", *r.sample(filler, 8)]) for g in ("türken", "inder") for _ in range(50)]
+    rate = {}
+    for w in (0.0, 1.0, 10.0):
+        model = toxicity.fit(docs, labels, swap_weight=w)
+        rate[w] = (model.scores(neutral) >= 0.5).mean()
+        assert (model.scores(insults) >= 0.5).mean() > 0.9
+    assert rate[0.0] > 0.9 and rate[1.0] < rate[0.0] and rate[10.0] < 0.1, rate
+    assert toxicity.swaps(toxicity.counted("die türken"), {"türken", "inder"}) and not toxicity.swaps(toxicity.counted("nobody"), {"türken"})
+
+
+def test_weights_minimise_the_penalised_loss():
+    """Against the loss written out, and its gradient by differences."""
+    r = np.random.default_rng(0)
+    rows = [sorted(r.choice(6, r.integers(1, 5), replace=False).tolist()) for _ in range(60)]
+    y = np.array([float(0 in x or r.random() < 0.1) for x in rows])
+    moves = [[(1, 1), (2, -1)], [(2, 1), (1, -1)], [(3, 1), (4, -1), (0, 1)]]
+
+    def loss(w, bias, swap_weight):
+        share = np.where(y > 0, max(1.0, np.sqrt((1 - y.mean()) / y.mean())), 1.0) / len(y)
+        z = np.array([bias + sum(w[c] for c in x) for x in rows])
+        change = np.array([sum(s * w[c] for c, s in m) for m in moves])
+        return float((share * (np.log1p(np.exp(z)) - y * z)).sum() + (w**2).sum() / 2 / len(y) + swap_weight * (change**2).mean())
+
+    for swap_weight in (0.0, 1.0, 20.0):
+        w, bias = toxicity.fit_weights(rows, moves, y, 6, swap_weight, rounds=3000)
+        best = loss(w, bias, swap_weight)
+        for i in range(7):
+            for d in (-1e-3, 1e-3):
+                u, b = w.copy(), bias
+                if i < 6:
+                    u[i] += d
+                else:
+                    b += d
+                assert loss(u, b, swap_weight) > best - 1e-7, (swap_weight, i)
+    assert abs(sum(s * w[c] for c, s in moves[0])) < 0.05
+
+
 # ------------------------------------------------------------------ HTML
 PAGES = [
     ("<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>One <b>two</b>&amp; three.<p>Four<br>five &eacute;&#233;.</article><footer>&copy; x</footer>", "Title One two& three. Four five éé."),
