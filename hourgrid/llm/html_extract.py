@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -132,6 +133,8 @@ def _opened(name: str, attrs: str, inside: _Open, page: _Page) -> _Open:
 def blocks_of(page_html: str) -> list[Block]:
     """The blocks of a page without what goes by its element, role or class."""
     page, stack = _Page(), [_Open("", False, False, 0)]
+    # how many elements of a name are open: a closing tag that has none is passed over without a search
+    open_names: Counter[str] = Counter()
     links, at, end = 0, 0, len(page_html)
     while at < end:
         m = TOKEN.match(page_html, at)
@@ -149,10 +152,11 @@ def blocks_of(page_html: str) -> list[Block]:
         if name in BLOCK:
             page.end_block(stack[-1])
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    links -= sum(o.name == "a" for o in stack[k:])
-                    del stack[k:]
+            while open_names[name]:
+                gone = stack.pop()
+                open_names[gone.name] -= 1
+                links -= gone.name == "a"
+                if gone.name == name:
                     break
             continue
         if name in VOID:
@@ -165,11 +169,12 @@ def blocks_of(page_html: str) -> list[Block]:
             continue
         for same in SIBLINGS:
             if name in same and stack[-1].name in same:
-                stack.pop()
+                open_names[stack.pop().name] -= 1
         if name == "p" and stack[-1].name == "p":
-            stack.pop()
+            open_names[stack.pop().name] -= 1
         if name == "a":
             links += 1
+        open_names[name] += 1
         stack.append(_opened(name, m["attrs"], stack[-1], page))
     page.end_block(stack[-1])
     return page.blocks

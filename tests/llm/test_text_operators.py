@@ -291,6 +291,15 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_unmatched_closing_tags_are_linear():
+    import time
+
+    t = time.perf_counter()
+    text = "the story of the house and the sea " * 6
+    assert html_extract.main_text(f"<article><p>{text}</p>" + "<span>" * 60_000 + "</b>" * 60_000 + f"</span><p>{text}</p></article>") == f"{text}{text}".strip()
+    assert time.perf_counter() - t < 20
+
+
 PROSE = "the cat and the dog of the house went to the sea with a friend and came back. "
 ADVERT = "buy cheap watches online today " * 5
 BY_STOP_WORDS = [
