@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,7 +136,7 @@ def _bit(k: np.ndarray, bits: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, field, bits: int) -> DataFrame:
-    """(k, h, line): the lines whose bit is in the ``field``, once each."""
+    """(k, h, n, line): the lines whose bit is in the ``field``, once each, and how many shingles they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(field.value, np.uint8)
@@ -148,9 +148,13 @@ def texts_of(docs: DataFrame, field, bits: int) -> DataFrame:
             k = np.frombuffer(b"".join(h[:8] for h in hashes), ">i8").astype(np.int64)
             at = _bit(k, bits)
             found = np.flatnonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(k[found]), pa.array([hashes[i] for i in found], pa.binary()), pa.array([lines[i] for i in found], pa.string())], ["k", "h", "line"])
+            sizes = [len(line_sketch.shingles(lines[i])) for i in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[found]), pa.array([hashes[i] for i in found], pa.binary()), pa.array(sizes, pa.int32()), pa.array([lines[i] for i in found], pa.string())],
+                ["k", "h", "n", "line"],
+            )
 
-    return docs.select("text").mapInArrow(run, "k long, h binary, line string").dropDuplicates(["h"])
+    return docs.select("text").mapInArrow(run, "k long, h binary, n int, line string").dropDuplicates(["h"])
 
 
 def verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -166,10 +170,19 @@ def verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "a_line", "b", "b_line").mapInArrow(run, "a binary, b binary")
 
 
-def _sides(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (x, y) of halves of hashes with the lines behind them."""
+def may_be(least: float, a: str, b: str) -> Column:
+    """Sets of ``a`` and ``b`` shingles can be similar only if the smaller has ``least`` of the larger."""
+    return F.least(a, b) * 1000 >= F.greatest(a, b) * round(least * 1000)
+
+
+def _sides(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) of halves of hashes with the lines behind them, but those that cannot be similar by their sizes."""
+    sizes = texts.select("k", "h", "n")
     for side, c in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(texts.select(F.col("k").alias(c), F.col("h").alias(side), F.col("line").alias(f"{side}_line")), c)
+        pairs = pairs.join(sizes.select(F.col("k").alias(c), F.col("h").alias(side), F.col("n").alias(f"{side}_n")), c)
+    pairs = pairs.where(may_be(least, "a_n", "b_n")).select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line")), side)
     return pairs
 
 
@@ -186,19 +199,20 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, field_bits: int
     field.destroy()
     stars = crowd.where("k <> pivot").select(F.col("k").alias("x"), F.col("pivot").alias("y")).distinct()
     with arrow_batches(spark, 4096):
-        links = staged(verified(_sides(stars, texts), similarity), "star-links")
+        links = staged(verified(_sides(stars, texts, similarity), similarity), "star-links")
 
     # lines of a bucket that the stars left in different components
     found = components(links).toDF("h", "comp")
-    named = texts.select("k", "h").join(found, "h", "left").select("k", "h", F.coalesce("comp", "h").alias("comp"))
-    placed = staged(crowd.join(named, "k").select("band", "k", "h", "comp", "pivot"), "line-places")
+    named = texts.select("k", "h", "n").join(found, "h", "left").select("k", "h", "n", F.coalesce("comp", "h").alias("comp"))
+    placed = staged(crowd.join(named, "k").select("band", "k", "n", "comp", "pivot"), "line-places")
     # of two lines, one is the pivot
-    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2")
-    rest = placed.join(split.select("band"), "band", "left_semi").where("k <> pivot").select("band", "k", "comp")
-    x, y = (rest.toDF("band", c, f"{c}_comp") for c in "xy")
-    cross = x.join(y, "band").where("x > y AND x_comp <> y_comp").select("x", "y").distinct()
+    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high AND rows > 2")
+    rest = placed.join(split.select("band"), "band", "left_semi").where("k <> pivot").select("band", "k", "n", "comp")
+    x, y = (rest.toDF(f"{c}_band", c, f"{c}_n", f"{c}_comp") for c in "xy")
+    on = (F.col("x_band") == F.col("y_band")) & (F.col("x") > F.col("y")) & (F.col("x_comp") != F.col("y_comp")) & may_be(similarity, "x_n", "y_n")
+    cross = x.join(y, on).select("x", "y").distinct()
     with arrow_batches(spark, 4096):
-        more = staged(verified(_sides(cross, texts), similarity), "cross-links")
+        more = staged(verified(_sides(cross, texts, similarity), similarity), "cross-links")
 
     label = components(links.union(more)).toDF("h", "label")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "pos")).alias("first")

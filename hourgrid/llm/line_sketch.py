@@ -90,45 +90,24 @@ def _bands(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _ranked(columns: list[np.ndarray]) -> np.ndarray:
-    """Numbers that are equal where all columns are, exactly."""
-    alphabet = np.unique(np.concatenate(columns)) if columns[0].size else columns[0]
-    codes = [np.searchsorted(alphabet, c).astype(np.int64) for c in columns]
-    out, size = codes[0], max(len(alphabet), 1)
-    span = size
-    for c in codes[1:]:
-        if span * size >= 1 << 62:  # a large alphabet: rank what is there before going on
-            out = np.unique(out, return_inverse=True)[1].reshape(-1)
-            span = len(out) + 1
-        out, span = out * size + c, span * size
-    return out
+def shingles(line: str) -> set[str]:
+    """All shingles of a line."""
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)} or {line}
 
 
 def jaccard(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, together): sizes of the intersection and of the union of the shingle sets of each pair, exact."""
-    lines = list(dict.fromkeys([*a, *b]))
-    number = {x: i for i, x in enumerate(lines)}
-    line, chars = windows(lines)
-    shingle = np.unique(_ranked(chars), return_inverse=True)[1].reshape(-1).astype(np.int64)
-    n = int(shingle.max(initial=0)) + 1
-    sets = np.unique(line * n + shingle)  # ascending by line, then shingle
-    owner, shingle = np.divmod(sets, n)
-    starts = np.searchsorted(owner, np.arange(len(lines) + 1))
-    size = np.diff(starts)
-    x, y = (np.array([number[v] for v in side], np.int64) for side in (a, b))
-    shared = np.zeros(len(a), np.int64)
-    step = max(1, (1 << 22) // max(int(size.max(initial=1)), 1))
-    for s in range(0, len(a), step):
-        keys = []
-        for side in (x[s : s + step], y[s : s + step]):
-            m = size[side]
-            pair = np.repeat(np.arange(len(side)), m)
-            at = np.repeat(starts[side] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            keys.append(pair * n + shingle[at])
-        both = np.sort(np.concatenate(keys))
-        same = both[1:][both[1:] == both[:-1]] // n
-        shared[s : s + step] = np.bincount(same, minlength=min(step, len(a) - s))
-    return shared, size[x] + size[y] - shared
-
-
-__all__ = ["BANDS", "bands", "jaccard", "windows"]
+    """(shared, together): sizes of the intersection and of the union of the shingle sets of each pair, exact;
+    a line's set is made once."""
+    sets: dict[str, set[str]] = {}
+    shared, together = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for i, pair in enumerate(zip(a, b, strict=True)):
+        for x in pair:
+            if x not in sets:
+                sets[x] = shingles(x)
+        u, v = (sets[x] for x in pair)
+        shared[i] = len(u & v)
+        together[i] = len(u) + len(v) - shared[i]
+    return shared, together
+
+
+__all__ = ["BANDS", "bands", "jaccard", "shingles", "windows"]
