@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.llm import line_dedup, packing, quality, secret_scan, simhash
-from hourgrid.llm.common import staged, table
+from hourgrid.llm.common import remove, staged, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -58,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of ``sf_dir``."""
+    """The rows of the last stage over the documents of ``sf_dir``.  Null and empty texts, null and repeated
+    ids, further columns of any name and empty tables are what the stages say of them; a table
+    without documents gives no rows."""
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            remove(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)

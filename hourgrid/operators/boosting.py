@@ -237,8 +237,6 @@ class Job:
     stops: tuple[int, ...]
 
 
-JOB = "depth int, rate double, k int, stops array<int>"
-
 
 def _arrays(bins: bytes, y: bytes, fold: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     target = np.frombuffer(y, "<f8")
@@ -441,9 +439,10 @@ def cross_validate(blocks: DataFrame, keys: Sequence[str], sets: Sequence[Mappin
         stops.setdefault((int(s["max_depth"]), float(s["learning_rate"])), []).append(int(s["n_estimators"]))
     jobs = [Job(d, r, k, tuple(sorted(set(n)))) for (d, r), n in stops.items() for k in range(1, folds + 1)]
     spark = blocks.sparkSession
-    each = F.broadcast(spark.createDataFrame([(j.depth, j.rate, j.fold, list(j.stops)) for j in jobs], JOB))
+    job = lambda j: F.struct(F.lit(j.depth).alias("depth"), F.lit(j.rate).alias("rate"), F.lit(j.fold).alias("k"), F.array(*map(F.lit, j.stops)).alias("stops"))
     # a copy of a block for each model of the grid
-    work = blocks.where("chunks = 1").select(*keys, "reach", "bins", "y", "fold").crossJoin(each)
+    work = blocks.where("chunks = 1").select(*keys, "reach", "bins", "y", "fold", F.explode(F.array(*map(job, jobs))).alias("job"))
+    work = work.select(*keys, "reach", "bins", "y", "fold", "job.*")
     errors = _local(work, keys, ERRORS, _errors)
     large = _large(blocks, keys, lambda _: jobs)
     if large is not None:

@@ -29,7 +29,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    assert set(QUERIES) == set(SQL)
+    # a grid of 27 sets of up to 300 trees goes beyond SQL; test_boosting holds it against a plain version
+    assert set(QUERIES) - set(SQL) == {"gbt_cv_full", "gbt_predict_full", "split_counts_full"} and set(SQL) <= set(QUERIES)
     assert set(QUERIES) <= set(ent.queries())
 
 
