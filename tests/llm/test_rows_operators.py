@@ -426,3 +426,16 @@ def test_pipeline_stages(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 1024 and len(rows) > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "secret_scans", "best_fit_packing"]
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_pipeline_edges(spark, tmp_path, rows):
+    """No documents; null, empty and repeated ones, very long ones, null ids, extra columns with the names of inner ones."""
+    docs = [(1, None), (1, ""), (None, "good text " * 40), (2, "good text " * 40), (2, "good text " * 40), (3, "word " * 20_000), (4, "password = 'abcdefghijkl' " + " ".join(f"w{i}" for i in range(90)))]
+    names = "doc_id long, text string, lang string, row int, gone string, piece int, bands string, key int"
+    df = spark.createDataFrame([(i, t, "en", 5, "g", 6, "b", 7) for i, t in docs * rows], names)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1, 0), (None, 0, 1), (3, None, None)][: 3 * rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {1, 2, 3, 4, None} and (bool(out) == bool(rows))
+    assert all(r.length > 0 for r in out)
