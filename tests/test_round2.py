@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourgrid import session
-from hourgrid.operators import metrics, model, reports, reshape, sinks, sites
+from hourgrid.operators import metrics, reports, reshape, sinks
 from hourgrid.operators.ordered import row_index
 from hourgrid.plans import pipelines as P
 from hourgrid.plans.catalog import QUERIES
