@@ -118,9 +118,10 @@ def page_gaps(rows: DataFrame, key: str = "respondent") -> DataFrame:
 
 def first_rows(rows: DataFrame, key: str = "respondent") -> DataFrame:
     """``rows``, each place of a result once: of pages that repeat or overlap, the part that pages before
-    cover goes.  The rows are written once (their pages are parsed once); the table of pages is joined to them."""
+    cover goes.  The rows are written once (their pages are parsed once), and so are the pages that are not
+    new, which are joined to them."""
     rows = cut_lineage(rows, "page-rows")
-    again = page_intervals(rows, key).where(F.col("start") < F.col("reach"))
+    again = cut_lineage(page_intervals(rows, key).where(F.col("start") < F.col("reach")), "pages-again")
     again = again.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("page_file", "page_doc", "start", "reach")])
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("page_file") == F.col("_page_file")) & (F.col("page_doc") == F.col("_page_doc"))
     seen = rows.join(again, same & (F.col("position") - F.col("page_pos") == F.col("_start")), "left")
@@ -143,16 +144,28 @@ def land_pages(readings_text: DataFrame, path: str, page_rows: int = PAGE_ROWS,
     page_rows, so a page never exceeds the bound).  Returns ``path``.
 
     JSON lines under the column names; with ``wire`` as the service sends them: names of the wire,
-    no ordinal, a document a file in folders by key and page, every other page pretty-printed.  Pages for which
-    ``missing`` holds (an expression over ``_page``) are left out, those of ``again`` come twice."""
+    no ordinal, a document a file in folders by key, every other page pretty-printed.  Pages for which
+    ``missing`` holds (an expression over ``_page``) are left out, those of ``again`` come twice.
+
+    Places and totals come from a table of page sizes; the rows of a page are shuffled to their page only, and
+    the files are written by as many tasks as the session shuffles to."""
     cols = [c for c in READING_TEXT.names if not (wire and c == "ordinal")]
-    totals = readings_text.groupBy(key).agg(F.count(F.lit(1)).cast("string").alias("total"))
-    paged = readings_text.withColumn("_page", F.floor(F.col("ordinal") / F.lit(page_rows)))
+    # rows without an ordinal are the first page; plain equal keys, so that the join needs no shuffle of its own
+    none = F.lit(-(1 << 63))
+    paged = readings_text.withColumn("_slot", F.coalesce(F.floor(F.col("ordinal") / F.lit(page_rows)), none))
+    before = Window.partitionBy(key).orderBy("_slot")
+    sizes = paged.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_n")).select(
+        key, "_slot", (F.sum("_n").over(before) - F.col("_n")).cast("string").alias("offset"),
+        F.sum("_n").over(Window.partitionBy(key)).cast("string").alias("total"),
+    )
     row = F.struct(*[F.col(c).alias(WIRE_NAMES.get(c, c) if wire else c) for c in cols])
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", row.alias("row")))), lambda x: x["row"])
-    pages = paged.groupBy(key, "_page").agg(in_order.alias("data"))
-    offset = F.sum(F.size("data")).over(Window.partitionBy(key).orderBy("_page")) - F.size("data")
-    pages = pages.withColumn("offset", offset.cast("string")).join(totals, on=key)
+    # small tasks are not put together: pages are few bytes and much work
+    tasks = int(readings_text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = paged.repartition(tasks, key, "_slot").groupBy(key, "_slot").agg(in_order.alias("data"))
+    # merged, since the side with the texts is never to be broadcast, nor the sizes where they are many
+    pages = pages.join(sizes.hint("merge"), [key, "_slot"])
+    pages = pages.withColumn("_page", F.when(F.col("_slot") != none, F.col("_slot")))
     if missing is not None:
         pages = pages.where(~missing)
     if again is not None:
@@ -164,6 +177,8 @@ def land_pages(readings_text: DataFrame, path: str, page_rows: int = PAGE_ROWS,
         pages.select(doc.alias("value")).write.mode("overwrite").text(path)
         return path
     doc = F.when(F.col("_page") % 2 == 0, F.to_json(response, {"pretty": "true"})).otherwise(doc)
-    out = pages.select(doc.alias("value"), key, F.lpad(F.col("_page").cast("string"), 12, "0").alias("page"))
-    out.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(key, "page").text(path)
+    out = pages.select(doc.alias("value"), key)
+    # the tasks move their files to their place; else the driver moves one after the other
+    moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "maxRecordsPerFile": "1"}
+    out.write.mode("overwrite").options(**moved).partitionBy(key).text(path)
     return path

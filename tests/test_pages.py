@@ -94,3 +94,21 @@ def test_the_stream_takes_values_without_an_ordinal(spark, tmp_path):
     batch = pivot_first(parse_readings(pages.read_pages(spark, str(tmp_path / "p"))), types)
     want = sorted(map(tuple, batch.collect()))
     assert [r[-1] for r in got] == [r[-1] for r in want] == [0.0, 1.0, 5.0]
+
+
+def test_wire_pages_are_written_by_many_tasks(spark, tmp_path):
+    """Places, totals, repeats and gaps of two respondents; the files come from more tasks than there are respondents."""
+    rows = [(f"2024-01-01T{i % 24:02d}", k, f"Name {k}", "WI", "Wind", str(i), "MWh", i) for k in ("a", "b") for i in range(400) if i // 10 != 3]
+    rows += [("2024-01-01T00", "a", "Name a", "WI", "Wind", "x", "MWh", None), ("2024-01-01T00", None, "nobody", "WI", "Wind", "x", "MWh", 1)]
+    text = spark.createDataFrame(rows, "period string, respondent string, respondent_name string, type string, type_name string, value string, value_units string, ordinal long")
+    path = pages.land_pages(text, str(tmp_path / "wire"), page_rows=10, wire=True, again=F.col("_page") == 5, missing=F.coalesce(F.col("_page") == 7, F.lit(False)))
+    files = list((tmp_path / "wire").rglob("*.txt"))
+    assert len(files) == 2 * 39 + 1  # 39 pages of each, one of them missing and one twice, and that without an ordinal
+    assert len({f.name.split("-")[1] for f in files}) > 2 and {f.parent.name for f in files} == {"respondent=a", "respondent=b"}
+    back = pages.read_pages(spark, path)
+    gaps = sorted(map(tuple, pages.page_gaps(back).collect()))
+    assert gaps == [("a", 61, 71), ("b", 60, 70)]  # the page without an ordinal comes first
+    got = sorted((r.respondent, r.position, r.value) for r in pages.first_rows(back).collect())
+    at = {"a": 1, "b": 0}
+    want = [(k, (i if i < 30 else i - 10) + at[k], str(i)) for k in at for i in range(400) if i // 10 not in (3, 7)] + [("a", 0, "x")]
+    assert got == sorted(want) and {r.page_total for r in back.select("page_total").distinct().collect()} == {390, 391}
