@@ -11,6 +11,9 @@ and of each connected component one line stays: that of the smallest key, row an
   are similar or nearly so.
 * A bucket is first a star: each line against the smallest, so the work is linear in its rows.  Only lines of
   a bucket that are still in different components are then compared with each other.
+* Pairs that cannot be similar go before their texts are fetched: by the numbers of their shingles, and by the parities
+  of 1,024 classes of shingles, which differ in no more places than there are shingles that only one line has.  So of
+  all pairs of a crowded bucket only those near the limit become rows.
 * Verification is exact, on all shingles.  The texts of lines that meet another are fetched by a second scan; a
   bit field of fixed size tells it most of them, so that no other line is shuffled.
 * Union-find over the links (``components``), and the first line of each component stays.
@@ -39,6 +42,8 @@ from hourgrid.llm.common import arrow_batches, fresh, released, staged, with_row
 from hourgrid.llm.components import components
 
 SIMILARITY = 0.8
+#: Columns of a line's parities.
+PARITIES = [f"p{i}" for i in range(line_sketch.WORDS)]
 #: White space around a line.
 WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
 #: Bits of the field over the lines whose texts are wanted (16 MB), whatever the corpus.
@@ -136,7 +141,9 @@ def _bit(k: np.ndarray, bits: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, field, bits: int) -> DataFrame:
-    """(k, h, n, line): the lines whose bit is in the ``field``, once each, and how many shingles they have."""
+    """(k, h, n, line) and PARITIES: the lines whose bit is in the ``field``, once each, how many shingles they have, and of
+    which classes an odd number."""
+    schema = f"k long, h binary, n long, line string, {', '.join(f'{p} long' for p in PARITIES)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(field.value, np.uint8)
@@ -148,13 +155,12 @@ def texts_of(docs: DataFrame, field, bits: int) -> DataFrame:
             k = np.frombuffer(b"".join(h[:8] for h in hashes), ">i8").astype(np.int64)
             at = _bit(k, bits)
             found = np.flatnonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            sizes = [len(line_sketch.shingles(lines[i])) for i in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[found]), pa.array([hashes[i] for i in found], pa.binary()), pa.array(sizes, pa.int32()), pa.array([lines[i] for i in found], pa.string())],
-                ["k", "h", "n", "line"],
-            )
+            lines, hashes = [lines[i] for i in found], [hashes[i] for i in found]
+            sizes, words = line_sketch.parities(lines)
+            cols = [pa.array(k[found]), pa.array(hashes, pa.binary()), pa.array(sizes), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(w) for w in words.T.copy())], ["k", "h", "n", "line", *PARITIES])
 
-    return docs.select("text").mapInArrow(run, "k long, h binary, n int, line string").dropDuplicates(["h"])
+    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["h"])
 
 
 def verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -171,16 +177,36 @@ def verified(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def may_be(least: float, a: str, b: str) -> Column:
-    """Sets of ``a`` and ``b`` shingles can be similar only if the smaller has ``least`` of the larger."""
-    return F.least(a, b) * 1000 >= F.greatest(a, b) * round(least * 1000)
+    """Lines, whose columns begin with ``a`` and ``b``, can be similar only if the smaller has ``least`` of the larger's
+    shingles, and if few enough are in one line only.  The sizes are taken as one larger, and one more a thousand,
+    since they can be too small."""
+    part = round(least * 1000)
+    x, y = (F.col(f"{c}n") + 1 + F.shiftright(f"{c}n", 10) for c in (a, b))
+    apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITIES), F.lit(0))
+    return (F.least(x, y) * 1000 >= (F.greatest(f"{a}n", f"{b}n")) * part) & (apart * (1000 + part) <= (x + y) * (1000 - part))
+
+
+def _seen(texts: DataFrame, side: str) -> DataFrame:
+    """What ``may_be`` asks for, in columns that begin with ``side``."""
+    return texts.select(F.col("k").alias(f"{side}k"), F.col("h").alias(f"{side}h"), *(F.col(c).alias(f"{side}{c}") for c in ("n", *PARITIES)))
 
 
-def _sides(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (x, y) of halves of hashes with the lines behind them, but those that cannot be similar by their sizes."""
-    sizes = texts.select("k", "h", "n")
-    for side, c in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(sizes.select(F.col("k").alias(c), F.col("h").alias(side), F.col("n").alias(f"{side}_n")), c)
-    pairs = pairs.where(may_be(least, "a_n", "b_n")).select("a", "b")
+def cross_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b), each once: pairs of lines of a bucket that are in different components and may be similar.  ``placed``:
+    band, k, h, comp, pivot."""
+    # of two lines, one is the pivot
+    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high AND rows > 2")
+    rest = placed.join(split.select("band"), "band", "left_semi").where("k <> pivot")
+    rest = rest.groupBy("h").agg(F.min("comp").alias("comp"), F.collect_list("band").alias("bands"))
+    x, y = (rest.toDF(f"{c}h", f"{c}comp", f"{c}bands").join(_seen(texts, c).drop(f"{c}k"), f"{c}h").withColumn(f"{c}band", F.explode(f"{c}bands")) for c in ("x_", "y_"))
+    on = (F.col("x_band") == F.col("y_band")) & (F.col("x_h") > F.col("y_h")) & (F.col("x_comp") != F.col("y_comp")) & may_be(least, "x_", "y_")
+    # lines that meet in several bands are a pair in one of them
+    before = F.exists("x_bands", lambda b: (b < F.col("x_band")) & F.array_contains("y_bands", b))
+    return x.join(y, on & ~before).select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
+
+
+def _with_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hashes with the lines behind them."""
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line")), side)
     return pairs
@@ -197,22 +223,17 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, field_bits: int
     with arrow_batches(spark, 2048):
         texts = staged(texts_of(docs, field, field_bits), "candidate-lines")
     field.destroy()
-    stars = crowd.where("k <> pivot").select(F.col("k").alias("x"), F.col("pivot").alias("y")).distinct()
+    stars = crowd.where("k <> pivot").select(F.col("k").alias("x_k"), F.col("pivot").alias("y_k")).distinct()
+    stars = stars.join(_seen(texts, "x_"), "x_k").join(_seen(texts, "y_"), "y_k").where(may_be(similarity, "x_", "y_"))
     with arrow_batches(spark, 4096):
-        links = staged(verified(_sides(stars, texts, similarity), similarity), "star-links")
+        links = staged(verified(_with_lines(stars.select(F.col("x_h").alias("a"), F.col("y_h").alias("b")), texts), similarity), "star-links")
 
     # lines of a bucket that the stars left in different components
     found = components(links).toDF("h", "comp")
-    named = texts.select("k", "h", "n").join(found, "h", "left").select("k", "h", "n", F.coalesce("comp", "h").alias("comp"))
-    placed = staged(crowd.join(named, "k").select("band", "k", "n", "comp", "pivot"), "line-places")
-    # of two lines, one is the pivot
-    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high AND rows > 2")
-    rest = placed.join(split.select("band"), "band", "left_semi").where("k <> pivot").select("band", "k", "n", "comp")
-    x, y = (rest.toDF(f"{c}_band", c, f"{c}_n", f"{c}_comp") for c in "xy")
-    on = (F.col("x_band") == F.col("y_band")) & (F.col("x") > F.col("y")) & (F.col("x_comp") != F.col("y_comp")) & may_be(similarity, "x_n", "y_n")
-    cross = x.join(y, on).select("x", "y").distinct()
+    named = texts.select("k", "h").join(found, "h", "left").select("k", "h", F.coalesce("comp", "h").alias("comp"))
+    placed = staged(crowd.join(named, "k").select("band", "k", "h", "comp", "pivot"), "line-places")
     with arrow_batches(spark, 4096):
-        more = staged(verified(_sides(cross, texts, similarity), similarity), "cross-links")
+        more = staged(verified(_with_lines(cross_pairs(placed, texts, similarity), texts), similarity), "cross-links")
 
     label = components(links.union(more)).toDF("h", "label")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "pos")).alias("first")
@@ -231,16 +252,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     row, gone = fresh(docs, "row"), fresh(docs, "gone")
     d = with_row_place(docs, row)
     goes = line_groups(d.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), similarity)
-    out = d.join(goes.withColumnsRenamed({"row": row, "gone": gone}), row, "left")
-    lines = F.split(text, "\n", -1)
+    # the rows that lose lines grow with the corpus: the same join whatever its size
+    out = d.join(goes.withColumnsRenamed({"row": row, "gone": gone}).hint("merge"), row, "left")
+    loses, lines = F.col(gone).isNotNull(), fresh(out, "lines")
+    # a column of its own: within the lambda below, a text would be split once a line
+    out = out.withColumn(lines, F.when(loses | F.lit(bool(counts)), F.split(text, "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
     added = {}
     if counts:
         n = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(lines))
         added = {counts[0]: n.cast("long"), counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
-    left = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text))
+    left = F.when(loses, kept).otherwise(F.col(text))
     return out.withColumns(added).withColumn(text, left).select(*docs.columns, *added)
 
 
-__all__ = ["bit_field", "buckets", "dedup_lines", "line_groups", "signed", "texts_of", "verified"]
+__all__ = ["bit_field", "buckets", "cross_pairs", "dedup_lines", "line_groups", "signed", "texts_of", "verified"]

@@ -1,4 +1,4 @@
-"""Shingles of lines, their MinHash bands and exact Jaccard similarities, for many lines at a time.
+"""Shingles of lines, their MinHash bands, parities and exact Jaccard similarities, for many lines at a time.
 
 A shingle is five characters in a row; a shorter line is one shingle.  Lines lie one after the
 other in one array of code points, so a step works on all of their shingles at once.
@@ -11,6 +11,8 @@ import numpy as np
 SHINGLE = 5
 #: Bins of the one-permutation MinHash; bands, and bins in each.
 BINS, BANDS, ROWS = 64, 10, 6
+#: Words of 64 bits in the parities of a line.
+WORDS = 16
 #: Characters that are worked on at a time (a longer line is one such part).
 STEP_CHARS = 1 << 19
 #: No code point: fills short lines up to a shingle.
@@ -61,12 +63,33 @@ def bands(lines: list[str]) -> np.ndarray:
     return np.concatenate([_bands(lines[a:b]) for a, b in parts(lines)]) if lines else np.zeros((0, BANDS), np.int64)
 
 
-def _bands(lines: list[str]) -> np.ndarray:
+def _hashed(lines: list[str], bits: int) -> np.ndarray:
+    """The line of every shingle and the upper ``bits`` bits of its hash, in one number, sorted."""
     line, chars = windows(lines)
     h = chars[0].astype(np.uint64)
     for c in chars[1:]:
         h = h * _GOLDEN + c
-    key = np.sort((line.astype(np.uint64) << np.uint64(32)) | (mixed(h) >> np.uint64(32)))
+    return np.sort((line.astype(np.uint64) << np.uint64(bits)) | (mixed(h) >> np.uint64(64 - bits)))
+
+
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, words): how many shingles each line has, and for each of WORDS * 64 classes of shingles whether it has
+    an odd number of them.  Two lines have at least as many shingles that only one of them has as they have different
+    bits.  Shingles of a line are told apart by 44 bits, so a size can be too small by one, hardly ever by more."""
+    sizes, words = np.zeros(len(lines), np.int64), np.zeros((len(lines), WORDS), np.uint64)
+    for a, b in parts(lines):
+        key = _hashed(lines[a:b], 44)
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        sizes[a:b] = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=b - a)
+        # a word is told by the upper four bits of a hash, so that its shingles lie together, a bit by the lower six
+        cell = key >> np.uint64(40)
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        words[a:b].reshape(-1)[cell[first].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), first)
+    return sizes, words.view(np.int64)
+
+
+def _bands(lines: list[str]) -> np.ndarray:
+    key = _hashed(lines, 32)
     # the first of each (line, bin): bins are the upper six bits of a hash
     cell = key >> np.uint64(26)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -110,4 +133,4 @@ def jaccard(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return shared, together
 
 
-__all__ = ["BANDS", "bands", "jaccard", "shingles", "windows"]
+__all__ = ["BANDS", "WORDS", "bands", "jaccard", "parities", "shingles", "windows"]

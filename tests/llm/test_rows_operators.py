@@ -262,6 +262,67 @@ def test_a_small_field_changes_nothing(spark):
     assert want == {(x.row.i, *sorted(x.gone)) for x in line_dedup.line_groups(rows, field_bits=32).collect()} and want
 
 
+def near_copies(n, words=70, own=6, seed=3):
+    """``n`` lines, each with ``own`` other words in a common text: most pairs are near the limit, below it."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 8)))
+    text = [word() for _ in range(words)]
+    return [" ".join(word() if i in gone else w for i, w in enumerate(text)) for gone in (set(r.sample(range(words), own)) for _ in range(n))]
+
+
+def test_parities_never_say_more_than_differs():
+    """Different bits are at most the shingles that one line of two has, sizes are exact; few bits are lost near the limit."""
+    r = random.Random(8)
+    a = ["", "a", "abcd", "abcde", "aaaaaaaaaaaa", "\u4e00\U0001f600x" * 9, "ab" * 300_000, "".join(r.choice("abcdefgh") for _ in range(60_000)), *near_copies(60)]
+    b = a[1:] + a[:1]
+    (n, p), (m, q) = line_sketch.parities(a), line_sketch.parities(b)
+    sets = [(plain_sets(x), plain_sets(y)) for x, y in zip(a, b)]
+    assert p.shape == (len(a), line_sketch.WORDS) and n.tolist() == [len(x) for x, _ in sets] and m.tolist() == [len(y) for _, y in sets]
+    bits, apart = np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=1), np.array([len(x ^ y) for x, y in sets])
+    assert (bits <= apart).all() and (bits[10:-1] > 0.65 * apart[10:-1]).all()
+    assert (p == np.concatenate([line_sketch.parities([x])[1] for x in a])).all() and line_sketch.parities([])[1].shape == (0, line_sketch.WORDS)
+
+
+def test_pairs_of_a_crowded_bucket(spark):
+    """Of the pairs of a bucket of near copies every similar one is left, once, though the lines meet in three bands, and few others."""
+    lines = near_copies(300) + near_copies(20, own=2)
+    hashes = [line_dedup.digest(x) for x in lines]
+    sizes, words = line_sketch.parities(lines)
+    k = [int.from_bytes(h[:8], "big", signed=True) for h in hashes]
+    texts = spark.createDataFrame([(*x, *map(int, w)) for x, w in zip(zip(k, hashes, sizes.tolist(), lines), words)], f"k long, h binary, n long, line string, {', '.join(f'{p} long' for p in line_dedup.PARITIES)}")
+    comp = [hashes[0] if i in (5, 6) else h for i, h in enumerate(hashes)]
+    placed = spark.createDataFrame([(b, k[i], hashes[i], comp[i], k[0]) for b in (1, 2, -3) for i in range(len(lines))], "band long, k long, h binary, comp binary, pivot long")
+    got = [(bytes(x.a), bytes(x.b)) for x in line_dedup.cross_pairs(placed, texts, 0.8).collect()]
+    sets = [plain_sets(x) for x in lines]
+    pairs = [(i, j) for i, j in itertools.combinations(range(1, len(lines)), 2) if (i, j) != (5, 6)]
+    similar = {tuple(sorted((hashes[i], hashes[j]), reverse=True)) for i, j in pairs if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert len(got) == len(set(got)) and similar <= set(got) and len(similar) > 150
+    assert len(got) < len(similar) + 0.1 * len(pairs)
+
+
+def test_a_bucket_of_near_copies_by_brute_force(spark):
+    docs = list(enumerate(near_copies(120, words=40, own=4) + near_copies(20, own=2)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = plain_dedup(docs)
+    left = {r.doc_id: r.text for r in got.collect()}
+    # bands are told to find 0.9 of the pairs: none goes that should stay, and nearly all go that should
+    assert all(left[i] == t for i, t in want.items() if t) and sum(left[i] != t for i, t in want.items()) <= 2
+
+
+def test_a_text_of_many_lines_is_split_once(spark):
+    import time
+
+    text = "\n".join(f"{i * i} line {i} {i * 7919 % 10007}" for i in range(30_000))
+    df = spark.createDataFrame([(1, "5 lines that come before all others"), (2, f"{text}\n5 LINES that come before all others\nend")], "doc_id long, text string")
+    goes = spark.createDataFrame([(2, [30_000])], "key long, gone array<int>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(line_dedup, "line_groups", lambda d, similarity: d.join(goes, "key").select("row", "gone"))
+        t = time.perf_counter()
+        got = {r.doc_id: (r.text, r.n, r.m) for r in line_dedup.dedup_lines(df, counts=("n", "m")).collect()}
+    assert got == {1: ("5 lines that come before all others", 1, 0), 2: (f"{text}\nend", 30_002, 1)}
+    assert time.perf_counter() - t < 20
+
+
 def test_line_dedup_frames(spark, edge, empty):
     got = line_dedup.dedup_lines(edge, counts=("n", "m"))
     assert got.columns == [*edge.columns, "n", "m"]
