@@ -48,6 +48,8 @@ PARITIES = [f"p{i}" for i in range(line_sketch.WORDS)]
 WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
 #: Bits of the field over the lines whose texts are wanted (16 MB), whatever the corpus.
 FIELD_BITS = 1 << 27
+#: Pairs of lines, and their bytes, whose shingle sets are in memory at once (some 100 bytes a character).
+VERIFIED_BATCH = 1024, "2m"
 
 
 def normal(line: str) -> str:
@@ -225,14 +227,14 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, field_bits: int
     field.destroy()
     stars = crowd.where("k <> pivot").select(F.col("k").alias("x_k"), F.col("pivot").alias("y_k")).distinct()
     stars = stars.join(_seen(texts, "x_"), "x_k").join(_seen(texts, "y_"), "y_k").where(may_be(similarity, "x_", "y_"))
-    with arrow_batches(spark, 4096):
+    with arrow_batches(spark, *VERIFIED_BATCH):
         links = staged(verified(_with_lines(stars.select(F.col("x_h").alias("a"), F.col("y_h").alias("b")), texts), similarity), "star-links")
 
     # lines of a bucket that the stars left in different components
     found = components(links).toDF("h", "comp")
     named = texts.select("k", "h").join(found, "h", "left").select("k", "h", F.coalesce("comp", "h").alias("comp"))
     placed = staged(crowd.join(named, "k").select("band", "k", "h", "comp", "pivot"), "line-places")
-    with arrow_batches(spark, 4096):
+    with arrow_batches(spark, *VERIFIED_BATCH):
         more = staged(verified(_with_lines(cross_pairs(placed, texts, similarity), texts), similarity), "cross-links")
 
     label = components(links.union(more)).toDF("h", "label")
